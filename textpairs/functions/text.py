@@ -115,10 +115,10 @@ def extract_response(generated: str | Column) -> Column:
     input = second to last paragraph's last line; label/prediction = last line.
     """
     g = _c(generated)
-    paragraph = F.element_at(F.split(g, "\n\n"), -2)
+    paragraph = F.try_element_at(F.split(g, "\n\n"), F.lit(-2))
     return F.struct(
-        F.element_at(F.split(paragraph, "\n"), -1).alias("input"),
-        F.element_at(F.split(g, "\n"), -1).alias("last_line"),
+        F.try_element_at(F.split(paragraph, "\n"), F.lit(-1)).alias("input"),
+        F.try_element_at(F.split(g, "\n"), F.lit(-1)).alias("last_line"),
     )
 
 

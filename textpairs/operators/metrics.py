@@ -256,6 +256,15 @@ def perplexity(steps: DataFrame, loss_cents: str, by: Sequence[str] = ()) -> Dat
     return a.withColumn("mean_loss", mean).withColumn("perplexity", F.exp(F.col("mean_loss"))).drop("_cents")
 
 
+def round_sig(x: Column, digits: int = 6) -> Column:
+    """Round to ``digits`` significant digits with exact powers of ten (engine independent
+    unless the value sits on a rounding tie)."""
+    k = F.floor(F.log10(x)) - (digits - 1)
+    up = F.round(x / F.pow(F.lit(10.0), k)) * F.pow(F.lit(10.0), k)
+    down = F.round(x * F.pow(F.lit(10.0), -k)) / F.pow(F.lit(10.0), -k)
+    return F.when(x > 0, F.when(k >= 0, up).otherwise(down)).otherwise(x)
+
+
 def project_precision(metrics: DataFrame, ratios_df: DataFrame, recall: str = "recall",
                       fpr: str = "fpr") -> DataFrame:
     """Precision implied by recall and FPR at negative:positive ratio r (fractions)."""

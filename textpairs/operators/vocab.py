@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,7 +111,6 @@ class CharVocab:
 
     def encode(self, text: str | Column) -> Column:
         """Ids of the tokens of ``text`` (UNK for unknown), Arrow-batched."""
-        import pandas as pd
         from pyspark.sql import types as T
 
         ids, unk = self.ids, self.unk

@@ -188,3 +188,5 @@ def d06_macro_average(spark, sf):
 
 # Query modules register themselves on import (kept last: they import ``register``).
 from . import q_sources  # noqa: E402,F401
+from . import q_tables  # noqa: E402,F401
+from . import q_features  # noqa: E402,F401
