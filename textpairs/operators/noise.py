@@ -77,8 +77,9 @@ def nth_eligible(text: Column, char_class: str, k: Column) -> Column:
     return F.length(F.call_function("substring_index", marked, F.lit(_MARK), (k + 1).cast("int"))) + 1
 
 
-def roll_kind(key: Column, seed: int, cycle: int) -> Column:
-    roll = F.pmod(rng.hash32(key, rng.purpose("kind", seed, cycle)), F.lit(ROLL_BASE))
+def roll_kind(key: Column, seed: int, cycle: int, roll: Column | None = None) -> Column:
+    if roll is None:
+        roll = F.pmod(rng.hash32(key, rng.purpose("kind", seed, cycle)), F.lit(ROLL_BASE))
     return (F.when(roll < ROLL_SAME_SOUND, F.lit("same_sound"))
             .when(roll < ROLL_SIMILAR_SOUND, F.lit("similar_sound"))
             .when(roll < ROLL_SHAPE, F.lit("shape"))
@@ -116,23 +117,26 @@ def inject_noise(df: DataFrame, text_col: str, key_col: str, conf: DataFrame, wo
         d = df.withColumn("_n", n).withColumn("_elig", F.lit(None))
         d = d.withColumn("noise_pos", F.when(F.col("_n") > 0, nth_eligible(
             text, char_class, rng.pick(key, pos_purpose, F.col("_n")))))
+    d = d.withColumn("_roll", F.pmod(rng.hash32(key, rng.purpose("kind", seed, cycle)), F.lit(ROLL_BASE)))
     d = (d.withColumn("noise_from", F.when(F.col("noise_pos").isNotNull(),
                                            text.substr(F.col("noise_pos"), F.lit(1))))
-         .withColumn("noise_kind", F.when(F.col("noise_pos").isNotNull(), roll_kind(key, seed, cycle))))
+         .withColumn("noise_kind", F.when(F.col("noise_pos").isNotNull(),
+                                          roll_kind(key, seed, cycle, F.col("_roll")))))
     arr = candidate_arrays(conf).select(F.col("kind").alias("_k"), F.col("ch").alias("_c"),
                                         F.col("cands").alias("_cands"))
     d = d.join(bounded_broadcast(arr),
                (F.col("noise_kind") == F.col("_k")) & (F.col("noise_from") == F.col("_c")), "left")
-    d = d.withColumn("_widx", rng.pick(key, rng.purpose("cand", seed, cycle), n_words))
+    d = d.withColumn("_hc", rng.hash32(key, rng.purpose("cand", seed, cycle)))
+    d = d.withColumn("_widx", F.pmod(F.col("_hc"), F.lit(n_words)))
     d = d.join(bounded_broadcast(words.select(F.col("idx").alias("_widx"), F.col("ch").alias("_wch"))),
                "_widx", "left")
     nc = F.coalesce(F.size("_cands"), F.lit(0))
-    cand = F.when(nc > 0, F.element_at("_cands", (rng.pick(key, rng.purpose("cand", seed, cycle), nc)
+    cand = F.when(nc > 0, F.element_at("_cands", (F.pmod(F.col("_hc"), nc.cast("bigint"))
                                                   + 1).cast("int"))).otherwise(F.col("_wch"))
     d = d.withColumn("noise_to", F.when(F.col("noise_pos").isNotNull(), cand))
     d = d.withColumn(out_col, F.when(F.col("noise_pos").isNull(), text)
                      .otherwise(_replace_at(text, F.col("noise_pos"), F.col("noise_to"))))
-    return d.drop("_elig", "_n", "_k", "_c", "_cands", "_widx", "_wch")
+    return d.drop("_elig", "_n", "_k", "_c", "_cands", "_widx", "_wch", "_roll", "_hc")
 
 
 def near_positions(src: Column, trg: Column, window: int = 5) -> Column:

@@ -81,9 +81,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         seed=SEED, char_class=CHAR_CLASS, out_col="src", apply=~negative)
 
 
-def stand_in_prediction(src: str = "src", tgt: str = "tgt", key: str = "k"):
+def stand_in_prediction(src: str = "src", tgt: str = "tgt", key: str = "k", roll=None):
     """Rule corrector: half right, a quarter unchanged, a quarter wrong at the last char."""
-    r = F.pmod(rng.hash32(F.col(key), rng.purpose("pred", SEED)), F.lit(4))
+    r = roll if roll is not None else F.pmod(rng.hash32(F.col(key), rng.purpose("pred", SEED)), F.lit(4))
     t = F.col(tgt)
     wrong = F.when(F.length(t) == 0, t).otherwise(
         F.concat(t.substr(F.lit(1), F.length(t) - 1), F.lit("#")))
@@ -92,7 +92,8 @@ def stand_in_prediction(src: str = "src", tgt: str = "tgt", key: str = "k"):
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, tgt, pred) per sentence with ``lang`` (domain) and ``source`` (category)."""
-    return pairs(spark, sf_dir).withColumn("pred", stand_in_prediction())
+    p = pairs(spark, sf_dir).withColumn("_r", F.pmod(rng.hash32(F.col("k"), rng.purpose("pred", SEED)), F.lit(4)))
+    return p.withColumn("pred", stand_in_prediction(roll=F.col("_r"))).drop("_r")
 
 
 # ---------------------------------------------------------------- raw line stand-ins
@@ -111,8 +112,8 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSONL pair lines with rule-based breakage (1 line in 13 each): cut JSON, missing
     field, number instead of string, blank line, a space inside src, tgt one shorter,
     empty src; the rest are valid ``{"src":..,"tgt":..}`` lines."""
-    p = pairs(spark, sf_dir)
-    f = F.pmod(rng.hash32(F.col("k"), rng.purpose("fmt", SEED)), F.lit(13))
+    p = pairs(spark, sf_dir).withColumn("_f", F.pmod(rng.hash32(F.col("k"), rng.purpose("fmt", SEED)), F.lit(13)))
+    f = F.col("_f")
     s, t = F.col("src"), F.col("tgt")
     js = F.to_json(F.struct(s.alias("src"), t.alias("tgt")))
     spaced = F.concat(s.substr(F.lit(1), F.lit(1)), F.lit(" "), s.substr(F.lit(3), F.length(s)))
@@ -131,8 +132,8 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spaced-pair TSV lines (tokens joined by spaces) with rule-based breakage for the
     lenient reader: no tab, an extra tab, a trailing tab (empty target), char-only sides."""
-    p = pairs(spark, sf_dir)
-    f = F.pmod(rng.hash32(F.col("k"), rng.purpose("tsv", SEED)), F.lit(11))
+    p = pairs(spark, sf_dir).withColumn("_f", F.pmod(rng.hash32(F.col("k"), rng.purpose("tsv", SEED)), F.lit(11)))
+    f = F.col("_f")
     ss = F.array_join(F.split("src", ""), " ")
     ts = F.array_join(F.split("tgt", ""), " ")
     line = (F.when(f == 0, ss)
