@@ -218,13 +218,13 @@ def mcc(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Twice the average rank (an integer) of ``col``; ties share the mean rank.
 
-    Grouped by distinct value first; the running sum runs over distinct values only.
+    Grouped by distinct value first; the running sum runs over distinct values only, with
+    range-partitioned offsets (``plans.indexing.prefix_sum``).
     """
+    from ..plans.indexing import prefix_sum
     counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn("_cum", F.sum("_n").over(w)).select(
-        "_v", (F.col("_cum") * 2 - F.col("_n") + 1).alias(out))  # 2 * ((cum - n + 1) + cum) / 2
+    cum = prefix_sum(counts, ["_v"], "_n", "_cum")  # range-partitioned, no global window
+    ranks = cum.select("_v", (F.col("_cum") * 2 - F.col("_n") + 1).alias(out))  # 2 * mean(cum - n + 1, cum)
     return df.join(ranks, F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
 
 

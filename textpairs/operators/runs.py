@@ -35,8 +35,10 @@ def select_config(runs: DataFrame, domain: str, config: Sequence[str], split: st
     """Per domain pick the config by the **dev** score only and report its test score
     once; the leaky choice (best on test) is reported side by side."""
     cfg = F.struct(*[F.col(c) for c in config])
-    dev = runs.where(F.col(split) == "dev").groupBy(domain, *config).agg(F.avg(metric).alias("dev_score"))
-    test = runs.where(F.col(split) == "test").groupBy(domain, *config).agg(F.avg(metric).alias("test_score"))
+    # mean as sum / count: exact and order independent when the metric is integral
+    mean = lambda: (F.sum(metric).cast("double") / F.count(F.lit(1)).cast("double"))
+    dev = runs.where(F.col(split) == "dev").groupBy(domain, *config).agg(mean().alias("dev_score"))
+    test = runs.where(F.col(split) == "test").groupBy(domain, *config).agg(mean().alias("test_score"))
     j = dev.join(test, [domain, *config], "full")
     pick = lambda score: F.max_by(cfg, F.struct(F.col(score), *[F.col(c) for c in config]))
     a = j.groupBy(domain).agg(pick("dev_score").alias("by_dev"), pick("test_score").alias("by_test"))
@@ -51,10 +53,12 @@ def select_config(runs: DataFrame, domain: str, config: Sequence[str], split: st
 def segment(stream: DataFrame, key: Sequence[str], order: Sequence[str], is_end: Column) -> DataFrame:
     """Gaps and islands. Each row's island is the number of delimiters before it in
     its stream; the delimiter row closes its island and is excluded; islands without a
-    delimiter (the tail) are discarded. Returns one row per closed span."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = stream.withColumn("_end", is_end).withColumn(
-        "_island", F.coalesce(F.sum(F.col("_end").cast("int")).over(w), F.lit(0)))
+    delimiter (the tail) are discarded. Returns one row per closed span. The running count
+    uses ``plans.indexing.prefix_sum`` (no window over a whole stream key)."""
+    from ..plans.indexing import prefix_sum
+    d = stream.withColumn("_end", is_end)
+    # exclusive running count of delimiters; range-partitioned so a hot stream key is split
+    d = prefix_sum(d, order, F.col("_end").cast("int"), "_island", group_cols=key, exclusive=True)
     spans = d.groupBy(*key, "_island").agg(
         F.max(F.col("_end").cast("int")).alias("_closed"),
         F.count_if(~F.col("_end")).alias("n_tok"),

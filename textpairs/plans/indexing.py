@@ -63,3 +63,34 @@ def line_index(lines: DataFrame, out_col: str = "line_idx") -> DataFrame:
     out = t.join(bounded_broadcast(offsets), ["_file", "_block"])
     return out.withColumn(out_col, F.col("_off") + F.col("_mid") - F.col("_first")).withColumnRenamed(
         "_file", "file_path").drop("_block", "_mid", "_off", "_first")
+
+
+def prefix_sum(df: DataFrame, order_cols: Sequence[str | Column], value: str | Column, out_col: str,
+               group_cols: Sequence[str] = (), exclusive: bool = False,
+               num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` in ``order_cols`` order (per group), skew-proof.
+
+    Rows are range-partitioned on (group, order) into buckets, so one group holding a third
+    of all rows is still cut across many tasks. Inside a bucket a window partitioned by
+    (bucket, group) gives the local running sum; the per-(bucket, group) totals form a small
+    table whose exclusive running sum (per group, in bucket order) is the offset of each
+    bucket, joined back with a size-checked broadcast. ``exclusive`` excludes the row itself.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = list(group_cols)
+    keys = _cols(g) + _cols(order_cols)
+    v = value if isinstance(value, Column) else F.col(value)
+    b = (df.withColumn("_ps_v", v).repartitionByRange(n, *keys)
+         .withColumn("_ps_b", F.spark_partition_id()).checkpoint(eager=True))
+    w_local = Window.partitionBy("_ps_b", *g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_ps_local", F.sum("_ps_v").over(w_local))
+    totals = b.groupBy("_ps_b", *g).agg(F.sum("_ps_v").alias("_ps_tot"))
+    w_off = Window.partitionBy(*g).orderBy("_ps_b") if g else Window.orderBy("_ps_b")
+    offsets = totals.withColumn("_ps_off", F.sum("_ps_tot").over(w_off) - F.col("_ps_tot")).drop("_ps_tot")
+    out = local.join(bounded_broadcast(offsets), ["_ps_b", *g])
+    total = F.col("_ps_off") + F.col("_ps_local")
+    if exclusive:
+        total = total - F.col("_ps_v")
+    return out.withColumn(out_col, total).drop("_ps_b", "_ps_v", "_ps_local", "_ps_off")

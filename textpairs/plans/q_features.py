@@ -17,7 +17,7 @@ from ..operators import prompts as P
 from ..operators import udf as U
 from ..operators import vocab as V
 from ..plans.indexing import line_index, row_index
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from ..sources import sinks as S
@@ -50,7 +50,7 @@ def _ids_str(a: str) -> str:
 
 def _features(spark, sf):
     cv = V.CharVocab(D.vocab(spark))
-    acc = C.encode_accepted(classified(spark, sf), cv)
+    acc = C.encode_accepted(materialize(classified(spark, sf)), cv)
     f = L.rephrase_stream("src_ids", "tgt_ids", D.MAX_SEQ, CLS, SEP, MASK, PAD)
     return acc.select("guid", "doc_id", "sent_no", "lang", "source", f.alias("f")).select(
         "guid", "doc_id", "sent_no", "lang", "source", "f.*")

@@ -76,18 +76,16 @@ wc AS (
 
 
 def classified(spark, sf):
-    lines = D.jsonl_lines(spark, sf)
-    p = lines.withColumn("_p", RD.parse_json_pair("line")).select(
-        "guid", "doc_id", "sent_no", "lang", "source", "_p.valid", "_p.error", "_p.src", "_p.tgt")
+    lines = D.jsonl_lines(spark, sf).select("guid", "doc_id", "sent_no", "lang", "source", "line")
+    p = RD.with_json_pair(lines, "line").drop("line")
     return C.classify_pairs(p, D.vocab(spark), D.MAX_SEQ)
 
 
 @register("a03_jsonl_validate", O.with_base("pairs", "SELECT guid, valid, error, psrc AS src, ptgt AS tgt FROM jv", JSONL_CTE))
 def a03_jsonl_validate(spark, sf):
     """Strict JSONL pair validation with the three error kinds."""
-    lines = D.jsonl_lines(spark, sf)
-    return lines.select("guid", RD.parse_json_pair("line").alias("p")).select(
-        "guid", "p.valid", "p.error", "p.src", "p.tgt")
+    lines = D.jsonl_lines(spark, sf).select("guid", "line")
+    return RD.with_json_pair(lines, "line").select("guid", "valid", "error", "src", "tgt")
 
 
 @register("b03_reject_waterfall", O.with_base("pairs", "SELECT guid, reason, CAST(n_tok AS INTEGER) AS n_tok, CAST(n_unk AS INTEGER) AS n_unk FROM wc", WATERFALL_CTE))

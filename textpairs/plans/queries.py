@@ -190,3 +190,5 @@ def d06_macro_average(spark, sf):
 from . import q_sources  # noqa: E402,F401
 from . import q_tables  # noqa: E402,F401
 from . import q_features  # noqa: E402,F401
+from . import q_more  # noqa: E402,F401
+from . import q_extra  # noqa: E402,F401

@@ -27,6 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("TEXTPAIRS_MAX_PARTITION_BYTES", "64m"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -89,6 +90,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder: cuts lineage (survives the
+    loss of executors) and stops Catalyst from pushing filters on derived columns below
+    the projections that compute them (which would evaluate those expressions twice)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def write_table(df: DataFrame, spark: SparkSession, name: str, fmt: str = "parquet") -> DataFrame:
     """Materialise ``df`` into the shared scratch folder and read it back (cuts lineage)."""
     path = scratch_path(spark, name)

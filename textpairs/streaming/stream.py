@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, layouts, metrics, vocab as V
-from ..sources.readers import parse_json_pair
+from ..sources.readers import with_json_pair
 
 
 def pair_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1,
                 blank_as: str = "empty") -> DataFrame:
     """Streaming scan of JSONL pairs (src, tgt, valid, error, file_path)."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger).load(folder)
-    p = lines.withColumn("_p", parse_json_pair("value", blank_as=blank_as))
-    return p.select(F.col("_metadata.file_path").alias("file_path"), "_p.valid", "_p.error", "_p.src", "_p.tgt")
+    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), "value")
+    return with_json_pair(lines, "value", blank_as=blank_as).select("file_path", "valid", "error", "src", "tgt")
 
 
 def classified_stream(stream: DataFrame, vocab: DataFrame, max_seq: int = 128) -> DataFrame:
