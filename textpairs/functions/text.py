@@ -59,11 +59,13 @@ def annotate(a: str | Column, b: str | Column) -> Column:
 
     The zip stops at the shorter array; the rest of ``a`` is kept unchanged.
     """
-    a, b = _c(a), _c(b)
+    # arrays_zip evaluates both arrays once; it pads the shorter with NULLs, so entries
+    # past the end of ``a`` are dropped and entries past the end of ``b`` keep ``a``.
+    z = F.filter(F.arrays_zip(_c(a).alias("x"), _c(b).alias("y")), lambda e: e["x"].isNotNull())
     return F.array_join(
-        F.transform(a, lambda x, i: F.when(
-            (i < F.size(b)) & (x != F.get(b, i)),
-            F.concat(F.lit("("), x, F.lit("->"), F.get(b, i), F.lit(")"))).otherwise(x)),
+        F.transform(z, lambda e: F.when(
+            e["y"].isNotNull() & (e["x"] != e["y"]),
+            F.concat(F.lit("("), e["x"], F.lit("->"), e["y"], F.lit(")"))).otherwise(e["x"])),
         "")
 
 
@@ -150,6 +152,6 @@ def strip_specials(tokens: str | Column, specials: list[str]) -> Column:
 
 def first_diff(a: str | Column, b: str | Column) -> Column:
     """0-based first differing position of two token arrays; -1 when none."""
-    a, b = _c(a), _c(b)
-    flags = F.transform(a, lambda x, i: (i < F.size(b)) & (x != F.get(b, i)))
+    z = F.filter(F.arrays_zip(_c(a).alias("x"), _c(b).alias("y")), lambda e: e["x"].isNotNull())
+    flags = F.transform(z, lambda e: e["y"].isNotNull() & (e["x"] != e["y"]))
     return F.array_position(flags, True) - 1

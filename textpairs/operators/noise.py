@@ -54,8 +54,9 @@ def eligible_positions(text: Column, char_class: str) -> Column:
 
     Array form, used where a position list is needed (H02); H01 uses ``nth_eligible``.
     """
-    return F.filter(F.sequence(F.lit(0), F.length(text)),
-                    lambda i: (i > 0) & text.substr(i, F.lit(1)).rlike("^" + char_class + "$"))
+    cs = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    hits = F.transform(cs, lambda c, i: F.when(c.rlike("^" + char_class + "$"), i + 1))
+    return F.filter(hits, lambda i: i.isNotNull())
 
 
 _MARK = "\u0001"
@@ -145,10 +146,9 @@ def near_positions(src: Column, trg: Column, window: int = 5) -> Column:
     With no difference the reference's loop variable stays at the last index, so ``i = n-1``.
     Empty text gives ``[]`` (the reference fails there).
     """
+    from ..functions.text import first_diff
     n = F.length(src)
-    a, b = F.split(src, ""), F.split(trg, "")
-    flags = F.transform(a, lambda x, k: (k < F.size(b)) & (x != F.get(b, k)))
-    first = F.array_position(flags, True) - 1
+    first = first_diff(F.split(src, ""), F.split(trg, ""))
     i = F.when(first >= 0, first).otherwise(n - 1)
     lo = F.greatest(F.lit(0), i - window)
     hi = F.least(n, i + window + 1) - 1
@@ -166,9 +166,9 @@ def inject_near_error(df: DataFrame, src_col: str, trg_col: str, key_col: str, c
     """
     src, trg, key = F.col(src_col), F.col(trg_col), F.col(key_col)
     cand_pos = near_positions(src, trg, window)
+    from ..functions.text import first_diff
     n = F.length(src)
-    flags = F.transform(F.split(src, ""), lambda x, k: (k < F.length(trg)) & (x != trg.substr(k + 1, F.lit(1))))
-    first = F.array_position(flags, True) - 1
+    first = first_diff(F.split(src, ""), F.split(trg, ""))
     d = df.withColumn("_near", cand_pos).withColumn("_first", F.when(n > 0, first))
     d = d.withColumn("_choice", F.element_at("_near", (rng.pick(
         key, rng.purpose("near", seed, cycle), F.size("_near")) + 1).cast("int")))

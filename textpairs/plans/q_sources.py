@@ -261,9 +261,9 @@ def d21_error_pairs(spark, sf):
     return M.error_pairs(D.pairs(spark, sf))
 
 
-@register("e10_first_diff", O.with_base("pairs", """
-SELECT guid, CAST(coalesce(list_position(list_transform(range(1, length(src) + 1),
-         lambda i: i <= length(tgt) AND substr(src, i, 1) <> substr(tgt, i, 1)), TRUE), 0) - 1 AS INTEGER) AS first_diff
+@register("e10_first_diff", O.with_base("pairs", f"""
+SELECT guid, CAST(coalesce(list_position(list_transform(list_filter(list_zip({chars_sql('src')}, {chars_sql('tgt')}),
+         lambda z: z[1] IS NOT NULL), lambda z: z[2] IS NOT NULL AND z[1] <> z[2]), TRUE), 0) - 1 AS INTEGER) AS first_diff
 FROM pairs"""))
 def e10_first_diff(spark, sf):
     """First differing position (0-based), -1 when none."""
@@ -277,8 +277,8 @@ SELECT guid, CAST(CASE WHEN n > 0 AND hi >= lo THEN hi - lo + 1 ELSE 0 END AS IN
        CAST(CASE WHEN n > 0 AND hi >= lo THEN hi END AS INTEGER) AS near_hi
 FROM (SELECT guid, n, greatest(0, i - 5) AS lo, least(n, i + 6) - 1 AS hi
       FROM (SELECT guid, length(src) AS n,
-                   coalesce(nullif(coalesce(list_position(list_transform(range(1, length(src) + 1),
-                     lambda j: j <= length(tgt) AND substr(src, j, 1) <> substr(tgt, j, 1)), TRUE), 0) - 1, -1),
+                   coalesce(nullif(coalesce(list_position(list_transform(list_filter(list_zip(""" + chars_sql('src') + ", " + chars_sql('tgt') + """),
+                     lambda z: z[1] IS NOT NULL), lambda z: z[2] IS NOT NULL AND z[1] <> z[2]), TRUE), 0) - 1, -1),
                      length(src) - 1) AS i
             FROM pairs) a) b"""))
 def c07_near_positions(spark, sf):
@@ -302,9 +302,11 @@ def h02_near_error(spark, sf):
 # ------------------------------------------------------------------ sinks as queries
 
 def _annot_sql(a: str, b: str) -> str:
+    """G03 in SQL: zip the two character lists once; entries past the end of ``a`` dropped."""
     ca, cb = chars_sql(a), chars_sql(b)
-    return (f"array_to_string(list_transform(range(1, len({ca}) + 1), lambda i: CASE WHEN i <= len({cb}) "
-            f"AND {ca}[i] <> {cb}[i] THEN '(' || {ca}[i] || '->' || {cb}[i] || ')' ELSE {ca}[i] END), '')")
+    return (f"array_to_string(list_transform(list_filter(list_zip({ca}, {cb}), lambda z: z[1] IS NOT NULL), "
+            f"lambda z: CASE WHEN z[2] IS NOT NULL AND z[1] <> z[2] THEN '(' || z[1] || '->' || z[2] || ')' "
+            f"ELSE z[1] END), '')")
 
 
 @register("a14_error_buckets", O.with_base("triples", f"""

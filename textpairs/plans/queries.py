@@ -33,11 +33,15 @@ def chars_sql(x: str) -> str:
 
 
 def punct_eq_sql(a: str, b: str, marks: list[str]) -> str:
-    """G05 in SQL over strings ``a``, ``b`` (first argument's marks are ignored)."""
+    """G05 in SQL over strings ``a``, ``b`` (first argument's marks are ignored).
+
+    Equal strings and different lengths are decided without splitting; otherwise the two
+    character lists are zipped once (no per-element re-split)."""
     m = "[" + ", ".join(f"'{x}'" for x in marks) + "]"
     ca, cb = chars_sql(a), chars_sql(b)
-    return (f"(len({ca}) = len({cb}) AND coalesce(list_bool_and(list_transform(range(1, len({ca}) + 1), "
-            f"lambda i: list_contains({m}, {ca}[i]) OR {ca}[i] = {cb}[i])), TRUE))")
+    return (f"(CASE WHEN {a} = {b} THEN TRUE WHEN length({a}) <> length({b}) THEN FALSE "
+            f"ELSE coalesce(list_bool_and(list_transform(list_zip({ca}, {cb}), "
+            f"lambda z: list_contains({m}, z[1]) OR z[1] = z[2])), TRUE) END)")
 
 
 # ----------------------------------------------------------------------------------------
