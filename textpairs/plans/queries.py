@@ -196,3 +196,4 @@ from . import q_tables  # noqa: E402,F401
 from . import q_features  # noqa: E402,F401
 from . import q_more  # noqa: E402,F401
 from . import q_extra  # noqa: E402,F401
+from . import q_rest  # noqa: E402,F401
