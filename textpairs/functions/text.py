@@ -108,7 +108,19 @@ def punct_equal_text(a: str | Column, b: str | Column, marks: list[str] = PUNCT_
             .when(a == b, F.lit(True))
             .when(F.length(a) != F.length(b), F.lit(False))
             .when(~a.rlike(mark_class), F.lit(False))
-            .otherwise(punct_equal(chars(a), chars(b), marks)))
+            .otherwise(F.regexp(b, punct_pattern(a, marks))))
+
+
+_PMARK = "\u0001"  # reserved: must not occur in compared texts
+
+
+def punct_pattern(a: Column, marks: list[str]) -> Column:
+    """Regex matching exactly the strings punctuation-blind equal to ``a``: ``a`` quoted
+    literally, each of its mark characters replaced by ``.`` (any character)."""
+    marked = F.translate(a, "".join(marks), _PMARK * len(marks))
+    quoted = F.replace(marked, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    body = F.replace(quoted, F.lit(_PMARK), F.lit("\\E.\\Q"))
+    return F.concat(F.lit("(?s)^\\Q"), body, F.lit("\\E$"))
 
 
 def extract_response(generated: str | Column) -> Column:

@@ -9,6 +9,8 @@ joined array (no fan-out join followed by sampling).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,19 +64,62 @@ def eligible_positions(text: Column, char_class: str) -> Column:
 _MARK = "\u0001"
 
 
+_CLASS_TOKEN = re.compile(r"\\x\{([0-9a-fA-F]+)\}|\\(.)|(.)", re.S)
+
+
+def class_chars(char_class: str) -> str | None:
+    """Explicit characters of a simple bracket class (``[a-z]``, ``[\\x{4e00}-\\x{9fff}]``,
+    literals and ranges only); None for anything else (negation, nested classes...)."""
+    if not (char_class.startswith("[") and char_class.endswith("]")) or char_class.startswith("[^"):
+        return None
+    body = char_class[1:-1]
+    if "[" in body or "&&" in body:
+        return None
+    items = []
+    for m in _CLASS_TOKEN.finditer(body):
+        if m.group(1):
+            items.append(chr(int(m.group(1), 16)))
+        elif m.group(2):
+            if m.group(2).isalnum():
+                return None  # \d, \w, \p{..}: not a literal
+            items.append(m.group(2))
+        else:
+            items.append(m.group(3))
+    out, i = [], 0
+    while i < len(items):
+        if i + 2 < len(items) and items[i + 1] == "-":
+            out.extend(chr(c) for c in range(ord(items[i]), ord(items[i + 2]) + 1))
+            i += 3
+        else:
+            out.append(items[i])
+            i += 1
+    return "".join(dict.fromkeys(out))
+
+
 def count_eligible(text: Column, char_class: str) -> Column:
-    """Number of characters of ``text`` in the single-character class (codegen'd)."""
-    return F.length(text) - F.length(F.regexp_replace(text, char_class, ""))
+    """Number of characters of ``text`` in the single-character class (codegen'd).
+
+    Simple classes use ``translate`` (a character map, no regex); others delete runs of
+    the class with one regex."""
+    chars_ = class_chars(char_class)
+    if chars_:
+        return F.length(text) - F.length(F.translate(text, chars_, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, char_class + "+", ""))
 
 
 def nth_eligible(text: Column, char_class: str, k: Column) -> Column:
     """1-based position of the (k+1)-th character in ``char_class``.
 
-    Eligible characters are replaced by a marker (lengths unchanged), then
+    Eligible characters are mapped to a marker (lengths unchanged), then
     ``substring_index`` cuts before the (k+1)-th marker: its length + 1 is the position.
     Pure codegen string functions; no per-character lambda.
     """
-    marked = F.regexp_replace(F.regexp_replace(text, _MARK, "\u0002"), char_class, _MARK)
+    chars_ = class_chars(char_class)
+    safe = F.translate(text, _MARK, "\u0002")
+    if chars_:
+        marked = F.translate(safe, chars_, _MARK * len(chars_))
+    else:
+        marked = F.regexp_replace(safe, char_class, _MARK)
     return F.length(F.call_function("substring_index", marked, F.lit(_MARK), (k + 1).cast("int"))) + 1
 
 
