@@ -87,8 +87,9 @@ def write_shards(df: DataFrame, folder: str, rows_per_file: int = 100_000, fmt:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).format(fmt).save(folder)
 
 
-def fingerprint(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def fingerprint(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """sha256 per file (in parallel), then sha256 over the sorted ``path:digest`` lines.
+    Returns (per-file digests, one-row corpus summary).
 
     Same change detection as the reference's single digest, different value. A file is
     read whole by one task (binaryFile), so this is for corpus files, not single huge blobs.
