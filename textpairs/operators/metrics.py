@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PUNCT_LONG, PUNCT_SHORT, annotate_text, punct_equal_text
+from ..session import bounded_broadcast
 
 EPS = 1e-12
 
@@ -268,7 +269,7 @@ def round_sig(x: Column, digits: int = 6) -> Column:
 def project_precision(metrics: DataFrame, ratios_df: DataFrame, recall: str = "recall",
                       fpr: str = "fpr") -> DataFrame:
     """Precision implied by recall and FPR at negative:positive ratio r (fractions)."""
-    j = metrics.crossJoin(F.broadcast(ratios_df))
+    j = metrics.crossJoin(bounded_broadcast(ratios_df))
     p = F.col(recall) / (F.col(recall) + F.col(fpr) * F.col("ratio"))
     j = j.withColumn("proj_precision", F.when(F.col(recall) + F.col(fpr) * F.col("ratio") > 0, p).otherwise(F.lit(0.0)))
     return j.withColumn("proj_f1", F.when(F.col("proj_precision") + F.col(recall) > 0,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..plans.indexing import row_index
+from ..session import bounded_broadcast
 
 
 def shuffle_key(key: str | Column, seed: int = 42, cycle: int = 0) -> Column:
@@ -27,7 +28,7 @@ def cycles(df: DataFrame, n: int) -> DataFrame:
     """Repeat the data ``n`` times with a ``cycle`` column (cycle c uses seed
     ``seed + c * 1000003`` in the reference; here the cycle is part of every draw)."""
     spark = df.sparkSession
-    return df.crossJoin(F.broadcast(spark.range(n).select(F.col("id").alias("cycle"))))
+    return df.crossJoin(bounded_broadcast(spark.range(n).select(F.col("id").alias("cycle"))))
 
 
 def with_shard(df: DataFrame, index_col: str, shard_count: int) -> DataFrame:

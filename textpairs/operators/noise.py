@@ -43,7 +43,7 @@ def lookup_candidates(df: DataFrame, conf: DataFrame, words: DataFrame, kind_col
         F.transform("_w", lambda x: x["ch"]).alias("_words"))
     j = df.join(bounded_broadcast(arr), (F.col(kind_col) == F.col("_k")) & (F.col(ch_col) == F.col("_c")),
                 "left")
-    j = j.crossJoin(F.broadcast(word_arr))  # exactly one row
+    j = j.crossJoin(bounded_broadcast(word_arr, max_rows=1))  # one row (array bounded by the word list)
     found = F.coalesce(F.size("cands"), F.lit(0)) > 0
     return (j.withColumn("_found", found)
             .withColumn(out_col, F.when(F.col("_found"), F.col("cands")).otherwise(F.col("_words")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
 from .clean import REASONS
 
 
@@ -58,7 +59,7 @@ def confusion_report(conf: DataFrame, vocab: DataFrame | None = None) -> DataFra
     c = conf
     if vocab is not None:
         v = vocab.select(F.col("token").alias("cand"), F.lit(True).alias("_in_vocab"))
-        c = c.join(F.broadcast(v), "cand", "left")
+        c = c.join(bounded_broadcast(v), "cand", "left")
     else:
         c = c.withColumn("_in_vocab", F.lit(True))
     per_char = c.groupBy("kind", "ch").agg(
