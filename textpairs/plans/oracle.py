@@ -35,16 +35,17 @@ SENT = """sent AS (
 
 
 def noise_ctes(base: str, text: str, out: str, apply: str = "TRUE", cls: str = "[a-z]",
-               seed: int = SEED, prefix: str = "n") -> tuple[str, str]:
-    """CTEs applying H01 to ``base``; returns (sql, name of last CTE)."""
+               seed: int = SEED, prefix: str = "n", elig: str | None = None) -> tuple[str, str]:
+    """CTEs applying H01 to ``base``; returns (sql, name of last CTE). ``elig`` replaces
+    the eligible-position list (1-based) when given."""
     p = prefix
+    elig_sql = elig if elig is not None else (
+        f"list_filter(range(1, length({text}) + 1), lambda i: regexp_matches(substr({text}, i, 1), '^{cls}$'))")
     kind = (f"CASE WHEN {H('k', 'kind', seed)} % 10 < 4 THEN 'same_sound' "
             f"WHEN {H('k', 'kind', seed)} % 10 < 7 THEN 'similar_sound' "
             f"WHEN {H('k', 'kind', seed)} % 10 < 9 THEN 'shape' ELSE 'word' END")
     sql = f"""{p}0 AS (
-  SELECT *, CASE WHEN NOT ({apply}) THEN []::BIGINT[]
-                 ELSE list_filter(range(1, length({text}) + 1),
-                                  lambda i: regexp_matches(substr({text}, i, 1), '^{cls}$')) END AS _elig
+  SELECT *, CASE WHEN NOT ({apply}) THEN []::BIGINT[] ELSE {elig_sql} END AS _elig
   FROM {base}),
 {p}1 AS (SELECT *, CASE WHEN len(_elig) > 0 THEN _elig[{H('k', 'pos', seed)} % len(_elig) + 1] END AS noise_pos
        FROM {p}0),

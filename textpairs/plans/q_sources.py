@@ -290,9 +290,23 @@ def c07_near_positions(spark, sf):
                     F.when(n > 0, F.element_at("near", -1)).cast("int").alias("near_hi"))
 
 
-@register("h02_near_error", None)
+_FIRST = ("coalesce(list_position(list_transform(list_filter(list_zip(" + chars_sql('src') + ", " + chars_sql('tgt') + "), "
+          "lambda z: z[1] IS NOT NULL), lambda z: z[2] IS NOT NULL AND z[1] <> z[2]), TRUE), 0) - 1")
+_H2_BASE = f"""h2a AS (SELECT guid, k, src, tgt, length(src) AS n, {_FIRST} AS fd FROM pairs),
+h2b AS (SELECT *, CASE WHEN n > 0 AND least(n, i + 6) - 1 >= greatest(0, i - 5)
+                       THEN range(greatest(0, i - 5), least(n, i + 6)) ELSE []::BIGINT[] END AS near
+        FROM (SELECT *, CASE WHEN fd >= 0 THEN fd ELSE n - 1 END AS i FROM h2a) a),
+h2c AS (SELECT *, CASE WHEN len(near) > 0 THEN near[{H('k', 'near', 7)} % len(near) + 1] END AS choice FROM h2b),
+h2d AS (SELECT *, CASE WHEN choice IS NOT NULL AND choice <> fd AND regexp_matches(substr(src, choice + 1, 1), '^[a-z]$')
+                       THEN [choice + 1] ELSE []::BIGINT[] END AS pos2 FROM h2c)"""
+_H2_NOISE, _H2_LAST = O.noise_ctes("h2d", "src", "noisy", seed=7, prefix="q", elig="pos2")
+
+
+@register("h02_near_error", O.with_base("pairs", f"SELECT guid, CAST(noise_pos AS INTEGER) AS noise_pos, noisy FROM {_H2_LAST}",
+                                        _H2_BASE + ",\n" + _H2_NOISE))
 def h02_near_error(spark, sf):
-    """A second error near the first (checked against a Python model in tests)."""
+    """A second error near the first (+-5 around the first difference); also checked
+    against a brute-force Python model in tests."""
     p = D.pairs(spark, sf)
     out = N.inject_near_error(p.select("guid", "k", "src", "tgt"), "src", "tgt", "k", D.confusion_df(spark),
                               D.words_df(spark), len(D.ALPHABET), seed=7, char_class=D.CHAR_CLASS)
