@@ -198,3 +198,4 @@ from . import q_more  # noqa: E402,F401
 from . import q_extra  # noqa: E402,F401
 from . import q_rest  # noqa: E402,F401
 from . import q_masks  # noqa: E402,F401
+from . import q_io  # noqa: E402,F401
