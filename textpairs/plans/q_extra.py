@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..functions.text import simple_difference, strip_prefix, strip_specials
+from ..functions.text import simple_difference, strip_prefix
 from ..operators import align as A
 from ..operators import clean as C
 from ..operators import layouts as L
@@ -17,12 +17,11 @@ from ..operators import noise as N
 from ..operators import reports as R
 from ..operators import runs as RU
 from ..operators import udf as U
-from ..operators import vocab as V
 from ..session import scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from . import oracle as O
-from .q_features import CLS, FEAT_CTE, MASK, PAD, SEP, _features, _ids_str, _rep, _str, x_chars
+from .q_features import CLS, FEAT_CTE, MASK, PAD, SEP, _features, _ids_str, _rep, _str
 from .q_tables import RUNS, _runs
 from .queries import register
 
@@ -259,5 +258,3 @@ def g09_strip_prefix(spark, sf):
     return tp.select("conv_id", "turn", simple_difference("src", "trg").alias("difference"),
                      strip_prefix(F.concat("src", "trg"), "src").alias("stripped"))
 
-
-_ = (strip_specials, V, x_chars)

@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..functions import rng
 from ..functions.text import extract_response
 from ..operators import clean as C
 from ..operators import layouts as L
@@ -288,5 +287,3 @@ def b12_missing_categories(spark, sf):
     present = D.table(spark, sf, "documents").select(F.col("source").alias("category"))
     return C.missing_categories(exp, present, "category", exempt=())
 
-
-_ = rng

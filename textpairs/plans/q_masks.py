@@ -12,7 +12,7 @@ from ..operators import prompts as P
 from ..operators import vocab as V
 from ..sources import derived as D
 from . import oracle as O
-from .q_features import CLS, FEAT_CTE, MASK, PAD, SEP, _features, _ids_sql, _rep, _turn_pairs
+from .q_features import CLS, FEAT_CTE, MASK, PAD, SEP, _features, _ids_sql, _turn_pairs
 from .q_rest import _ids_of
 from .q_sources import NOTOK
 from .queries import register

@@ -12,12 +12,12 @@ from ..operators import layouts as L
 from ..operators import metrics as M
 from ..operators import mix as MX
 from ..operators import vocab as V
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from ..streaming import stream as K
 from . import oracle as O
-from .q_features import CLS, FEAT_CTE, MASK, PAD, SEP, _features, _ids_sql, _ids_str, _rep, _str, x_chars
+from .q_features import CLS, FEAT_CTE, MASK, PAD, SEP, _features, _ids_sql, _ids_str, _rep, _str
 from .q_sources import LENIENT_CTE, NOTOK, TSV_CTE, WATERFALL_CTE, _ws_clean, _ws_count, classified
 from .queries import SAFE_SELECT, _counts_sql, _FLAGS_EXACT, register
 
@@ -217,5 +217,3 @@ def k06_stream_eval(spark, sf):
     return out.select("lang", "samples", "positives", "negatives", "tp", "fp", "fn", "wp", "prd_pos",
                       "precision", "recall", "f1", "fpr")
 
-
-_ = (materialize, x_chars)

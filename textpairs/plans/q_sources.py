@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import PUNCT_LONG, annotate_text, first_diff
+from ..functions.text import PUNCT_LONG, first_diff
 from ..operators import clean as C
 from ..operators import metrics as M
 from ..operators import noise as N
@@ -356,5 +356,3 @@ def a16_predictions(spark, sf):
     return t.select("guid", F.col("src").alias("input"), F.col("pred").alias("prediction"),
                     S.prediction_type("src", "pred").alias("type"))
 
-
-_ = annotate_text  # re-exported for users of this module

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
@@ -305,5 +304,3 @@ def j07_split_dev(spark, sf):
     s = MX.split_dev(D.sentences(spark, sf), "guid", 0.1, D.SEED)
     return s.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
 
-
-_ = Window
