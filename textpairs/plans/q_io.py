@@ -89,3 +89,39 @@ def a20_shards(spark, sf):
     S.write_shards(D.sentences(spark, sf).select(F.col("line").alias("value")), path, 500)
     per_file = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n"))
     return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 500).alias("within_cap"))
+
+
+def _a19_sql() -> str:
+    from . import oracle as O
+    from .q_sources import EVAL_CTE
+    from .queries import SAFE_SELECT, _FLAGS_EXACT, _counts_sql
+    extra = (_FLAGS_EXACT + ",\n" + _counts_sql(["source"]) + ",\n" + EVAL_CTE + f""",
+pc AS ({SAFE_SELECT.format(by='source, ')}),
+dr AS (SELECT source, count_if(reason = 'format') AS format FROM ev WHERE reason <> 'accepted' GROUP BY source),
+per_cat AS (SELECT pc.source, samples, f1, coalesce(dr.format, 0) AS format FROM pc LEFT JOIN dr ON pc.source = dr.source),
+av AS (SELECT list_reduce(list(CASE WHEN samples > 0 THEN f1 ELSE 0.0 END ORDER BY source), lambda a, b: a + b)
+              / CAST(count_if(samples > 0) AS DOUBLE) AS avg_f1 FROM per_cat)""")
+    body = """SELECT row_number() OVER (ORDER BY source) - 1 AS pos, upper(source) AS cat, samples, f1, format, avg_f1
+FROM per_cat, av"""
+    return O.with_base("triples", body, extra)
+
+
+@register("a19_report", _a19_sql())
+def a19_report(spark, sf):
+    """A19 + D03 + D06 + D15: the evaluation report as one JSON document (categories in the
+    fixed order, unknown ones after it by name, dropped counts per category, macro average),
+    parsed back into rows (position of each category in the document included)."""
+    from ..operators import metrics as M
+    from ..operators import reports as R
+    from .q_sources import _eval_classified
+
+    per_cat = M.correction_metrics(D.triples(spark, sf), ["source"], "safe").select("source", "samples", "f1")
+    dropped = R.dropped_counts(_eval_classified(spark, sf), "source").select("source", "format")
+    per_cat = per_cat.join(dropped, "source", "left").withColumn("format", F.coalesce("format", F.lit(0)).cast("bigint"))
+    avg = M.macro_average(per_cat.withColumn("f1", F.col("f1")), "source", ["f1"]).where(F.col("rule") == "mean_valid").select("f1")
+    doc = S.report_json(per_cat, "source", ["samples", "f1"], ["format"], avg)
+    schema = "struct<results: map<string, struct<samples: bigint, f1: double, dropped: struct<format: bigint>>>, average: struct<f1: double>>"
+    parsed = doc.select(F.from_json("report", schema).alias("r"))
+    rows = parsed.select(F.posexplode("r.results").alias("pos", "cat", "v"), F.col("r.average.f1").alias("avg_f1"))
+    return rows.select(F.col("pos").cast("bigint"), "cat", F.col("v.samples").alias("samples"), F.col("v.f1").alias("f1"),
+                       F.col("v.dropped.format").alias("format"), "avg_f1")

@@ -2,6 +2,7 @@
 --write from the Spark plans; the oracle SQL is cast to them)."""
 
 SCHEMAS = {
+    'a19_report': [('pos', 'BIGINT'), ('cat', 'VARCHAR'), ('samples', 'BIGINT'), ('f1', 'DOUBLE'), ('format', 'BIGINT'), ('avg_f1', 'DOUBLE')],
     'a01_tsv_strict': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('n_src', 'INTEGER'), ('n_trg', 'INTEGER'), ('src_text', 'VARCHAR'), ('trg_text', 'VARCHAR')],
     'a02_tsv_lenient': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('n_src', 'INTEGER'), ('n_tgt', 'INTEGER'), ('src_text', 'VARCHAR'), ('tgt_text', 'VARCHAR')],
     'a03_jsonl_validate': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('error', 'VARCHAR'), ('src', 'VARCHAR'), ('tgt', 'VARCHAR')],
