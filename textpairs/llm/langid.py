@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, crc_bucket, table
 
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, PRIMER_BYTES = 600, (20, 20_000), 200_000, 2_000
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, PRIMER_BYTES = 600, (20, 20_000), 64_000, 2_000
 LEVEL, MIN_MARGIN, SHARPNESS = 5, 0.002, 2.0
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
