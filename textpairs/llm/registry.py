@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, pii
+from . import langid, pii, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_personal_data": pii.op3_personal_data,
+    "op6_simhash": simhash.op6_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
