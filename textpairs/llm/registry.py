@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, pii, simhash
+from . import langid, pii, resample, rules, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_personal_data": pii.op3_personal_data,
+    "op4_importance_resampling": resample.op4_importance_resampling,
+    "op5_quality_rules": rules.op5_quality_rules,
     "op6_simhash": simhash.op6_simhash,
 }
 
