@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, pii, resample, rules, simhash
+from . import langid, packing, pii, resample, rules, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_importance_resampling": resample.op4_importance_resampling,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_simhash": simhash.op6_simhash,
+    "op7_packing": packing.op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
