@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, packing, pii, resample, rules, simhash
+from . import ann, langid, linededup, packing, pii, resample, rules, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op9_hilbert_neighbours": ann.op9_hilbert_neighbours,
 }
 
