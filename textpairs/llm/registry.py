@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, linededup, packing, pii, resample, rules, simhash
+from . import ann, langid, linededup, packing, pii, resample, rules, simhash, warc
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_hilbert_neighbours": ann.op9_hilbert_neighbours,
+    "op10_warc_derivatives": warc.op10_warc_derivatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_warc_derivatives": warc.ORACLE_SQL}
