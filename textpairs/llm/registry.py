@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, langid, linededup, packing, pii, resample, rules, simhash, warc
+from . import ann, langid, linededup, packing, pieces, pii, resample, rules, simhash, warc
 
 QUERIES = {
+    "op1_sampled_pieces": pieces.op1_sampled_pieces,
     "op2_language_id": langid.op2_language_id,
     "op3_personal_data": pii.op3_personal_data,
     "op4_importance_resampling": resample.op4_importance_resampling,
