@@ -13,16 +13,18 @@ def _c(x: str | Column) -> Column:
 def align(src: DataFrame, trg: DataFrame, pred: DataFrame, key: str = "guid") -> DataFrame:
     """Equi-join on the key (full outer): nothing is silently truncated.
 
-    ``status`` is ``ok``, ``missing_prediction``, ``missing_target`` or ``missing_source``.
+    ``status`` is ``ok``, ``missing_prediction``, ``missing_target`` or ``missing_source``, by
+    whether the side has the key; a row whose text is null is there.
     The join shuffles the three sides by key once (co-partitioned); a skewed key is split
     by AQE's skew-join handling.
     """
-    j = src.join(trg, key, "full").join(pred, key, "full")
-    status = (F.when(F.col("src").isNull(), F.lit("missing_source"))
-              .when(F.col("tgt").isNull(), F.lit("missing_target"))
-              .when(F.col("pred").isNull(), F.lit("missing_prediction"))
+    sides = [df.withColumn(flag, F.lit(True)) for df, flag in ((src, "_has_src"), (trg, "_has_trg"), (pred, "_has_pred"))]
+    j = sides[0].join(sides[1], key, "full").join(sides[2], key, "full")
+    status = (F.when(F.col("_has_src").isNull(), F.lit("missing_source"))
+              .when(F.col("_has_trg").isNull(), F.lit("missing_target"))
+              .when(F.col("_has_pred").isNull(), F.lit("missing_prediction"))
               .otherwise(F.lit("ok")))
-    return j.withColumn("status", status)
+    return j.withColumn("status", status).drop("_has_src", "_has_trg", "_has_pred")
 
 
 def split_at_first(tokens: str | Column, sep: str) -> Column:

@@ -39,11 +39,6 @@ def slots(max_seq: int, rule: str = "stream", prompt_len: int = 0) -> int:
     raise ValueError(rule)
 
 
-def with_guid(df: DataFrame, split: str, index_col: str = "line_idx") -> DataFrame:
-    """guid = ``{split}-{i}`` with ``i`` the line index before any filter."""
-    return df.withColumn("guid", F.concat(F.lit(split + "-"), F.col(index_col).cast("string")))
-
-
 def filter_equal_length(df: DataFrame, src: str = "src_tokens", trg: str = "trg_tokens") -> DataFrame:
     """Keep pairs whose token lists have equal length (silent drop, as the reference)."""
     return df.where(F.size(src) == F.size(trg))
@@ -68,7 +63,8 @@ def classify_pairs(df: DataFrame, vocab: DataFrame | V.CharVocab, max_seq: int =
               .when(F.col("_ns") != F.col("_nt"), F.lit("token_mismatch"))
               .when(F.col("_ns") > cap, F.lit("seq_length"))
               .otherwise(F.lit("accepted")))
-    d = d.withColumn("reason", reason)
+    from ..sources.readers import once
+    d = once(d, [c for c in d.columns if c != "reason"], reason.alias("reason"))
     tokenised = F.col("reason").isin("token_mismatch", "seq_length", "accepted")
     d = (d.withColumn("n_tok", F.when(tokenised, F.col("_ns") + F.col("_nt")).otherwise(F.lit(0)))
          .withColumn("n_unk", F.when(tokenised, cv.n_unk(s) + cv.n_unk(t)).otherwise(F.lit(0))))
@@ -99,7 +95,8 @@ def classify_eval_pairs(df: DataFrame, vocab: DataFrame | V.CharVocab, max_seq:
               .when(F.col("_ns") != F.col("_nt"), F.lit("token_mismatch"))
               .when(F.col("_ns") > cap, F.lit("seq_length"))
               .otherwise(F.lit("accepted")))
-    return d.withColumn("reason", reason).drop("_ns", "_nt")
+    from ..sources.readers import once
+    return once(d, [c for c in d.columns if c not in ("reason", "_ns", "_nt")], reason.alias("reason"))
 
 
 def truncate_pairs(df: DataFrame, n: int, cols: Sequence[str] = ("src_tokens", "tgt_tokens")) -> DataFrame:
@@ -109,12 +106,12 @@ def truncate_pairs(df: DataFrame, n: int, cols: Sequence[str] = ("src_tokens", "
     return df
 
 
-def filter_unk(df: DataFrame, ids_cols: Sequence[str], unk_id: int) -> DataFrame:
-    """Drop rows whose ids contain UNK."""
+def without_ids(ids_cols: Sequence[str], unk_id: int) -> Column:
+    """Whether no id array of the row holds UNK."""
     cond = F.lit(True)
     for c in ids_cols:
         cond = cond & ~F.array_contains(c, unk_id)
-    return df.where(cond)
+    return cond
 
 
 def drop_ids(col: str | Column, ids: Sequence[int]) -> Column:

@@ -204,13 +204,17 @@ def f1_scores(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFr
         (F.col("_sw") / _d("n")).alias("f1_weighted"))
 
 
+def _products(a: str, b: str) -> Column:
+    """Exact sum of products of two counts, beyond the range of bigint."""
+    return F.sum((F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast("decimal(38,0)"))
+
+
 def mcc(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
     """Multiclass Matthews correlation from exact integer sums; 0 when undefined."""
     cs = class_stats(confusion_matrix(df, pred, label))
     a = cs.agg(F.sum("tp").alias("c"), F.sum("n_true").alias("s"),
-               F.sum(F.col("n_pred") * F.col("n_true")).alias("pt"),
-               F.sum(F.col("n_pred") * F.col("n_pred")).alias("pp"),
-               F.sum(F.col("n_true") * F.col("n_true")).alias("tt"))
+               _products("n_pred", "n_true").alias("pt"), _products("n_pred", "n_pred").alias("pp"),
+               _products("n_true", "n_true").alias("tt"))
     num = _d("c") * _d("s") - _d("pt")
     den = F.sqrt((_d("s") * _d("s") - _d("pp")) * (_d("s") * _d("s") - _d("tt")))
     return a.select(F.col("s").alias("n"), F.when(den > 0, num / den).otherwise(F.lit(0.0)).alias("mcc"))
@@ -235,8 +239,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman rank correlation (average ranks for ties), Pearson on exact rank sums."""
     r = average_ranks(average_ranks(df.select(x, y), x, "_rx"), y, "_ry")
     a = r.agg(F.count(F.lit(1)).alias("n"), F.sum("_rx").alias("sx"), F.sum("_ry").alias("sy"),
-              F.sum(F.col("_rx") * F.col("_ry")).alias("sxy"), F.sum(F.col("_rx") * F.col("_rx")).alias("sxx"),
-              F.sum(F.col("_ry") * F.col("_ry")).alias("syy"))
+              _products("_rx", "_ry").alias("sxy"), _products("_rx", "_rx").alias("sxx"),
+              _products("_ry", "_ry").alias("syy"))
     num = _d("n") * _d("sxy") - _d("sx") * _d("sy")
     den = F.sqrt((_d("n") * _d("sxx") - _d("sx") * _d("sx")) * (_d("n") * _d("syy") - _d("sy") * _d("sy")))
     return a.select("n", F.when(den > 0, num / den).otherwise(F.lit(None).cast("double")).alias("spearman"))
@@ -259,15 +263,6 @@ def perplexity(steps: DataFrame, loss_cents: str, by: Sequence[str] = ()) -> Dat
     return a.withColumn("mean_loss", mean).withColumn("perplexity", F.exp(F.col("mean_loss"))).drop("_cents")
 
 
-def round_sig(x: Column, digits: int = 6) -> Column:
-    """Round to ``digits`` significant digits with exact powers of ten (engine independent
-    unless the value sits on a rounding tie)."""
-    k = F.floor(F.log10(x)) - (digits - 1)
-    up = F.round(x / F.pow(F.lit(10.0), k)) * F.pow(F.lit(10.0), k)
-    down = F.round(x * F.pow(F.lit(10.0), -k)) / F.pow(F.lit(10.0), -k)
-    return F.when(x > 0, F.when(k >= 0, up).otherwise(down)).otherwise(x)
-
-
 def project_precision(metrics: DataFrame, ratios_df: DataFrame, recall: str = "recall",
                       fpr: str = "fpr") -> DataFrame:
     """Precision implied by recall and FPR at negative:positive ratio r (fractions)."""

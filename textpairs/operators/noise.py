@@ -35,22 +35,6 @@ def candidate_arrays(conf: DataFrame) -> DataFrame:
             .select("kind", "ch", F.transform("_pairs", lambda x: x["cand"]).alias("cands")))
 
 
-def lookup_candidates(df: DataFrame, conf: DataFrame, words: DataFrame, kind_col: str,
-                      ch_col: str, out_col: str = "cands") -> DataFrame:
-    """Candidates of ``(kind, ch)``; falls back to the word list when absent or empty."""
-    arr = candidate_arrays(conf).withColumnRenamed("kind", "_k").withColumnRenamed("ch", "_c")
-    word_arr = words.agg(F.sort_array(F.collect_list(F.struct("idx", "ch"))).alias("_w")).select(
-        F.transform("_w", lambda x: x["ch"]).alias("_words"))
-    j = df.join(bounded_broadcast(arr), (F.col(kind_col) == F.col("_k")) & (F.col(ch_col) == F.col("_c")),
-                "left")
-    j = j.crossJoin(bounded_broadcast(word_arr, max_rows=1))  # one row (array bounded by the word list)
-    found = F.coalesce(F.size("cands"), F.lit(0)) > 0
-    return (j.withColumn("_found", found)
-            .withColumn(out_col, F.when(F.col("_found"), F.col("cands")).otherwise(F.col("_words")))
-            .withColumn("from_word_list", ~F.col("_found"))
-            .drop("_k", "_c", "_words", "_found"))
-
-
 def eligible_positions(text: Column, char_class: str) -> Column:
     """1-based positions whose character is in ``char_class`` (empty for empty text).
 

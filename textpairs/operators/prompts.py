@@ -37,7 +37,7 @@ def few_shot_block(train: DataFrame, order: str, src: str, trg: str, k: int) ->
 
 def with_few_shot(test: DataFrame, block: DataFrame) -> DataFrame:
     """The shared few-shot prompt attached to every test row (one-row broadcast)."""
-    return test.crossJoin(bounded_broadcast(block, max_rows=1))
+    return test.crossJoin(F.broadcast(block))
 
 
 def chat_prompt(src: str | Column, few_shot: str | Column) -> Column:

@@ -2,19 +2,18 @@
 
 A vocabulary is a table ``(token string, id int)`` bounded by the model's vocabulary (about
 21k rows for a character model). Token and UNK counts are codegen'd ``regexp_replace``
-lengths against a character class built from it; ids are produced by an Arrow-batched
-dict lookup shipped to the workers. No join, no shuffle.
+lengths against a character class built from it; ids come from a constant array by code
+point. No join, no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import chars
 from ..session import bounded_broadcast
 
 # ---------------------------------------------------------------------------
@@ -36,28 +35,6 @@ def basic_vocab(spark: SparkSession, symbols: str) -> DataFrame:
     return spark.createDataFrame(rows, "token string, id int")
 
 
-def vocab_map(vocab: DataFrame) -> DataFrame:
-    """One row, one column ``_vmap``: token -> id (for small vocabularies only: Spark's map
-    lookup scans the keys)."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_vmap"))
-
-
-def with_vocab(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Attach the vocabulary map (one broadcast row) as column ``_vmap``."""
-    return df.crossJoin(bounded_broadcast(vocab_map(vocab), max_rows=1))
-
-
-def tokens(text: str | Column) -> Column:
-    """Character tokens that produce an id (whitespace/control characters dropped)."""
-    return F.filter(chars(text), lambda c: ~c.rlike(NO_TOKEN_CLASS))
-
-
-def encode_tokens(toks: Column) -> Column:
-    """C02 for small vocabularies: ids via the attached ``_vmap`` (unknown -> UNK)."""
-    unk = F.element_at(F.col("_vmap"), F.lit(UNK))
-    return F.transform(toks, lambda t: F.coalesce(F.element_at(F.col("_vmap"), t), unk))
-
-
 def token_text(text: str | Column) -> Column:
     """The text without characters that produce no token (codegen'd)."""
     c = text if isinstance(text, Column) else F.col(text)
@@ -65,7 +42,6 @@ def token_text(text: str | Column) -> Column:
 
 
 NO_TOKEN_RUN = "(?U)[\\s\\p{Cc}\\p{Cf}]+"
-VOCAB_CLASS_LIMIT = 1_000_000
 
 
 def _class_of(chars_: list[str]) -> str:
@@ -84,17 +60,14 @@ def _class_of(chars_: list[str]) -> str:
 class CharVocab:
     """A character vocabulary prepared for codegen'd counting and batched encoding.
 
-    The vocabulary is a bounded dimension table (checked): its single-character tokens are
-    read once to build (a) one regex character class, so token and UNK counts are two
-    ``regexp_replace`` calls per row inside whole-stage codegen, and (b) a dict shipped to
-    the Python workers of the Arrow-batched encoder.
+    Its single-character tokens (at most one per code point) are read once to build (a) one
+    regex character class, so token and UNK counts are two ``regexp_replace`` calls per row
+    inside whole-stage codegen, and (b) the encoder's constant array of ids.
     """
 
     def __init__(self, vocab: DataFrame):
-        n = vocab.count()
-        if n > VOCAB_CLASS_LIMIT:
-            raise ValueError(f"vocabulary of {n} rows exceeds {VOCAB_CLASS_LIMIT}")
-        rows = vocab.select("token", "id").collect()  # bounded dimension table
+        # characters and specials only: bounded by the number of code points
+        rows = vocab.where((F.length("token") == 1) | F.col("token").isin(*SPECIALS)).select("token", "id").collect()
         self.ids = {r["token"]: int(r["id"]) for r in rows}
         self.single = [t for t in self.ids if len(t) == 1]
         self.cls = _class_of(self.single)
@@ -109,37 +82,21 @@ class CharVocab:
     def n_unk(self, text: str | Column) -> Column:
         return F.length(F.regexp_replace(token_text(text), self.cls, ""))
 
-    def encode(self, text: str | Column) -> Column:
-        """Ids of the tokens of ``text`` (UNK for unknown), Arrow-batched."""
-        from pyspark.sql import types as T
+    def encode(self, text: str | Column, limit: int | None = None) -> Column:
+        """Ids of the tokens of ``text`` (UNK for unknown), of the first ``limit`` if given.
 
-        ids, unk = self.ids, self.unk
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def enc(s: pd.Series) -> pd.Series:
-            import unicodedata
-
-            def keep(c: str) -> bool:
-                return not (c.isspace() or unicodedata.category(c) in ("Cc", "Cf"))
-
-            return s.map(lambda x: None if x is None else [ids.get(c, unk) for c in x if keep(c)])
-
-        c = text if isinstance(text, Column) else F.col(text)
-        return enc(c)
-
-
-def char_vocab(texts: DataFrame, text_col: str, min_count: int = 1) -> DataFrame:
-    """Vocabulary built from a corpus: distinct characters by descending frequency.
-
-    A map-side partial count per character, one shuffle of (char, count) pairs; ids are
-    assigned over the distinct characters only (bounded by the alphabet).
-    """
-    counts = (texts.select(F.explode(tokens(text_col)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= min_count))
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("n").desc(), F.col("token"))
-    return counts.withColumn("id", (F.row_number().over(w) + len(SPECIALS) - 1).cast("int"))
+        Ids stand in one constant array by code point, so a lookup is an array access; the
+        text is cut before it is split."""
+        top = max(map(ord, self.single), default=0)
+        ids = [self.unk] * (top + 2)
+        for t in self.single:
+            ids[ord(t)] = self.ids[t]
+        t = token_text(text)
+        if limit is not None:
+            t = F.substring(t, 1, limit)
+        table = F.from_json(F.lit(json.dumps(ids)), "array<int>")  # folded to a constant once
+        found = F.transform(F.split(t, ""), lambda c: F.get(table, F.least(F.ascii(c), F.lit(top + 1))))
+        return F.when(t == "", F.array().cast("array<int>")).otherwise(found)
 
 
 def label_table(spark: SparkSession, task: str, labels: Sequence[str]) -> DataFrame:
@@ -148,24 +105,19 @@ def label_table(spark: SparkSession, task: str, labels: Sequence[str]) -> DataFr
                                  "task string, label string, label_id int")
 
 
-def with_label_id(df: DataFrame, labels: DataFrame, label_col: str = "label",
-                  task_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``label_id``, rows whose label is unknown). Unknown is an error in
-    the reference; here it is returned for the caller to raise on or report."""
-    keys = [label_col] if task_col is None else [task_col, label_col]
-    lab = labels.withColumnRenamed("label", label_col)
-    if task_col is not None:
-        lab = lab.withColumnRenamed("task", task_col)
-    else:
-        lab = lab.drop("task")
-    small = bounded_broadcast(lab)
-    return df.join(small, keys, "inner"), df.join(small, keys, "left_anti")
+def label_id_or_fail(df: DataFrame, labels: DataFrame, label_col: str = "label") -> DataFrame:
+    """Adds ``label_id``; an unknown label fails the query."""
+    lab = labels.select(F.col("label").alias(label_col), "label_id")
+    out = df.join(bounded_broadcast(lab), label_col, "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(label_col), F.lit("null")))).cast("int")
+    return out.withColumn("label_id", F.coalesce("label_id", unknown))
 
 
 def with_label_words(df: DataFrame, words: DataFrame, vocab: DataFrame, label_col: str = "label") -> DataFrame:
     """Label -> ordered words -> ids. ``words``: (task, label, label_id, word_pos, word)."""
-    w = with_vocab(words, vocab).withColumn("word_id", F.coalesce(
-        F.element_at(F.col("_vmap"), F.col("word")), F.element_at(F.col("_vmap"), F.lit(UNK)))).drop("_vmap")
+    unk = vocab.where(F.col("token") == UNK).first()["id"]
+    w = (words.join(bounded_broadcast(vocab), F.col("word") == F.col("token"), "left")
+         .withColumn("word_id", F.coalesce("id", F.lit(unk))))
     per_label = (w.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("word_pos", "word", "word_id"))).alias("_w"))
                  .select(F.col("label").alias(label_col), F.transform("_w", lambda x: x["word"]).alias("label_words"),
                          F.transform("_w", lambda x: x["word_id"]).alias("label_word_ids")))

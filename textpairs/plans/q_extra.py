@@ -21,7 +21,7 @@ from ..session import scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from . import oracle as O
-from .q_features import CLS, FEAT_CTE, MASK, PAD, SEP, _features, _ids_str, _rep, _str
+from .q_features import CLS, MASK, PAD, SEP, _batch, _ids_str, _rep, _str, batch_cte
 from .q_tables import RUNS, _runs
 from .queries import register
 
@@ -127,12 +127,6 @@ def f01_sighan_union(spark, sf):
 
 # ------------------------------------------------------------------ I02, I05, I12 layouts
 
-def _ids(acc):
-    src_ids = F.slice("input_ids", 2, F.size(F.filter("source_mask", lambda x: x)))
-    tgt_ids = F.filter("mft_targets", lambda x: x != -100)
-    return acc.select("guid", src_ids.alias("s_ids"), tgt_ids.alias("t_ids"))
-
-
 _B = MAXS // 2 - 2
 
 
@@ -148,11 +142,12 @@ FROM (SELECT guid,
         {_pad(f"([{CLS}] || s || [{SEP}] || {_rep(MASK, 'len(t)')} || [{SEP}])", PAD)} AS inp,
         {_pad(f"([{CLS}] || s || [{SEP}] || t || [{SEP}])", PAD)} AS lab,
         {_pad(f"([{CLS}] || t || [{SEP}] || t || [{SEP}])", PAD)} AS ref
-      FROM (SELECT guid, s_ids[1:{_B}] AS s, t_ids[1:{_B}] AS t FROM feat) x) y""", FEAT_CTE))
+      FROM (SELECT guid, s_ids AS s, t_ids AS t FROM batch) x) y""", batch_cte(_B)))
 def i02_batch_layout(spark, sf):
-    """I02 + I12: batch rephrase layout (both sides cut to max//2-2) with label and reference
-    arrays; loss labels are -100 wherever the input equals the label."""
-    t = _ids(_features(spark, sf))
+    """B07 + I02 + I12: batch rephrase layout of every well-formed pair (both sides cut to max//2-2,
+    listed ids dropped, pairs left unequal skipped) with label and reference arrays; loss labels
+    are -100 wherever the input equals the label."""
+    t = _batch(spark, sf, _B)
     lay = L.rephrase_batch("s_ids", "t_ids", MAXS, CLS, SEP, MASK, PAD)
     d = t.select("guid", lay.alias("l"))
     return d.select("guid", _str("l.src_ids").alias("src_ids"), _str("l.trg_ids").alias("trg_ids"),
@@ -164,32 +159,37 @@ _P = 3
 _CAP5 = MAXS // 2 - _P
 
 
+_FIT5 = f"1 + {_P} + len(s) + {_P} + len(t) + 1 <= {MAXS}"
+
+
+def _i05_sql(first: str, last: str) -> str:
+    seq = f"([{CLS}] || {_rep(CLS, str(_P))} || {first} || {_rep(SEP, str(_P))} || {last} || [{SEP}])"
+    return f"CASE WHEN {_FIT5} THEN {_ids_str(_pad(seq, PAD))} END"
+
+
 @register("i05_prompted_layout", O.with_base("pairs", f"""
-SELECT guid, len(ids) <= {MAXS} AS fits, {_ids_str(_pad('ids', PAD))} AS src_ids,
-       {_ids_str(_pad(f"([0] || {_rep(1, str(_P))} || {_rep(0, 'len(s)')} || {_rep(1, str(_P))} || {_rep(0, 'len(t) + 1')})", 0))} AS block_flag
-FROM (SELECT guid, s, t, [{CLS}] || {_rep(CLS, str(_P))} || s || {_rep(SEP, str(_P))} || {_rep(MASK, 'len(t)')} || [{SEP}] AS ids
-      FROM (SELECT guid, s_ids[1:{_CAP5}] AS s, t_ids[1:{_CAP5}] AS t FROM feat) x) y""", FEAT_CTE))
+SELECT guid, {_FIT5} AS fits, {_i05_sql('s', _rep(MASK, 'len(t)'))} AS src_ids, {_i05_sql('s', 't')} AS trg_ids,
+       {_i05_sql('t', 't')} AS trg_ref_ids,
+       CASE WHEN {_FIT5} THEN {_ids_str(_pad(f"([0] || {_rep(1, str(_P))} || {_rep(0, 'len(s)')} || {_rep(1, str(_P))} || {_rep(0, 'len(t) + 1')})", 0))} END AS block_flag
+FROM (SELECT guid, s_ids AS s, t_ids AS t FROM batch) x""", batch_cte(_CAP5)))
 def i05_prompted_layout(spark, sf):
-    """Prompted rephrase layout with prompt length 3 and block flags; rows that would
-    exceed max_seq are flagged (``fits`` false) instead of losing target slots."""
-    t = _ids(_features(spark, sf))
-    lay = L.prompted_rephrase("s_ids", "t_ids", MAXS, _P, CLS, SEP, MASK, PAD)
-    d = t.select("guid", lay.alias("l"))
-    return d.select("guid", F.col("l.fits").alias("fits"), _str("l.src_ids").alias("src_ids"),
-                    _str("l.block_flag").alias("block_flag"))
+    """Prompted rephrase layout with prompt length 3, block flags, labels and reference;
+    rows that would exceed max_seq are rejected (``fits`` false, null arrays), not cut."""
+    t = _batch(spark, sf, _CAP5)
+    d = t.select("guid", L.prompted_rephrase("s_ids", "t_ids", MAXS, _P, CLS, SEP, MASK, PAD).alias("l"))
+    return d.select("guid", F.col("l.fits").alias("fits"), *[_str(f"l.{c}").alias(c) for c in
+                                                            ("src_ids", "trg_ids", "trg_ref_ids", "block_flag")])
 
 
 @register("g14_decode", O.with_base("pairs", f"""
-SELECT guid, array_to_string(t_ids, ' ') AS at_mask, array_to_string(t_ids, ' ') AS by_offset FROM feat""", FEAT_CTE))
+SELECT guid, array_to_string(t_ids, ' ') AS at_mask, array_to_string(t_ids, ' ') AS by_offset FROM batch""", batch_cte(_B)))
 def g14_decode(spark, sf):
-    """A model output (here the labels themselves) read back at the MASK positions
-    (G13/G14) and by offset n_src+2 (G15); both must give the target ids."""
-    f = _features(spark, sf)
-    out = F.zip_with("input_ids", "labels", lambda x, lab: F.when(lab != -100, lab).otherwise(x))
-    n_src = F.size(F.filter("source_mask", lambda x: x))
-    n_trg = F.size(F.filter("labels", lambda x: x != -100))
-    return f.select("guid", _str(A.gather_at_mask("input_ids", out, F.lit(MASK))).alias("at_mask"),
-                    _str(A.gather_offset(out, n_src, n_trg)).alias("by_offset"))
+    """A model output (here the layout's own labels) read back at the MASK positions
+    (G13/G14) and by offset n_src+2 (G15); both must give the target ids of every pair."""
+    t = _batch(spark, sf, _B)
+    f = t.select("guid", F.size("s_ids").alias("n"), L.rephrase_batch("s_ids", "t_ids", MAXS, CLS, SEP, MASK, PAD).alias("l"))
+    return f.select("guid", _str(A.gather_at_mask("l.src_ids", F.col("l.trg_ids"), F.lit(MASK))).alias("at_mask"),
+                    _str(A.gather_offset(F.col("l.trg_ids"), F.col("n"), F.col("n"))).alias("by_offset"))
 
 
 @register("h05_any_mask_report", O.with_base("pairs", f"""
@@ -197,12 +197,15 @@ SELECT lang, count(*) AS n_rows, sum(len(c)) AS n_candidates, sum(n_masked) AS n
        CASE WHEN sum(len(c)) > 0 THEN CAST(sum(n_masked) AS DOUBLE) / CAST(sum(len(c)) AS DOUBLE) ELSE 0.0 END AS mask_rate
 FROM (SELECT lang, c, len(list_filter(c, lambda i:
         CAST({H("guid || ':' || CAST(i AS VARCHAR)", 'mask')} AS DOUBLE) / 4294967296.0 < 0.15)) AS n_masked
-      FROM (SELECT lang, guid, list_filter(range(1, n + 1), lambda i: s_ids[i] > 4) AS c FROM feat) x) a
-GROUP BY lang""", FEAT_CTE))
+      FROM (SELECT lang, guid, list_filter(range(1, len(s_ids) + 1), lambda i: s_ids[i] > 4) AS c FROM batch) x) a
+GROUP BY lang""", batch_cte(_B)))
 def h05_any_mask_report(spark, sf):
     """Any non-special position masked at rate 0.15, realised rate per domain (UNK
     counts as special, as in a BERT tokenizer's special-token mask)."""
-    f = _features(spark, sf).withColumn("special", F.transform("input_ids", lambda x: x <= MASK))
+    t = _batch(spark, sf, _B)
+    f = t.select("guid", "lang", L.rephrase_batch("s_ids", "t_ids", MAXS, CLS, SEP, MASK, PAD).alias("l")).select(
+        "guid", "lang", F.col("l.src_ids").alias("input_ids"))
+    f = f.withColumn("special", F.transform("input_ids", lambda x: x <= MASK))
     m = MK.any_position_mask(f, "guid", "special", 0.15, MASK, seed=D.SEED)
     cand = F.transform("special", lambda s: ~s)
     return MK.mask_report(m.withColumn("cand", cand), "cand", "selected", ["lang"])

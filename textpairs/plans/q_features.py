@@ -16,13 +16,13 @@ from ..operators import prompts as P
 from ..operators import udf as U
 from ..operators import vocab as V
 from ..plans.indexing import line_index, row_index
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from ..sources import sinks as S
 from ..streaming import stream as K
 from . import oracle as O
-from .q_sources import WATERFALL_CTE, classified
+from .q_sources import JSONL_CTE, NOTOK, WATERFALL_CTE, classified
 from .queries import SAFE_SELECT, _counts_sql, _FLAGS_EXACT, register
 
 H = O.H
@@ -49,12 +49,46 @@ def _ids_str(a: str) -> str:
 
 def _features(spark, sf):
     cv = V.CharVocab(D.vocab(spark))
-    acc = C.encode_accepted(materialize(classified(spark, sf)), cv)
+    acc = C.encode_accepted(classified(spark, sf), cv)
     f = L.rephrase_stream("src_ids", "tgt_ids", D.MAX_SEQ, CLS, SEP, MASK, PAD)
     return acc.select("guid", "doc_id", "sent_no", "lang", "source", f.alias("f")).select(
         "guid", "doc_id", "sent_no", "lang", "source", "f.*")
 
 
+DROPPED = [6]  # ids removed before a batch layout is built
+
+
+def _whole(spark, sf):
+    """Ids of both sides of every well-formed pair, whole: the batch layouts cut for themselves."""
+    cv = V.CharVocab(D.vocab(spark))
+    lines = D.jsonl_lines(spark, sf).select("guid", "lang", "line")
+    return (RD.with_json_pair(lines, "line").where("valid")
+            .select("guid", "lang", cv.encode("src").alias("s_ids"), cv.encode("tgt").alias("t_ids")))
+
+
+def _batch(spark, sf, cap: int):
+    """Pairs as the batch layouts take them: both sides cut, listed ids dropped, unequal ones skipped."""
+    w = _whole(spark, sf)
+    for c in ("s_ids", "t_ids"):
+        w = w.withColumn(c, C.drop_ids(F.slice(c, 1, cap), DROPPED))
+    return w.where(F.size("s_ids") == F.size("t_ids"))
+
+
+def _clean_sql(x: str) -> str:
+    return f"regexp_replace({x}, '{NOTOK}', '', 'g')"
+
+
+WHOLE_CTE = JSONL_CTE + f""",
+whole AS (SELECT guid, lang, {_ids_sql(_clean_sql('psrc'))} AS s_ids, {_ids_sql(_clean_sql('ptgt'))} AS t_ids FROM jv WHERE valid)"""
+
+
+def batch_cte(cap: int) -> str:
+    return WHOLE_CTE + f""",
+batch AS (SELECT * FROM (
+  SELECT guid, lang, list_filter(s_ids[1:{cap}], lambda i: i <> {DROPPED[0]}) AS s_ids,
+         list_filter(t_ids[1:{cap}], lambda i: i <> {DROPPED[0]}) AS t_ids FROM whole) x WHERE len(s_ids) = len(t_ids))"""
+
+
 FEAT_CTE = WATERFALL_CTE + f""",
 acc AS (SELECT guid, doc_id, sent_no, lang, source, {_ids_sql('psrc')} AS s_ids, {_ids_sql('ptgt')} AS t_ids
         FROM wc WHERE reason = 'accepted'),
@@ -103,7 +137,7 @@ FROM (SELECT guid, shard, row_number() OVER (PARTITION BY shard ORDER BY {H("gui
 def j04_batches(spark, sf):
     """B11 + J01 + J02 + J04: raw line index (all lines count), 4 shards, hash shuffle,
     consecutive batches of 32 per shard (exact numbering, no single-partition window)."""
-    c = classified(spark, sf)
+    c = classified(spark, sf).select("doc_id", "sent_no", "guid", "reason")  # the index moves no text
     c = row_index(c, ["doc_id", "sent_no"], out_col="raw_idx")
     c = MX.with_shard(c, "raw_idx", 4).where(F.col("reason") == "accepted")
     b = MX.with_batch(c, "guid", 32, D.SEED, "shard")
@@ -123,21 +157,54 @@ def e05_line_index(spark, sf):
     return line_index(spark.read.text(path)).select("line_idx", F.col("value").alias("line"))
 
 
+def _write_lines(lines, path):
+    lines.select(F.col("line").alias("value")).write.mode("append").option("maxRecordsPerFile", 50_000).text(path)
+
+
+def _classified_stream(spark, root):
+    return K.classified_stream(K.pair_stream(spark, f"{root}/in", 64), D.vocab(spark), D.MAX_SEQ)
+
+
 @register("k03_stream_stats", O.with_base("pairs", """
 SELECT reason, count(*) AS n, CAST(sum(n_tok) AS BIGINT) AS n_tok, CAST(sum(n_unk) AS BIGINT) AS n_unk
 FROM wc GROUP BY reason""", WATERFALL_CTE))
 def k03_stream_stats(spark, sf):
-    """JSONL files streamed with the file source (one file per trigger,
-    availableNow), classified by the batch waterfall, running counts per reason kept as
+    """JSONL files streamed with the file source (availableNow), classified by the batch waterfall, running counts per reason kept as
     streaming state and snapshotted after every micro-batch."""
     root = scratch_path(spark, "stream")
-    D.jsonl_lines(spark, sf).select(F.col("line").alias("value")).repartition(4).write.text(f"{root}/in")
-    st = K.classified_stream(K.pair_stream(spark, f"{root}/in", 1), D.vocab(spark), D.MAX_SEQ)
-    q = K.snapshot(K.running_stats(st), f"{root}/out", f"{root}/ckpt")
+    _write_lines(D.jsonl_lines(spark, sf), f"{root}/in")
+    q = K.snapshot(K.running_stats(_classified_stream(spark, root)), f"{root}/out", f"{root}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
+@register("k01_feature_stream", O.with_base("pairs", f"""
+SELECT {_ids_str(f"[{CLS}] || s_ids || [{SEP}] || {_rep(MASK, 'n')} || [{SEP}] || {_rep(PAD, f'{D.MAX_SEQ} - 2 * n - 3')}")} AS input_ids,
+       {_ids_str(f"{_rep(-100, 'n + 2')} || t_ids || [-100] || {_rep(-100, f'{D.MAX_SEQ} - 2 * n - 3')}")} AS labels
+FROM feat""", FEAT_CTE))
+def k01_feature_stream(spark, sf):
+    """JSONL files streamed, classified, encoded and laid out as I01 training rows."""
+    root = scratch_path(spark, "features")
+    _write_lines(D.jsonl_lines(spark, sf), f"{root}/in")
+    rows = K.feature_stream(_classified_stream(spark, root), D.vocab(spark), D.MAX_SEQ)
+    K.append(rows, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(_str("input_ids").alias("input_ids"), _str("labels").alias("labels"))
+
+
+@register("k02_route_restart", O.with_base("pairs", "SELECT reason, count(*) AS n FROM wc GROUP BY reason", WATERFALL_CTE))
+def k02_route_restart(spark, sf):
+    """K02 + K04: accepted and rejected rows routed to two folders; the stream is stopped, more files
+    arrive, and it goes on from its checkpoint without reading the first ones again."""
+    root = scratch_path(spark, "route")
+    lines = D.jsonl_lines(spark, sf).withColumn("late", F.pmod(F.xxhash64("guid"), F.lit(2)) == 1)
+    for late in (False, True):
+        _write_lines(lines.where(F.col("late") == late), f"{root}/in")
+        K.route(_classified_stream(spark, root), f"{root}/good", f"{root}/bad", f"{root}/ckpt").awaitTermination()
+    good = spark.read.parquet(f"{root}/good").select(F.lit("accepted").alias("reason"))
+    return (good.unionByName(spark.read.parquet(f"{root}/bad").select("reason"))
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
 @register("m01_corrector_hook", O.with_base("triples", SAFE_SELECT.format(by="lang, "),
           _FLAGS_EXACT.replace("FROM triples", "FROM (SELECT * EXCLUDE (pred), src AS pred FROM triples) t") + ",\n" + _counts_sql(["lang"])))
 def m01_corrector_hook(spark, sf):

@@ -10,7 +10,7 @@ from ..operators import align as A
 from ..operators import layouts as L
 from ..sources import derived as D
 from . import oracle as O
-from .q_features import CLS, FEAT_CTE, PAD, SEP, _features, _ids_str, _rep, _str, x_chars
+from .q_features import CLS, PAD, SEP, WHOLE_CTE, _ids_str, _rep, _str, _whole, x_chars
 from .queries import register
 
 H = O.H
@@ -21,30 +21,34 @@ MAXS = D.MAX_SEQ
 SELECT guid,
   {_ids_str(f"[{CLS}] || s_ids[1:{MAXS - 2}] || [{SEP}] || {_rep(PAD, f'{MAXS} - len(s_ids[1:{MAXS - 2}]) - 2')}")} AS src_ids,
   {_ids_str(f"[{CLS}] || t_ids[1:{MAXS - 2}] || [{SEP}] || {_rep(PAD, f'{MAXS} - len(t_ids[1:{MAXS - 2}]) - 2')}")} AS trg_ids
-FROM feat""", FEAT_CTE))
+FROM whole""", WHOLE_CTE))
 def i03_tagging(spark, sf):
-    """Tagging layout ``[CLS] src [SEP]`` vs ``[CLS] trg [SEP]``, cut and padded."""
-    acc = _features(spark, sf)
-    src_ids = F.slice("input_ids", 2, F.size(F.filter("source_mask", lambda x: x)))
-    tgt_ids = F.filter("mft_targets", lambda x: x != -100)
-    t = acc.select("guid", src_ids.alias("s_ids"), tgt_ids.alias("t_ids"))
+    """Tagging layout ``[CLS] src [SEP]`` vs ``[CLS] trg [SEP]`` of every well-formed pair,
+    cut and padded."""
+    t = _whole(spark, sf)
     lay = L.tagging("s_ids", "t_ids", MAXS, CLS, SEP, PAD)
     return t.select("guid", _str(lay["src_ids"]).alias("src_ids"), _str(lay["trg_ids"]).alias("trg_ids"))
 
 
+def _left(a: str, v: int) -> str:
+    """Left pad to MAXS; longer arrays keep their last MAXS items."""
+    return f"({_rep(v, f'{MAXS} - len({a})')} || ({a})[greatest(len({a}) - {MAXS} + 1, 1):])"
+
+
+_C8 = MAXS // 2 - 2
+
+
 @register("i08_causal", O.with_base("pairs", f"""
-SELECT guid, {_ids_str('list_transform(range(greatest(' + str(MAXS) + ' - len(seq), 0)), lambda i: ' + str(PAD) + ') || seq[greatest(len(seq) - ' + str(MAXS) + ' + 1, 1):]')} AS input_ids,
-       {_ids_str('list_transform(range(greatest(' + str(MAXS) + ' - len(lab), 0)), lambda i: -100) || lab[greatest(len(lab) - ' + str(MAXS) + ' + 1, 1):]')} AS labels
-FROM (SELECT guid, [{CLS}] || s_ids[1:{MAXS // 2 - 2}] || [{SEP}] || t_ids[1:{MAXS // 2 - 2}] || [{SEP}] AS seq,
-             {_rep(-100, f'len(s_ids[1:{MAXS // 2 - 2}]) + 2')} || t_ids[1:{MAXS // 2 - 2}] || [{SEP}] AS lab FROM feat) x""", FEAT_CTE))
+SELECT guid, {_ids_str(_left(f'([{CLS}] || s || t)', PAD))} AS input_ids,
+       {_ids_str(_left(f'({_rep(-100, "len(s) + 1")} || t)', -100))} AS labels,
+       {_ids_str(_left(f'([-100] || s || {_rep(-100, "len(t)")})', -100))} AS regu_src,
+       {_ids_str(_left(f'(([{CLS}] || t || {_rep(-100, "len(s)")})[1:len(s) + len(t) + 1])', -100))} AS target_ref
+FROM (SELECT guid, s_ids[1:{_C8}] || [{SEP}] AS s, t_ids[1:{_C8}] || [{SEP}] AS t FROM whole) x""", WHOLE_CTE))
 def i08_causal(spark, sf):
-    """Left-padded ``CLS src SEP trg EOS`` with labels on the target (EOS = SEP here)."""
-    acc = _features(spark, sf)
-    src_ids = F.slice("input_ids", 2, F.size(F.filter("source_mask", lambda x: x)))
-    tgt_ids = F.filter("mft_targets", lambda x: x != -100)
-    t = acc.select("guid", src_ids.alias("s_ids"), tgt_ids.alias("t_ids"))
-    lay = L.causal("s_ids", "t_ids", MAXS, CLS, SEP, SEP, PAD)
-    return t.select("guid", _str(lay["input_ids"]).alias("input_ids"), _str(lay["labels"]).alias("labels"))
+    """Left-padded ``CLS src SEP trg EOS`` of every well-formed pair, labels on the target
+    (EOS = SEP here), with the source and target references."""
+    d = _whole(spark, sf).select("guid", L.causal("s_ids", "t_ids", MAXS, CLS, SEP, SEP, PAD).alias("l"))
+    return d.select("guid", *[_str(f"l.{c}").alias(c) for c in ("input_ids", "labels", "regu_src", "target_ref")])
 
 
 @register("g10_arrows", O.with_base("pairs", f"""
@@ -74,7 +78,7 @@ def c05_align(spark, sf):
     """Sources, targets and predictions (one in 17 unanswered) aligned by guid with a
     full outer join; missing predictions are reported, not dropped."""
     t = D.triples(spark, sf)
-    src = t.select("guid", "src")
+    src = t.select("guid", F.when(F.length("src") > 1, F.col("src")).alias("src"))  # null texts are still there
     trg = t.select("guid", "tgt")
     answered = F.pmod(rng.hash32(F.col("k"), rng.purpose("answered", D.SEED)), F.lit(17)) != 0
     pred = t.where(answered).select("guid", "pred")

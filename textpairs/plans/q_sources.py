@@ -31,15 +31,20 @@ JSONL_CTE = f"""jl AS (
       WHEN 4 THEN json_object('src', substr(src, 1, 1) || ' ' || substr(src, 3), 'tgt', tgt)::VARCHAR
       WHEN 5 THEN json_object('src', src, 'tgt', substr(tgt, 1, greatest(length(tgt) - 1, 0)))::VARCHAR
       WHEN 6 THEN json_object('src', '', 'tgt', tgt)::VARCHAR
-      ELSE json_object('src', src, 'tgt', tgt)::VARCHAR END AS line
+      WHEN 7 THEN json_object('src', src, 'tgt', tgt)::VARCHAR || ' {{"c":1}}'
+      WHEN 8 THEN json_object('src', src, 'tgt', tgt)::VARCHAR || ' x}}'
+      WHEN 9 THEN '{{"src":0,' || substr(json_object('src', src, 'tgt', tgt)::VARCHAR, 2)
+      ELSE json_object('src', src, 'tgt', tgt)::VARCHAR END AS raw
   FROM pairs),
+jl2 AS (  -- of a repeated key the last value counts; DuckDB would read the first
+  SELECT *, CASE WHEN starts_with(raw, '{{"src":0,') THEN '{{' || substr(raw, 10) ELSE raw END AS line FROM jl),
 jp AS (
   SELECT *, CASE WHEN line = '' THEN NULL
                  WHEN NOT json_valid(line) OR json_type(line) <> 'OBJECT' THEN 'bad_json'
                  WHEN json_type(line, '$.src') IS NULL OR json_type(line, '$.tgt') IS NULL THEN 'missing_field'
                  WHEN json_type(line, '$.src') <> 'VARCHAR' OR json_type(line, '$.tgt') <> 'VARCHAR' THEN 'non_string'
             END AS error
-  FROM jl),
+  FROM jl2),
 jv AS (
   SELECT *, line = '' OR error IS NULL AS valid,
          CASE WHEN line = '' THEN '' WHEN error IS NULL THEN json_extract_string(line, '$.src') END AS psrc,

@@ -2,7 +2,6 @@
 --write from the Spark plans; the oracle SQL is cast to them)."""
 
 SCHEMAS = {
-    'a19_report': [('pos', 'BIGINT'), ('cat', 'VARCHAR'), ('samples', 'BIGINT'), ('f1', 'DOUBLE'), ('format', 'BIGINT'), ('avg_f1', 'DOUBLE')],
     'a01_tsv_strict': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('n_src', 'INTEGER'), ('n_trg', 'INTEGER'), ('src_text', 'VARCHAR'), ('trg_text', 'VARCHAR')],
     'a02_tsv_lenient': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('n_src', 'INTEGER'), ('n_tgt', 'INTEGER'), ('src_text', 'VARCHAR'), ('tgt_text', 'VARCHAR')],
     'a03_jsonl_validate': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('error', 'VARCHAR'), ('src', 'VARCHAR'), ('tgt', 'VARCHAR')],
@@ -14,6 +13,7 @@ SCHEMAS = {
     'a15_responses': [('guid', 'VARCHAR'), ('line', 'VARCHAR')],
     'a16_predictions': [('guid', 'VARCHAR'), ('input', 'VARCHAR'), ('prediction', 'VARCHAR'), ('type', 'VARCHAR')],
     'a18_run_log': [('event_type', 'VARCHAR'), ('n_rows', 'BIGINT'), ('best', 'DOUBLE')],
+    'a19_report': [('pos', 'BIGINT'), ('cat', 'VARCHAR'), ('samples', 'BIGINT'), ('f1', 'DOUBLE'), ('format', 'BIGINT'), ('avg_f1', 'DOUBLE')],
     'a20_shards': [('n_rows', 'BIGINT'), ('within_cap', 'BOOLEAN')],
     'a21_fingerprint': [('n_files', 'BIGINT'), ('n_bytes', 'BIGINT'), ('corpus_digest', 'VARCHAR')],
     'b01_tsv_file_guid': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('n_src', 'INTEGER'), ('trg_text', 'VARCHAR')],
@@ -21,7 +21,7 @@ SCHEMAS = {
     'b03_reject_waterfall': [('guid', 'VARCHAR'), ('reason', 'VARCHAR'), ('n_tok', 'INTEGER'), ('n_unk', 'INTEGER')],
     'b04_eval_waterfall': [('guid', 'VARCHAR'), ('reason', 'VARCHAR')],
     'b06_truncate': [('lang', 'VARCHAR'), ('n_cut', 'BIGINT'), ('n_tokens_kept', 'BIGINT')],
-    'b07_filter_unk': [('lang', 'VARCHAR'), ('n_accepted', 'BIGINT'), ('n_without_unk', 'BIGINT')],
+    'b07_filter_unk': [('lang', 'VARCHAR'), ('n_pairs', 'BIGINT'), ('n_without_unk', 'BIGINT')],
     'b12_missing_categories': [('category', 'VARCHAR')],
     'b13_after_step': [('shard', 'BIGINT'), ('n_rows', 'BIGINT')],
     'c03_label_ids': [('doc_id', 'BIGINT'), ('label', 'VARCHAR'), ('label_id', 'INTEGER')],
@@ -40,7 +40,7 @@ SCHEMAS = {
     'd09_mcc': [('n', 'BIGINT'), ('mcc', 'DOUBLE')],
     'd10_spearman': [('n', 'BIGINT'), ('spearman', 'DOUBLE')],
     'd11_span_accuracy': [('n_spans', 'BIGINT'), ('n_exact', 'BIGINT'), ('n_tokens', 'BIGINT'), ('n_matched', 'BIGINT'), ('slacc', 'DOUBLE'), ('tlacc', 'DOUBLE')],
-    'd12_perplexity': [('run', 'BIGINT'), ('n_steps', 'BIGINT'), ('mean_loss', 'DOUBLE'), ('perplexity', 'DOUBLE')],
+    'd12_perplexity': [('run', 'BIGINT'), ('n_steps', 'BIGINT'), ('mean_loss', 'DOUBLE')],
     'd13_audit': [('lang', 'VARCHAR'), ('total_records', 'BIGINT'), ('accepted', 'BIGINT'), ('invalid_records', 'BIGINT'), ('empty_records', 'BIGINT'), ('dropped_length_mismatch', 'BIGINT'), ('dropped_token_mismatch', 'BIGINT'), ('dropped_seq_length', 'BIGINT'), ('unknown_tokens', 'BIGINT'), ('total_tokens', 'BIGINT'), ('unk_rate', 'DOUBLE')],
     'd14_overflow': [('lang', 'VARCHAR'), ('n', 'BIGINT'), ('n_over', 'BIGINT'), ('pct_over', 'DOUBLE')],
     'd15_dropped': [('source', 'VARCHAR'), ('format', 'BIGINT'), ('length_mismatch', 'BIGINT'), ('token_mismatch', 'BIGINT'), ('seq_length', 'BIGINT')],
@@ -74,17 +74,19 @@ SCHEMAS = {
     'i01_layout': [('guid', 'VARCHAR'), ('input_ids', 'VARCHAR'), ('labels', 'VARCHAR'), ('n_attended', 'INTEGER'), ('n_mft_candidates', 'INTEGER')],
     'i02_batch_layout': [('guid', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('trg_ref_ids', 'VARCHAR'), ('loss_labels', 'VARCHAR')],
     'i03_tagging': [('guid', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR')],
-    'i05_prompted_layout': [('guid', 'VARCHAR'), ('fits', 'BOOLEAN'), ('src_ids', 'VARCHAR'), ('block_flag', 'VARCHAR')],
-    'i06_classification': [('doc_id', 'BIGINT'), ('label_id', 'INTEGER'), ('src_ids', 'VARCHAR'), ('n_attended', 'INTEGER')],
-    'i07_prompted_classification': [('doc_id', 'BIGINT'), ('src_ids', 'VARCHAR'), ('active_bits', 'VARCHAR'), ('trg_ids', 'VARCHAR')],
-    'i08_causal': [('guid', 'VARCHAR'), ('input_ids', 'VARCHAR'), ('labels', 'VARCHAR')],
-    'i09_instruction_mask': [('conv_id', 'BIGINT'), ('turn', 'BIGINT'), ('n_attended', 'INTEGER'), ('n_labels', 'INTEGER'), ('n_candidates', 'INTEGER'), ('n_masked', 'INTEGER')],
-    'i10_eval_records': [('guid', 'VARCHAR'), ('n_src', 'INTEGER'), ('n_trg', 'INTEGER'), ('n_attended', 'INTEGER'), ('pred_sum', 'BIGINT')],
+    'i05_prompted_layout': [('guid', 'VARCHAR'), ('fits', 'BOOLEAN'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('trg_ref_ids', 'VARCHAR'), ('block_flag', 'VARCHAR')],
+    'i06_classification': [('doc_id', 'BIGINT'), ('label_id', 'INTEGER'), ('src_ids', 'VARCHAR'), ('token_type_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('task_id', 'INTEGER'), ('n_attended', 'INTEGER')],
+    'i07_prompted_classification': [('doc_id', 'BIGINT'), ('label_word_ids', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('prompt_mask', 'VARCHAR'), ('active_bits', 'VARCHAR'), ('trg_ids', 'VARCHAR')],
+    'i08_causal': [('guid', 'VARCHAR'), ('input_ids', 'VARCHAR'), ('labels', 'VARCHAR'), ('regu_src', 'VARCHAR'), ('target_ref', 'VARCHAR')],
+    'i09_instruction_mask': [('style', 'VARCHAR'), ('conv_id', 'BIGINT'), ('turn', 'BIGINT'), ('overflow', 'INTEGER'), ('labels', 'VARCHAR'), ('src_ref', 'VARCHAR'), ('input_ids', 'VARCHAR')],
+    'i10_eval_records': [('guid', 'VARCHAR'), ('n_src', 'INTEGER'), ('n_trg', 'INTEGER'), ('n_attended', 'INTEGER'), ('pred_sum', 'BIGINT'), ('src_text', 'VARCHAR'), ('trg_text', 'VARCHAR')],
     'j03_cycles': [('cycle', 'BIGINT'), ('n', 'BIGINT'), ('n_changed', 'BIGINT'), ('n_noised', 'BIGINT')],
     'j04_batches': [('guid', 'VARCHAR'), ('shard', 'BIGINT'), ('batch_id', 'BIGINT'), ('pos_in_shard', 'BIGINT')],
     'j06_rotate_mix': [('step', 'BIGINT'), ('task_no', 'INTEGER'), ('n', 'BIGINT')],
     'j07_split_dev': [('lang', 'VARCHAR'), ('split', 'VARCHAR'), ('n', 'BIGINT')],
     'j09_mix_report': [('win', 'BIGINT'), ('task_no', 'INTEGER'), ('n', 'BIGINT'), ('share', 'DOUBLE')],
+    'k01_feature_stream': [('input_ids', 'VARCHAR'), ('labels', 'VARCHAR')],
+    'k02_route_restart': [('reason', 'VARCHAR'), ('n', 'BIGINT')],
     'k03_stream_stats': [('reason', 'VARCHAR'), ('n', 'BIGINT'), ('n_tok', 'BIGINT'), ('n_unk', 'BIGINT')],
     'k06_stream_eval': [('lang', 'VARCHAR'), ('samples', 'BIGINT'), ('positives', 'BIGINT'), ('negatives', 'BIGINT'), ('tp', 'BIGINT'), ('fp', 'BIGINT'), ('fn', 'BIGINT'), ('wp', 'BIGINT'), ('prd_pos', 'BIGINT'), ('precision', 'DOUBLE'), ('recall', 'DOUBLE'), ('f1', 'DOUBLE'), ('fpr', 'DOUBLE')],
     'l01_label_product': [('id', 'BIGINT'), ('pred_label', 'INTEGER')],

@@ -9,11 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest side (rows) we are willing to ship to every executor. Dimension tables of this
-# engine (vocabulary, confusion sets, label maps, offsets) are far below it; anything
-# above falls back to a shuffled join chosen by Catalyst/AQE.
-BROADCAST_ROW_LIMIT = 2_000_000
-
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "textpairs") -> SparkSession:
@@ -43,7 +38,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables.
 
     Taken from the session (``spark.checkpoint.dir`` or an already set checkpoint dir).
-    Only when neither is set (local runs and tests) a private temporary folder is used.
+    Only when neither is set on a local master (local runs and tests) a private temporary
+    folder is used; on a cluster, where executors could not read it, this is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textpairs-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,6 +61,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Largest side we ship to every executor; dimension tables (vocabulary, confusion sets, label
+# maps) are far below it.
 BROADCAST_BYTE_LIMIT = 32 * 1024 * 1024
 
 
@@ -75,31 +75,11 @@ def plan_size_bytes(df: DataFrame) -> int | None:
     return size if size < (1 << 62) else None
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
-                      max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise leave the join to Catalyst.
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast ``df`` when the optimizer's size estimate, in bytes, is within the bound.
 
-    First the optimizer's statistics (no job); when they are unknown or too large, one
-    count over the side. Beyond the bound the unhinted frame is returned, so the planner
-    uses a shuffled (sort-merge) join and AQE may still convert it at run time.
+    No job is run for it. Otherwise the unhinted frame is returned: the planner uses a
+    shuffled join and AQE converts it at run time if the real size allows.
     """
     est = plan_size_bytes(df)
-    if est is not None and est <= max_bytes:
-        return F.broadcast(df)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder: cuts lineage (survives the
-    loss of executors) and stops Catalyst from pushing filters on derived columns below
-    the projections that compute them (which would evaluate those expressions twice)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def write_table(df: DataFrame, spark: SparkSession, name: str, fmt: str = "parquet") -> DataFrame:
-    """Materialise ``df`` into the shared scratch folder and read it back (cuts lineage)."""
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").format(fmt).save(path)
-    return spark.read.format(fmt).load(path)
+    return F.broadcast(df) if est is not None and est <= max_bytes else df

@@ -126,7 +126,8 @@ def vocab(spark: SparkSession) -> DataFrame:
 def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSONL pair lines with rule-based breakage (1 line in 13 each): cut JSON, missing
     field, number instead of string, blank line, a space inside src, tgt one shorter,
-    empty src; the rest are valid ``{"src":..,"tgt":..}`` lines."""
+    empty src, a second object or a bare word behind the object, a repeated key (its last
+    value counts); the rest are valid ``{"src":..,"tgt":..}`` lines."""
     p = pairs(spark, sf_dir).withColumn("_f", F.pmod(rng.hash32(F.col("k"), rng.purpose("fmt", SEED)), F.lit(13)))
     f = F.col("_f")
     s, t = F.col("src"), F.col("tgt")
@@ -140,6 +141,9 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(f == 4, F.to_json(F.struct(spaced.alias("src"), t.alias("tgt"))))
             .when(f == 5, F.to_json(F.struct(s.alias("src"), shorter.alias("tgt"))))
             .when(f == 6, F.to_json(F.struct(F.lit("").alias("src"), t.alias("tgt"))))
+            .when(f == 7, F.concat(js, F.lit(' {"c":1}')))
+            .when(f == 8, F.concat(js, F.lit(" x}")))
+            .when(f == 9, F.concat(F.lit('{"src":0,'), F.substring(js, 2, 1 << 30)))
             .otherwise(js))
     return p.select("guid", "doc_id", "sent_no", "lang", "source", "k", line.alias("line"))
 

@@ -66,61 +66,46 @@ def read_pairs_lenient(spark: SparkSession, path: str | Sequence[str]) -> DataFr
 
 # ---------------------------------------------------------------- A03 (JSONL pairs)
 
-def parse_json_pair(line: str | Column, a: str = "src", b: str = "tgt", blank_as: str = "empty") -> Column:
-    """Strict object test of a stripped line.
-
-    ``valid`` requires a JSON object whose ``a`` and ``b`` fields are both strings. Spark's
-    parser also accepts trailing text, so the stripped line must end with ``}``.
-    ``error`` is ``bad_json``, ``missing_field`` or ``non_string``. A blank line is ``empty``
-    (stream semantics: two empty strings) or ``invalid`` (audit semantics).
-    """
-    s = py_strip(_c(line))
-    v = F.try_parse_json(s)
-    fa = F.try_variant_get(v, f"$.{a}", "variant")
-    fb = F.try_variant_get(v, f"$.{b}", "variant")
-    is_obj = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT") & s.endswith("}")
-    present = fa.isNotNull() & fb.isNotNull()
-    strings = (F.schema_of_variant(fa) == "STRING") & (F.schema_of_variant(fb) == "STRING")
-    blank = s == ""
-    valid = F.when(blank, F.lit(blank_as == "empty")).otherwise(is_obj & present & strings)
-    error = (F.when(blank, F.lit(None if blank_as == "empty" else "bad_json"))
-             .when(~is_obj, F.lit("bad_json"))
-             .when(~present, F.lit("missing_field"))
-             .when(~strings, F.lit("non_string")))
-    return F.struct(
-        F.coalesce(valid, F.lit(False)).alias("valid"),
-        error.alias("error"),
-        F.when(blank & F.lit(blank_as == "empty"), F.lit("")).when(valid, F.try_variant_get(v, f"$.{a}", "string")).alias(a),
-        F.when(blank & F.lit(blank_as == "empty"), F.lit("")).when(valid, F.try_variant_get(v, f"$.{b}", "string")).alias(b),
-    )
+def once(df: DataFrame, keep: Sequence[str], *cols: Column) -> DataFrame:
+    """``keep`` and ``cols``, computed once: a generator of one row, through which Catalyst pushes no
+    filter that would repeat their expressions."""
+    made = df.select(*keep, F.explode(F.array(F.struct(*cols))).alias("_once"))
+    return made.select(*keep, "_once.*")
 
 
 def with_json_pair(df: DataFrame, line: str, a: str = "src", b: str = "tgt", blank_as: str = "empty") -> DataFrame:
-    """A03 as staged projections (same result as ``parse_json_pair``).
+    """Strict object test of a stripped line, as columns valid, error, ``a`` and ``b``.
+
+    ``valid`` requires one JSON object, with nothing behind it, whose ``a`` and ``b`` are both
+    strings; of a repeated key the last counts. ``error`` is ``bad_json``, ``missing_field`` or
+    ``non_string``. A blank line is ``empty`` (stream semantics: two empty strings) or
+    ``invalid`` (audit semantics).
 
-    The stripped line, the parsed variant and the field types are separate columns used
-    several times each, so Catalyst keeps them computed once instead of inlining the whole
-    parse into every consumer (which also keeps whole-stage codegen methods small).
+    Spark's parser stops behind the first value, so the line is parsed inside an array and
+    inside an object: text that could go on in both does not exist. Every step is a column of
+    its own, so that Catalyst computes it once.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     d = df.withColumn("_js", py_strip(F.col(line)))
-    d = d.withColumn("_jv", F.try_parse_json("_js"))
-    d = (d.withColumn("_jfa", F.try_variant_get("_jv", f"$.{a}", "variant"))
-         .withColumn("_jfb", F.try_variant_get("_jv", f"$.{b}", "variant")))
+    d = (d.withColumn("_jv", F.try_parse_json(F.concat(F.lit('{"x":'), "_js", F.lit("}"))))
+         .withColumn("_jw", F.try_parse_json(F.concat(F.lit("["), "_js", F.lit("]")))))
+    d = (d.withColumn("_jfa", F.try_variant_get("_jv", f"$.x.{a}", "variant"))
+         .withColumn("_jfb", F.try_variant_get("_jv", f"$.x.{b}", "variant")))
     d = (d.withColumn("_jblank", F.col("_js") == "")
-         .withColumn("_jobj", F.col("_jv").isNotNull() & F.schema_of_variant("_jv").startswith("OBJECT")
-                     & F.col("_js").endswith("}"))
+         .withColumn("_jobj", F.col("_jv").isNotNull() & F.col("_jw").isNotNull() & F.col("_js").startswith("{"))
          .withColumn("_jpresent", F.col("_jfa").isNotNull() & F.col("_jfb").isNotNull())
          .withColumn("_jstr", (F.schema_of_variant("_jfa") == "STRING") & (F.schema_of_variant("_jfb") == "STRING")))
     ok = F.col("_jobj") & F.col("_jpresent") & F.col("_jstr")
-    d = d.withColumn("valid", F.coalesce(F.when(F.col("_jblank"), F.lit(blank_as == "empty")).otherwise(ok), F.lit(False)))
-    d = d.withColumn("error", F.when(F.col("_jblank"), F.lit(None if blank_as == "empty" else "bad_json"))
-                     .when(~F.col("_jobj"), F.lit("bad_json"))
-                     .when(~F.col("_jpresent"), F.lit("missing_field"))
-                     .when(~F.col("_jstr"), F.lit("non_string")))
     empty_blank = F.col("_jblank") & F.lit(blank_as == "empty")
-    d = (d.withColumn(a, F.when(empty_blank, F.lit("")).when(F.col("valid"), F.variant_get("_jfa", "$", "string")))
-         .withColumn(b, F.when(empty_blank, F.lit("")).when(F.col("valid"), F.variant_get("_jfb", "$", "string"))))
-    return d.drop("_js", "_jv", "_jfa", "_jfb", "_jblank", "_jobj", "_jpresent", "_jstr")
+    valid = F.coalesce(F.when(F.col("_jblank"), F.lit(blank_as == "empty")).otherwise(ok), F.lit(False))
+    error = (F.when(F.col("_jblank"), F.lit(None if blank_as == "empty" else "bad_json"))
+             .when(~F.col("_jobj"), F.lit("bad_json"))
+             .when(~F.col("_jpresent"), F.lit("missing_field"))
+             .when(~F.col("_jstr"), F.lit("non_string")))
+    d = d.withColumn("_jok", valid)
+    text = lambda v: F.when(empty_blank, F.lit("")).when(F.col("_jok"), F.variant_get(v, "$", "string"))
+    keep = [c for c in df.columns if c not in ("valid", "error", a, b)]
+    return once(d, keep, F.col("_jok").alias("valid"), error.alias("error"), text("_jfa").alias(a), text("_jfb").alias(b))
 
 
 def read_pairs_jsonl(spark: SparkSession, path: str | Sequence[str], blank_as: str = "empty") -> DataFrame:
@@ -136,10 +121,9 @@ def read_source_target(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """A04 + F01: union of ``{source, target}`` JSONL files; a missing file is an error
     (the scan fails); bad rows are kept as ``valid`` false (counted as ``format``)."""
     lines = spark.read.text(list(paths)).withColumn("file_path", F.col("_metadata.file_path"))
-    p = lines.withColumn("_p", parse_json_pair("value", "source", "target", blank_as="invalid"))
-    return p.select("file_path", "_p.valid", F.col("_p.source").alias("source"), F.col("_p.target").alias("target"),
-                    F.when(F.col("_p.valid"), chars("_p.source")).alias("src_tokens"),
-                    F.when(F.col("_p.valid"), chars("_p.target")).alias("tgt_tokens"))
+    p = with_json_pair(lines, "value", "source", "target", blank_as="invalid")
+    return p.select("file_path", "valid", "source", "target", F.when(F.col("valid"), chars("source")).alias("src_tokens"),
+                    F.when(F.col("valid"), chars("target")).alias("tgt_tokens"))
 
 
 def read_sentences(spark: SparkSession, path: str | Sequence[str], drop_blank: bool = True) -> DataFrame:

@@ -28,21 +28,31 @@ def classified_stream(stream: DataFrame, vocab: DataFrame, max_seq: int = 128) -
                                 .withColumn("tgt", F.coalesce("tgt", F.lit(""))), vocab, max_seq)
 
 
-def feature_stream(classified: DataFrame, vocab_ids: dict[str, int], max_seq: int = 128) -> DataFrame:
-    """Accepted rows laid out as I01 training features."""
-    acc = classified.where(F.col("reason") == "accepted")
-    f = layouts.rephrase_stream("src_ids", "tgt_ids", max_seq, vocab_ids[V.CLS], vocab_ids[V.SEP],
-                                vocab_ids[V.MASK], vocab_ids[V.PAD])
+def feature_stream(classified: DataFrame, vocab: DataFrame, max_seq: int = 128) -> DataFrame:
+    """Accepted rows encoded and laid out as I01 training features."""
+    cv = V.CharVocab(vocab)
+    acc = clean.encode_accepted(classified, cv)
+    f = layouts.rephrase_stream("src_ids", "tgt_ids", max_seq, *(cv.id_of(x) for x in (V.CLS, V.SEP, V.MASK, V.PAD)))
     return acc.select("file_path", f.alias("f")).select("file_path", "f.*")
 
 
+def append(rows: DataFrame, out: str, checkpoint: str):
+    """Rows to a Parquet folder, exactly once (the sink's own commit log)."""
+    return (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def route(classified: DataFrame, good: str, bad: str, checkpoint: str):
-    """Accepted rows to one sink, rejected rows (with reason) to another, without
-    stopping the stream. Returns the started query (availableNow trigger)."""
+    """Accepted rows to one folder, rejected rows (with reason) to another, without stopping
+    the stream. Each micro-batch overwrites its own ``batch_id=`` folder, so a retried batch leaves
+    one copy; the batch is computed once for both. Returns the started query (availableNow)."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.where(F.col("reason") == "accepted").select("src", "tgt").write.mode("append").parquet(good)
-        batch.where(F.col("reason") != "accepted").select("file_path", "reason", "error", "src", "tgt") \
-            .write.mode("append").parquet(bad)
+        held = batch.persist()
+        held.where(F.col("reason") == "accepted").select("src", "tgt") \
+            .write.mode("overwrite").parquet(f"{good}/batch_id={epoch}")
+        held.where(F.col("reason") != "accepted").select("file_path", "reason", "error", "src", "tgt") \
+            .write.mode("overwrite").parquet(f"{bad}/batch_id={epoch}")
+        held.unpersist()
     return (classified.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
