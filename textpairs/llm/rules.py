@@ -34,7 +34,8 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside windows of ``window`` words that occur twice or more in the array: windows
-    are compared by hash, sorted once, and their overlapping cover is summed."""
+    are compared by hash, sorted once, and their overlapping cover is summed. ``window`` is a power
+    of two."""
     zero = F.lit(0)
 
     def cover(hashes: Column) -> Column:
@@ -56,13 +57,16 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
         return let(let(placed, twice), total)
 
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)),
-                           lambda i: F.xxhash64(F.slice(h, i, F.lit(window))))
+    def joined(h: Column, step: int) -> Column:
+        n = F.size(h) - step
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
+
+    def windows(h: Column, step: int) -> Column:  # hashes of 2, 4, ... words by doubling
+        return joined(h, step) if 2 * step == window else let(joined(h, step), lambda x: windows(x, 2 * step))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     return F.when(F.size(words) < window + 1, zero).otherwise(
-        let(let(hashes, windows),
+        let(let(hashes, lambda h: windows(h, 1)),
             lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), zero).otherwise(cover(g))))
 
 
