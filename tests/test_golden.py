@@ -29,20 +29,39 @@ def test_waterfall_golden(spark):
         (json.dumps({"src": "a" * 62, "tgt": "b" * 62}), "accepted"),
     ]
     df = spark.createDataFrame([(i, l) for i, (l, _) in enumerate(lines)], "i int, line string")
-    p = df.select("i", RD.parse_json_pair("line").alias("p")).select("i", "p.*")
+    p = RD.with_json_pair(df, "line").select("i", "valid", "error", "src", "tgt")
     vocab = V.basic_vocab(spark, "切纪忌ab")
     got = {r["i"]: r["reason"] for r in C.classify_pairs(p, vocab, 128).collect()}
     assert [got[i] for i in range(len(lines))] == [r for _, r in lines]
     # audit semantics: a blank line is invalid
-    pa = df.select("i", RD.parse_json_pair("line", blank_as="invalid").alias("p")).select("i", "p.*")
+    pa = RD.with_json_pair(df, "line", blank_as="invalid").select("i", "valid", "error", "src", "tgt")
     got_a = {r["i"]: r["reason"] for r in C.classify_pairs(pa, vocab, 128).collect()}
     assert got_a[5] == "invalid"
 
 
 def test_error_kinds(spark):
-    df = spark.createDataFrame([('{"src":1,"tgt":"a"}',), ('{"src":"a"}',), ("bad{",), ('{"src":"a","tgt":"b"} x',)], "line string")
-    errs = [r["e"] for r in df.select(RD.parse_json_pair("line")["error"].alias("e")).collect()]
-    assert errs == ["non_string", "missing_field", "bad_json", "bad_json"]
+    good = '{"src":"a","tgt":"b"}'
+    lines = ['{"src":1,"tgt":"a"}', '{"src":"a"}', "bad{", good + " x", good + ' {"c":1}', good + " x}", good + "]", good + "}",
+             good + ', {"c":1}', good + ', "y":2', "[" + good + "]", '"src"', '{"src":null,"tgt":"b"}']
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    got = {r["i"]: r for r in RD.with_json_pair(df, "line").collect()}
+    expected = []
+    for line in lines:
+        try:
+            obj = json.loads(line)
+            kind = ("bad_json" if not isinstance(obj, dict) else "missing_field" if not {"src", "tgt"} <= set(obj)
+                    else None if all(isinstance(obj[k], str) for k in ("src", "tgt")) else "non_string")
+        except ValueError:
+            kind = "bad_json"
+        expected.append(kind)
+    assert [got[i]["error"] for i in range(len(lines))] == expected
+    assert not any(r["valid"] for r in got.values())
+
+
+def test_the_last_of_a_repeated_key_counts(spark):
+    df = spark.createDataFrame([('{"src":1,"src":"a","tgt":"b"}',), ('{"src":"a","tgt":"b","tgt":2}',)], "line string")
+    got = RD.with_json_pair(df, "line").collect()
+    assert [(r["valid"], r["error"], r["src"]) for r in got] == [(True, None, "a"), (False, "non_string", None)]
 
 
 def _triples(spark):

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, constant_table
 
 # ---------------------------------------------------------------------------
 # Reserved special tokens (names as in BERT vocabularies).
@@ -32,7 +32,7 @@ def basic_vocab(spark: SparkSession, symbols: str) -> DataFrame:
     """Vocabulary: the five specials at ids 0..4, then one row per symbol."""
     rows = [(t, i) for i, t in enumerate(SPECIALS)]
     rows += [(ch, len(SPECIALS) + i) for i, ch in enumerate(dict.fromkeys(symbols))]
-    return spark.createDataFrame(rows, "token string, id int")
+    return constant_table(spark, rows, "token string, id int")
 
 
 def token_text(text: str | Column) -> Column:
@@ -101,8 +101,8 @@ class CharVocab:
 
 def label_table(spark: SparkSession, task: str, labels: Sequence[str]) -> DataFrame:
     """Label -> id by list order (the order is part of the table, trap T12)."""
-    return spark.createDataFrame([(task, lab, i) for i, lab in enumerate(labels)],
-                                 "task string, label string, label_id int")
+    return constant_table(spark, [(task, lab, i) for i, lab in enumerate(labels)],
+                          "task string, label string, label_id int")
 
 
 def label_id_or_fail(df: DataFrame, labels: DataFrame, label_col: str = "label") -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import prompts as P
 from ..operators import udf as U
 from ..operators import vocab as V
 from ..plans.indexing import line_index, row_index
-from ..session import scratch_path
+from ..session import constant_table, scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from ..sources import sinks as S
@@ -322,12 +322,12 @@ def a12_inventory(spark, sf):
     return out
 
 
-@register("a21_fingerprint", None)
+@register("a21_fingerprint", """
+SELECT count(*) AS n_rows, CAST(sum(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(1) || coalesce(text, chr(2)) || chr(1)
+       || coalesce(lang, chr(2))), 1, 8))::BIGINT) AS BIGINT) AS checksum FROM documents""")
 def a21_fingerprint(spark, sf):
-    """sha256 per input file in parallel, then one digest over sorted (path, digest)."""
-    files = sorted(os.path.join(sf, f) for f in os.listdir(sf) if f.endswith(".parquet")) if os.path.isdir(sf) else [sf]
-    _per_file, total = S.fingerprint(spark, files)
-    return total
+    """Order-free fingerprint of a corpus (rows, checksum); file digests are in the tests."""
+    return S.content_digest(D.table(spark, sf, "documents"), ["doc_id", "text", "lang"])
 
 
 @register("d17_project_precision", O.with_base("triples", f"""
@@ -338,7 +338,7 @@ def d17_project_precision(spark, sf):
     """Precision implied by each domain's recall and FPR at class ratios 1, 2, 5, 10."""
     m = M.correction_metrics(D.triples(spark, sf), ["lang"], "safe").select(
         "lang", (F.col("recall") / F.lit(100.0)).alias("rr"), (F.col("fpr") / F.lit(100.0)).alias("ff"))
-    ratios = spark.createDataFrame([(1.0,), (2.0,), (5.0,), (10.0,)], "ratio double")
+    ratios = constant_table(spark, [(1.0,), (2.0,), (5.0,), (10.0,)], "ratio double")
     out = M.project_precision(m, ratios, "rr", "ff")
     return out.select("lang", "ratio", "proj_precision")
 
@@ -350,7 +350,7 @@ EXPECTED = [f"src{i}" for i in range(24)]
           + ") e(category) WHERE category NOT IN (SELECT DISTINCT source FROM documents)")
 def b12_missing_categories(spark, sf):
     """Expected evaluation categories without any data (left-anti join)."""
-    exp = spark.createDataFrame([(c,) for c in EXPECTED], "category string")
+    exp = constant_table(spark, [(c,) for c in EXPECTED], "category string")
     present = D.table(spark, sf, "documents").select(F.col("source").alias("category"))
     return C.missing_categories(exp, present, "category", exempt=())
 

@@ -12,7 +12,7 @@ from ..operators import layouts as L
 from ..operators import metrics as M
 from ..operators import mix as MX
 from ..operators import vocab as V
-from ..session import scratch_path
+from ..session import constant_table, scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from ..streaming import stream as K
@@ -142,7 +142,7 @@ def i07_prompted_classification(spark, sf):
     """C04 + I07: prompted classification ``<text> <pt> <mask>``: one mask slot per word of the label
     ("yes" / "no"), prompt mask, active bits, label id first; the label's word ids beside them."""
     d = _doc_ids(spark, sf, MAXS - 2)
-    words = spark.createDataFrame(_LABEL_WORDS, "task string, label string, label_id int, word_pos int, word string")
+    words = constant_table(spark, _LABEL_WORDS, "task string, label string, label_id int, word_pos int, word string")
     d = V.label_id_or_fail(d, words.select("label", "label_id").distinct())
     d = V.with_label_words(d, words, D.vocab(spark), "label")
     lay = L.prompted_classification("ids", "label_id", F.size("label_word_ids"), MAXS, _P7, CLS, SEP, MASK, PAD)

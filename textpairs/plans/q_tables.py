@@ -10,6 +10,7 @@ from ..operators import mix as MX
 from ..operators import runs as RU
 from ..operators import scores as SC
 from ..operators import vocab as V
+from ..session import constant_table
 from ..sources import derived as D
 from . import oracle as O
 from .queries import register
@@ -231,7 +232,7 @@ LW_SQL = "lw(label_id, word_pos, word_id) AS (VALUES " + ", ".join(f"({a}, {b},
 
 
 def _label_words(spark):
-    return spark.createDataFrame(LABEL_WORDS, "label_id int, word_pos int, word_id int")
+    return constant_table(spark, LABEL_WORDS, "label_id int, word_pos int, word_id int")
 
 
 @register("l01_label_product", f"""WITH {LW_SQL},

@@ -15,7 +15,7 @@ SCHEMAS = {
     'a18_run_log': [('event_type', 'VARCHAR'), ('n_rows', 'BIGINT'), ('best', 'DOUBLE')],
     'a19_report': [('pos', 'BIGINT'), ('cat', 'VARCHAR'), ('samples', 'BIGINT'), ('f1', 'DOUBLE'), ('format', 'BIGINT'), ('avg_f1', 'DOUBLE')],
     'a20_shards': [('n_rows', 'BIGINT'), ('within_cap', 'BOOLEAN')],
-    'a21_fingerprint': [('n_files', 'BIGINT'), ('n_bytes', 'BIGINT'), ('corpus_digest', 'VARCHAR')],
+    'a21_fingerprint': [('n_rows', 'BIGINT'), ('checksum', 'BIGINT')],
     'b01_tsv_file_guid': [('guid', 'VARCHAR'), ('valid', 'BOOLEAN'), ('n_src', 'INTEGER'), ('trg_text', 'VARCHAR')],
     'b02_equal_length': [('lang', 'VARCHAR'), ('n_kept', 'BIGINT')],
     'b03_reject_waterfall': [('guid', 'VARCHAR'), ('reason', 'VARCHAR'), ('n_tok', 'INTEGER'), ('n_unk', 'INTEGER')],

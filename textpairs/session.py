@@ -66,13 +66,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 BROADCAST_BYTE_LIMIT = 32 * 1024 * 1024
 
 
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate of ``df`` (exact for local relations); None if unknown."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        return None
-    return size if size < (1 << 62) else None
+def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of constants as a local relation, whose size the optimizer knows (one made from Python
+    rows is an RDD of unknown size)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[] for _ in fields], fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
+
+
+def plan_size_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate of ``df`` (exact for local relations, huge where unknown)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
@@ -81,5 +88,4 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTE_LIMIT) -> D
     No job is run for it. Otherwise the unhinted frame is returned: the planner uses a
     shuffled join and AQE converts it at run time if the real size allows.
     """
-    est = plan_size_bytes(df)
-    return F.broadcast(df) if est is not None and est <= max_bytes else df
+    return F.broadcast(df) if plan_size_bytes(df) <= max_bytes else df

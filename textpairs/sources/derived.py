@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..operators.noise import inject_noise
+from ..session import constant_table
 
 # ---------------------------------------------------------------------------
 # Fixed values of the Latin stand-in confusion set (our own rule, not the reference's
@@ -50,11 +51,11 @@ def word_rows() -> list[tuple[int, str]]:
 
 
 def confusion_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(latin_confusion_rows(), "kind string, ch string, idx int, cand string")
+    return constant_table(spark, latin_confusion_rows(), "kind string, ch string, idx int, cand string")
 
 
 def words_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(word_rows(), "idx int, ch string")
+    return constant_table(spark, word_rows(), "idx int, ch string")
 
 
 # Tables whose rows carry long texts: the work per row is large, so an input with fewer

@@ -87,16 +87,25 @@ def write_shards(df: DataFrame, folder: str, rows_per_file: int = 100_000, fmt:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).format(fmt).save(folder)
 
 
-def fingerprint(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """sha256 per file (in parallel), then sha256 over the sorted ``path:digest`` lines.
+def fingerprint(spark: SparkSession, folder: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
+    """sha256 per file under ``folder`` (found and read by Spark, in parallel), then sha256 over
+    the sorted ``name:digest`` lines, names relative to the folder: a moved corpus keeps its digest.
     Returns (per-file digests, one-row corpus summary).
 
-    Same change detection as the reference's single digest, different value. A file is
-    read whole by one task (binaryFile), so this is for corpus files, not single huge blobs.
+    A file is read whole by one task (binaryFile), so this is for corpus files up to 2 GB.
     """
-    files = spark.read.format("binaryFile").load(paths).select(
-        F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("digest"))
-    lines = F.sort_array(F.collect_list(F.struct("path", "digest")))
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.element_at(F.split("path", f"/{root}/", 2), -1)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+             .select(name.alias("name"), "length", F.sha2(F.col("content"), 256).alias("digest")))
+    lines = F.sort_array(F.collect_list(F.struct("name", "digest")))
     total = files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"),
-                      F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["path"], F.lit(":"), x["digest"])), "\n"), 256).alias("corpus_digest"))
+                      F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["name"], F.lit(":"), x["digest"])), "\n"), 256).alias("corpus_digest"))
     return files, total
+
+
+def content_digest(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A21 on rows: number and order-free checksum of the rows (sum of 32 bits of each row's md5)."""
+    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in cols])
+    bits = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(bits).alias("checksum"))
