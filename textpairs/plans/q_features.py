@@ -331,16 +331,16 @@ def a21_fingerprint(spark, sf):
 
 
 @register("d17_project_precision", O.with_base("triples", f"""
-SELECT lang, ratio, CASE WHEN rr + ff * ratio > 0 THEN rr / (rr + ff * ratio) ELSE 0.0 END AS proj_precision
-FROM (SELECT lang, recall / 100.0 AS rr, fpr / 100.0 AS ff FROM ({SAFE_SELECT.format(by='lang, ')}) m) a,
-     (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE)) r(ratio)""", _FLAGS_EXACT + ",\n" + _counts_sql(["lang"])))
+SELECT lang, ratio, pp AS proj_precision, CASE WHEN pp + rr > 0 THEN 2.0 * pp * rr / (pp + rr) ELSE 0.0 END AS proj_f1
+FROM (SELECT *, CASE WHEN rr + ff * ratio > 0 THEN rr / (rr + ff * ratio) ELSE 0.0 END AS pp FROM (SELECT lang, recall / 100.0 AS rr, fpr / 100.0 AS ff FROM ({SAFE_SELECT.format(by='lang, ')}) m) a,
+     (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE)) r(ratio)) z""", _FLAGS_EXACT + ",\n" + _counts_sql(["lang"])))
 def d17_project_precision(spark, sf):
     """Precision implied by each domain's recall and FPR at class ratios 1, 2, 5, 10."""
     m = M.correction_metrics(D.triples(spark, sf), ["lang"], "safe").select(
         "lang", (F.col("recall") / F.lit(100.0)).alias("rr"), (F.col("fpr") / F.lit(100.0)).alias("ff"))
     ratios = constant_table(spark, [(1.0,), (2.0,), (5.0,), (10.0,)], "ratio double")
     out = M.project_precision(m, ratios, "rr", "ff")
-    return out.select("lang", "ratio", "proj_precision")
+    return out.select("lang", "ratio", "proj_precision", "proj_f1")
 
 
 EXPECTED = [f"src{i}" for i in range(24)]

@@ -8,9 +8,12 @@ from ..functions import rng
 from ..functions.text import arrow_interleave, arrow_recover
 from ..operators import align as A
 from ..operators import layouts as L
+from ..operators import noise as N
+from ..operators import vocab as V
 from ..sources import derived as D
 from . import oracle as O
-from .q_features import CLS, PAD, SEP, WHOLE_CTE, _ids_str, _rep, _str, _whole, x_chars
+from .q_features import CLS, MASK, PAD, SEP, WHOLE_CTE, _clean_sql, _ids_sql, _ids_str, _rep, _str, _whole, x_chars
+from .q_sources import _H2_BASE, _H2_LAST, _H2_NOISE
 from .queries import register
 
 H = O.H
@@ -38,6 +41,46 @@ def _left(a: str, v: int) -> str:
 _C8 = MAXS // 2 - 2
 
 
+def _tag(x: str) -> str:
+    """Tagging layout of the ids in column ``x``."""
+    return _ids_str(f"([{CLS}] || {x}[1:{MAXS - 2}] || [{SEP}] || {_rep(PAD, str(MAXS))})[1:{MAXS}]")
+
+
+@register("i04_noisy_tagging", O.with_base("pairs", f"""
+SELECT guid, {_tag('s')} AS src_ids, {_tag('t')} AS trg_ids, {_tag('z')} AS trg_ref_ids
+FROM (SELECT guid, {_ids_sql(_clean_sql('src'))} AS s, {_ids_sql(_clean_sql('tgt'))} AS t,
+             {_ids_sql(_clean_sql('noisy'))} AS z FROM {_H2_LAST}) x""", _H2_BASE + ",\n" + _H2_NOISE))
+def i04_noisy_tagging(spark, sf):
+    """Tagging layout with the source made noisier (H02) as the reference column."""
+    p = D.pairs(spark, sf).select("guid", "k", "src", "tgt")
+    p = N.inject_near_error(p, "src", "tgt", "k", D.confusion_df(spark), D.words_df(spark), len(D.ALPHABET), seed=7,
+                            char_class=D.CHAR_CLASS)
+    cv = V.CharVocab(D.vocab(spark))
+    ids = p.select("guid", *[cv.encode(c, MAXS - 2).alias(c) for c in ("src", "tgt", "noisy")])
+    lay, ref = L.tagging("src", "tgt", MAXS, CLS, SEP, PAD), L.tagging("noisy", "tgt", MAXS, CLS, SEP, PAD)
+    return ids.select("guid", _str(lay["src_ids"]).alias("src_ids"), _str(lay["trg_ids"]).alias("trg_ids"),
+                      _str(ref["src_ids"]).alias("trg_ref_ids"))
+
+
+_M11 = MAXS // 2 - 2
+
+
+def _fill(a: str) -> str:
+    return _ids_str(f"({a} || {_rep(PAD, str(MAXS))})[1:{MAXS}]")
+
+
+@register("i11_mono_vectorise", O.with_base("pairs", f"""
+SELECT guid, {_fill(f'[{CLS}] || s || [{SEP}] || ' + _rep(MASK, 'len(t)') + f' || [{SEP}]')} AS src_ids,
+       {_fill(f'[{CLS}] || s || [{SEP}] || t || [{SEP}]')} AS trg_ids, {_fill(f'[{CLS}] || t || [{SEP}] || t || [{SEP}]')} AS trg_ref_ids
+FROM (SELECT guid, {_ids_sql(_clean_sql('src'))}[1:{_M11}] AS s, {_ids_sql(_clean_sql('tgt'))}[1:{_M11}] AS t FROM pairs) x"""))
+def i11_mono_vectorise(spark, sf):
+    """Clean sentences (A05) made wrong on the way (H01) and laid out like I02, nothing dropped."""
+    cv = V.CharVocab(D.vocab(spark))
+    ids = D.pairs(spark, sf).select("guid", *[cv.encode(c, _M11).alias(c) for c in ("src", "tgt")])
+    d = ids.select("guid", L.rephrase_batch("src", "tgt", MAXS, CLS, SEP, MASK, PAD).alias("l"))
+    return d.select("guid", *[_str(f"l.{c}").alias(c) for c in ("src_ids", "trg_ids", "trg_ref_ids")])
+
+
 @register("i08_causal", O.with_base("pairs", f"""
 SELECT guid, {_ids_str(_left(f'([{CLS}] || s || t)', PAD))} AS input_ids,
        {_ids_str(_left(f'({_rep(-100, "len(s) + 1")} || t)', -100))} AS labels,

@@ -45,7 +45,7 @@ SCHEMAS = {
     'd14_overflow': [('lang', 'VARCHAR'), ('n', 'BIGINT'), ('n_over', 'BIGINT'), ('pct_over', 'DOUBLE')],
     'd15_dropped': [('source', 'VARCHAR'), ('format', 'BIGINT'), ('length_mismatch', 'BIGINT'), ('token_mismatch', 'BIGINT'), ('seq_length', 'BIGINT')],
     'd16_seed_summary': [('event_type', 'VARCHAR'), ('n_seeds', 'BIGINT'), ('mean', 'DOUBLE'), ('std', 'DOUBLE'), ('best', 'DOUBLE'), ('best_seed', 'BIGINT')],
-    'd17_project_precision': [('lang', 'VARCHAR'), ('ratio', 'DOUBLE'), ('proj_precision', 'DOUBLE')],
+    'd17_project_precision': [('lang', 'VARCHAR'), ('ratio', 'DOUBLE'), ('proj_precision', 'DOUBLE'), ('proj_f1', 'DOUBLE')],
     'd18_confusion_report': [('kind', 'VARCHAR'), ('n_chars', 'BIGINT'), ('n_candidates', 'BIGINT'), ('n_duplicates', 'BIGINT'), ('n_self', 'BIGINT'), ('n_oov', 'BIGINT'), ('max_candidates', 'BIGINT')],
     'd19_noise_report': [('lang', 'VARCHAR'), ('n', 'BIGINT'), ('n_unchanged', 'BIGINT'), ('n_same_sound', 'BIGINT'), ('n_similar_sound', 'BIGINT'), ('n_shape', 'BIGINT'), ('n_word', 'BIGINT'), ('n_noised', 'BIGINT'), ('unchanged_share', 'DOUBLE'), ('same_sound_share', 'DOUBLE'), ('similar_sound_share', 'DOUBLE'), ('shape_share', 'DOUBLE'), ('word_share', 'DOUBLE')],
     'd21_error_pairs': [('wrong', 'VARCHAR'), ('right', 'VARCHAR'), ('n', 'BIGINT')],
@@ -74,12 +74,14 @@ SCHEMAS = {
     'i01_layout': [('guid', 'VARCHAR'), ('input_ids', 'VARCHAR'), ('labels', 'VARCHAR'), ('n_attended', 'INTEGER'), ('n_mft_candidates', 'INTEGER')],
     'i02_batch_layout': [('guid', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('trg_ref_ids', 'VARCHAR'), ('loss_labels', 'VARCHAR')],
     'i03_tagging': [('guid', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR')],
+    'i04_noisy_tagging': [('guid', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('trg_ref_ids', 'VARCHAR')],
     'i05_prompted_layout': [('guid', 'VARCHAR'), ('fits', 'BOOLEAN'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('trg_ref_ids', 'VARCHAR'), ('block_flag', 'VARCHAR')],
     'i06_classification': [('doc_id', 'BIGINT'), ('label_id', 'INTEGER'), ('src_ids', 'VARCHAR'), ('token_type_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('task_id', 'INTEGER'), ('n_attended', 'INTEGER')],
     'i07_prompted_classification': [('doc_id', 'BIGINT'), ('label_word_ids', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('prompt_mask', 'VARCHAR'), ('active_bits', 'VARCHAR'), ('trg_ids', 'VARCHAR')],
     'i08_causal': [('guid', 'VARCHAR'), ('input_ids', 'VARCHAR'), ('labels', 'VARCHAR'), ('regu_src', 'VARCHAR'), ('target_ref', 'VARCHAR')],
     'i09_instruction_mask': [('style', 'VARCHAR'), ('conv_id', 'BIGINT'), ('turn', 'BIGINT'), ('overflow', 'INTEGER'), ('labels', 'VARCHAR'), ('src_ref', 'VARCHAR'), ('input_ids', 'VARCHAR')],
     'i10_eval_records': [('guid', 'VARCHAR'), ('n_src', 'INTEGER'), ('n_trg', 'INTEGER'), ('n_attended', 'INTEGER'), ('pred_sum', 'BIGINT'), ('src_text', 'VARCHAR'), ('trg_text', 'VARCHAR')],
+    'i11_mono_vectorise': [('guid', 'VARCHAR'), ('src_ids', 'VARCHAR'), ('trg_ids', 'VARCHAR'), ('trg_ref_ids', 'VARCHAR')],
     'j03_cycles': [('cycle', 'BIGINT'), ('n', 'BIGINT'), ('n_changed', 'BIGINT'), ('n_noised', 'BIGINT')],
     'j04_batches': [('guid', 'VARCHAR'), ('shard', 'BIGINT'), ('batch_id', 'BIGINT'), ('pos_in_shard', 'BIGINT')],
     'j06_rotate_mix': [('step', 'BIGINT'), ('task_no', 'INTEGER'), ('n', 'BIGINT')],

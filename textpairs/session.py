@@ -15,10 +15,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("TEXTPAIRS_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("TEXTPAIRS_SHUFFLE_PARTITIONS")
+    if parts:  # else the cluster's own setting
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
