@@ -17,12 +17,13 @@ columns, clashing names included, are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,14 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, cut, table
 
 CAPACITY, END_ID, GROUP, TOKENIZER = 1024, 2, 16_384, "byte_bpe_50k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
-# Fixed value: the published word pattern of this vocabulary family.
-WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-# Characters whose classes are the same in every Unicode version: these texts are split here and
-# their words encoded once each; any other text goes to the tokenizer whole.
-PLAIN = regex.compile(r"[\t\n\r -~¡-ɏ‐-‧‰-⁞€]*+")
+# Fixed value: the published word pattern of this vocabulary family, with its letter and number classes
+# written out for the characters of PLAIN, whose classes are the same in every Unicode version. Texts of
+# those alone are split here and their words encoded once each; any other text goes to the tokenizer whole.
+PLAIN = re.compile(r"[\t\n\r -~¡-ɏ‐-‧‰-⁞€]*+")
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
 
 class Encoder:
@@ -54,20 +56,26 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         split = [WORD.findall(t) if p else None for t, p in zip(texts, plain)]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        new = list({w for ws in split if ws for w in ws}.difference(self.known))
+        new = list(set().union(*(ws for ws in split if ws)).difference(self.known))
         self.known.update(zip(new, self._whole(new)))
         rest = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
         get = self.known.__getitem__
         return [next(rest) if ws is None else b"".join(map(get, ws)) for ws in split]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker process, so its words serve all the tasks that run there."""
+    return Encoder(path)
+
+
 def _slices(texts: list[str], chars: int = 2_000_000):
     start = size = 0
     for i, t in enumerate(texts):
@@ -87,12 +95,12 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, next_iid = Encoder(tokenizer), TaskContext.get().partitionId() << 33
+        tok, next_iid = encoder(tokenizer), TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in _slices(texts):
                 doc, num, start, length, crc, parts = [], [], [], [], [], []
-                for i, raw in enumerate(encoder.encode(texts[lo:hi]), lo):
+                for i, raw in enumerate(tok.encode(texts[lo:hi]), lo):
                     raw += end
                     total, view = len(raw) // 4, memoryview(raw)
                     at, p = 0, 0
