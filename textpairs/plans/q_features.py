@@ -129,6 +129,26 @@ def h10_mask_report(spark, sf):
     return MK.mask_report(m, "cand", "selected", ["lang"])
 
 
+_MODES = {"noerror": "s_ids[i] = t_ids[i]", "error": "s_ids[i] <> t_ids[i]", "all": "TRUE"}
+
+
+@register("h03_h04_masked_arrays", O.with_base("pairs", " UNION ALL ".join(f"""
+SELECT '{mode}' AS mode, guid,
+       {_ids_str(f"[{CLS}] || list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(hit, i) THEN {MASK} ELSE s_ids[i] END) || [{SEP}] || {_rep(MASK, 'n')} || [{SEP}] || {_rep(PAD, f'{D.MAX_SEQ} - 2 * n - 3')}")} AS input_ids,
+       {_ids_str(f"[-100] || list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(hit, i) THEN t_ids[i] ELSE -100 END) || [-100] || t_ids || [-100] || {_rep(-100, f'{D.MAX_SEQ} - 2 * n - 3')}")} AS labels
+FROM (SELECT *, list_filter(range(1, n + 1), lambda i: {cond}
+      AND CAST({H("guid || ':' || CAST(i AS VARCHAR)", 'mask')} AS DOUBLE) / 4294967296.0 < 0.3) AS hit FROM feat) f"""
+    for mode, cond in _MODES.items()), FEAT_CTE))
+def h03_h04_masked_arrays(spark, sf):
+    """H03 + H04: I01 features masked in all three modes; a masked position's label is the target
+    id. Whole arrays."""
+    f = _features(spark, sf).select("guid", F.explode(F.array(*[F.lit(m) for m in _MODES])).alias("mode"), "input_ids",
+                                    "labels", "source_mask", "mft_candidates", "mft_targets")
+    cand = F.coalesce(*[F.when(F.col("mode") == m, MK.mask_candidates("source_mask", "mft_candidates", m)) for m in _MODES])
+    m = MK.apply_mask(f.withColumn("cand", cand), "guid", "cand", 0.3, MASK, seed=D.SEED)
+    return m.select("mode", "guid", _str("input_ids").alias("input_ids"), _str("labels").alias("labels"))
+
+
 @register("j04_batches", O.with_base("pairs", f"""
 SELECT guid, shard, CAST(pos_in_shard // 32 AS BIGINT) AS batch_id, pos_in_shard
 FROM (SELECT guid, shard, row_number() OVER (PARTITION BY shard ORDER BY {H("guid || ':0'", 'shuffle')}, guid) - 1 AS pos_in_shard

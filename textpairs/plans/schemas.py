@@ -68,6 +68,7 @@ SCHEMAS = {
     'g17_causal_split': [('guid', 'VARCHAR'), ('prompt_len', 'INTEGER'), ('target', 'VARCHAR')],
     'h01_noise': [('guid', 'VARCHAR'), ('noise_pos', 'INTEGER'), ('noise_kind', 'VARCHAR'), ('noise_from', 'VARCHAR'), ('noise_to', 'VARCHAR'), ('src', 'VARCHAR')],
     'h02_near_error': [('guid', 'VARCHAR'), ('noise_pos', 'INTEGER'), ('noisy', 'VARCHAR')],
+    'h03_h04_masked_arrays': [('mode', 'VARCHAR'), ('guid', 'VARCHAR'), ('input_ids', 'VARCHAR'), ('labels', 'VARCHAR')],
     'h05_any_mask_report': [('lang', 'VARCHAR'), ('n_rows', 'BIGINT'), ('n_candidates', 'BIGINT'), ('n_masked', 'BIGINT'), ('mask_rate', 'DOUBLE')],
     'h06_h08_masks': [('lang', 'VARCHAR'), ('n_rows', 'BIGINT'), ('n_candidates', 'BIGINT'), ('n_masked', 'BIGINT'), ('n_joint', 'BIGINT'), ('n_gated', 'BIGINT')],
     'h10_mask_report': [('lang', 'VARCHAR'), ('n_rows', 'BIGINT'), ('n_candidates', 'BIGINT'), ('n_masked', 'BIGINT'), ('mask_rate', 'DOUBLE')],
