@@ -5,13 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_specials
 from ..operators import clean as C
+from ..operators import metrics as M
 from ..session import scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from ..sources import sinks as S
+from . import oracle as O
 from .q_features import _turn_pairs
-from .queries import register
+from .queries import chars_sql, register
 
 TURNS = """tp AS (SELECT u.conv_id, u.turn, u.text AS src, a.text AS trg FROM conversations u
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
@@ -125,3 +128,54 @@ def a19_report(spark, sf):
     rows = parsed.select(F.posexplode("r.results").alias("pos", "cat", "v"), F.col("r.average.f1").alias("avg_f1"))
     return rows.select(F.col("pos").cast("bigint"), "cat", F.col("v.samples").alias("samples"), F.col("v.f1").alias("f1"),
                        F.col("v.dropped.format").alias("format"), "avg_f1")
+
+
+@register("a05_sentences", O.with_base("sent", """
+SELECT regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text, count(*) AS n FROM sent
+WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1"""))
+def a05_sentences(spark, sf):
+    """Document lines written as text files and scanned as clean sentences (stripped, blank ones
+    dropped)."""
+    path = scratch_path(spark, "sentences")
+    D.sentences(spark, sf).select("line").write.text(path)
+    return RD.read_sentences(spark, path).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a17_messages", O.with_base("triples", f"""
+SELECT src, tgt AS trg, pred, CAST(len({chars_sql('src')}) AS INTEGER) AS n_src,
+       CAST(len({chars_sql('pred')}) AS INTEGER) AS n_pred FROM triples"""))
+def a17_messages(spark, sf):
+    """A17 + A11: messages written as JSON lines and read back with their character lists."""
+    path = scratch_path(spark, "messages")
+    S.write_messages(D.triples(spark, sf).select("src", F.col("tgt").alias("trg"), "pred"), path)
+    m = RD.read_messages(spark, path, lines=True)
+    return m.select("src", "trg", "pred", F.size("src_tokens").alias("n_src"), F.size("pred_tokens").alias("n_pred"))
+
+
+@register("a10_confusion_file", O.with_base("pairs", """
+SELECT 'shape' AS kind, "right" AS ch, CAST(row_number() OVER (PARTITION BY "right" ORDER BY n DESC, wrong) - 1 AS INTEGER) AS idx,
+       wrong AS cand
+FROM (SELECT substr(src, i, 1) AS wrong, substr(tgt, i, 1) AS "right", count(*) AS n
+      FROM (SELECT src, tgt, unnest(range(1, least(length(src), length(tgt)) + 1)) AS i FROM pairs WHERE src <> tgt) a
+      WHERE substr(src, i, 1) <> substr(tgt, i, 1) GROUP BY ALL) ep"""))
+def a10_confusion_file(spark, sf):
+    """A10 + D21: a confusion map mined from the pairs, written as one JSON object (a row per character of
+    the alphabet) and read as the long table."""
+    per = (M.error_pairs(D.pairs(spark, sf)).groupBy("right")
+           .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "wrong"))).alias("w")))
+    entries = F.collect_list(F.struct("right", F.transform("w", lambda x: x["wrong"])))
+    path = scratch_path(spark, "confusion")
+    per.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.text(path)
+    return RD.read_confusion_map(spark, path, "shape")
+
+
+@register("g12_strip_specials", O.with_base("sent", """
+SELECT guid, tgt AS stripped, CAST(len(string_split(tgt, '')) AS INTEGER) AS n FROM sent WHERE tgt <> ''"""))
+def g12_strip_specials(spark, sf):
+    """Decoded token lists with special tokens at both ends and in the middle, without them."""
+    s = D.sentences(spark, sf).where(F.col("tgt") != "").select("guid", F.split("tgt", "").alias("t"))
+    half = F.floor(F.size("t") / 2).cast("int")
+    put = F.concat(F.array(F.lit("[CLS]")), F.slice("t", F.lit(1), half), F.array(F.lit("[UNK]"), F.lit("[MASK]")),
+                   F.slice("t", half + 1, F.size("t")), F.array(F.lit("[SEP]"), F.lit("[PAD]")))
+    kept = strip_specials(put, ["[CLS]", "[UNK]", "[MASK]", "[SEP]", "[PAD]"])
+    return s.select("guid", F.array_join(kept, "").alias("stripped"), F.size(kept).alias("n"))

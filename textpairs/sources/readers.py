@@ -158,9 +158,10 @@ def read_instructions(spark: SparkSession, path: str | Sequence[str]) -> DataFra
     return _require(df, ["instruction", "input", "response"], "instructions")
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Saved messages, one JSON array of ``{src, trg, pred}``; char lists added."""
-    df = spark.read.schema("src string, trg string, pred string").option("multiLine", True).json(path)
+def read_messages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Saved messages, one JSON array of ``{src, trg, pred}`` (with ``lines`` one object a line,
+    as A17 writes them: splittable); char lists added."""
+    df = spark.read.schema("src string, trg string, pred string").option("multiLine", not lines).json(path)
     return df.select("src", "trg", "pred", chars("src").alias("src_tokens"), chars("trg").alias("trg_tokens"),
                      chars("pred").alias("pred_tokens"))
 
