@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, cut, map_columns, table
 
 K, EVERY = 20, 20
-CURVES, DIMS, BITS, BLOCK, SPARE = 16, 8, 7, 512, 4
+CURVES, DIMS, BITS, BLOCK, SPARE = 16, 8, 7, 4096, 4
 SAMPLE, TARGET, SEED = 256, 0.96, 7
 
 
