@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
-
 # ---------------------------------------------------------------------------
 # Prompt templates and chat texts (must equal the reference's).
 INSTRUCTION_PREFIX = "Instruction:\n"
