@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, map_columns, table
+from .common import arrow_map, arrow_schema, cut, map_columns, table
 
 K, EVERY = 20, 20
 CURVES, DIMS, BITS, BLOCK, SPARE = 16, 8, 7, 4096, 4
@@ -247,7 +247,7 @@ def candidates(classes: DataFrame, places: DataFrame, reach: int, block: int = B
                             pa.array(have[pick.ravel()]),
                             pa.array(np.take_along_axis(s, pick, axis=1).ravel())], schema=sch)
 
-    found = dealt.mapInArrow(run, "q bigint, cid bigint, s double")
+    found = arrow_map(dealt, run, "q bigint, cid bigint, s double")
     return _top(found.groupBy("q", "cid").agg(F.max("s").alias("s")), n)
 
 

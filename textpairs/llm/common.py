@@ -14,6 +14,8 @@ from ..session import scratch_path
 # ASCII white space, the only white space of the word rule ``[^\x20\x09-\x0D]+``.
 WS = "[ \\t\\n\\x0B\\f\\r]"
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -33,10 +35,18 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(st)
 
 
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with record batches of about ``BATCH_BYTES``, however long the texts are, so that
+    a task's memory does not follow the length of its rows."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_columns(df: DataFrame, schema: str,
                 fn: Callable[[pa.RecordBatch], Iterator[dict[str, object]]]) -> DataFrame:
-    """``mapInArrow`` with a generator of column dicts; a batch never mixes partitions and its
-    size is bounded by the session's Arrow limits."""
+    """:func:`arrow_map` with a generator of column dicts."""
     sch = arrow_schema(schema)
     names = sch.names
 
@@ -48,7 +58,7 @@ def map_columns(df: DataFrame, schema: str,
                               for n, c in ((n, cols[n]) for n in names)]
                     yield pa.RecordBatch.from_arrays(arrays, schema=sch)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

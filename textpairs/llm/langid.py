@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc_bucket, table
+from .common import arrow_map, arrow_schema, crc_bucket, table
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, PRIMER_BYTES = 600, (20, 20_000), 64_000, 2_000
 LEVEL, MIN_MARGIN, SHARPNESS = 5, 0.002, 2.0
@@ -105,7 +105,7 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float =
                    zip(("lang_pred", "score", "margin", "rejected"), zip(*got) if got else [[]] * 4)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + new, schema=sch)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return arrow_map(docs.select(*keep), run, schema)
 
 
 def held_out(key="doc_id"):

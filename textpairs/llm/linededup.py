@@ -27,9 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import arrow_schema, cut, map_columns, table
+from .common import arrow_map, arrow_schema, cut, map_columns, table
 
 MIN_WORDS, TEXT_SEED = 50, 42
 
@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, out: str = "removed_lin
             cols[i] = pa.array(texts, type=sch.field("text").type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, type=sch.field(out).type)], schema=sch)
 
-    result = joined.select(*names, "_runs").mapInArrow(run, schema)
+    result = arrow_map(joined.select(*names, "_runs"), run, schema)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         result = result.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

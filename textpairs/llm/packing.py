@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, table
+from .common import arrow_map, arrow_schema, cut, table
 
 CAPACITY, END_ID, GROUP, TOKENIZER = 1024, 2, 16_384, "byte_bpe_50k.json"
 CACHE_WORDS = 800_000
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).cast(sch.field("ids").type),
                     pa.array(crc, pa.int64())], schema=sch)
 
-    return cut(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema), "pieces")
+    return cut(arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema), "pieces")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         if held:
             yield from packed(pa.Table.from_batches(held))
 
-    return full.unionByName(dealt.mapInArrow(run, schema))
+    return full.unionByName(arrow_map(dealt, run, schema))
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

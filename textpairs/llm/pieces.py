@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, table
+from .common import arrow_map, arrow_schema, table
 
 MODEL, SEED, THETA, SLICE = "piece_bpe_32k.model", 1, 1.0, 6_000_000
 MARK = "▁"
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, i + 1 - lo), arrays, n, pa.array(same, pa.bool_())], schema=sch)
                 lo, chars = i + 1, 0
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return arrow_map(docs.select(key, text), run, schema)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -307,7 +307,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model: str
             texts = [None if x is None else sampler.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], schema=sch)
 
-    return encoded.select(key, F.col(ids)).mapInArrow(run, schema)
+    return arrow_map(encoded.select(key, F.col(ids)), run, schema)
 
 
 def op1_sampled_pieces(spark, sf_dir) -> DataFrame:

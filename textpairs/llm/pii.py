@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, table
+from .common import arrow_map, map_columns, table
 
 # The kinds in order of output; the first four are the base kinds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -154,7 +154,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = [None if t is None else redact_text(t, find_spans(t)) for t in b.column(i).to_pylist()]
             yield b.set_column(i, b.schema.field(i), pa.array(new, type=b.schema.field(i).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = arrow_map(docs, run, docs.schema)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length(text).cast(kind), F.col("n_chars")))

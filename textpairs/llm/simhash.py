@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_schema, cut, map_columns, table
+from .common import arrow_map, arrow_schema, cut, map_columns, table
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -71,7 +71,7 @@ def with_fingerprint(docs: DataFrame, out: str = "fp", text: str = "text") -> Da
             fps = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], schema=sch)
 
-    return docs.mapInArrow(run, full)
+    return arrow_map(docs, run, full)
 
 
 # ------------------------------------------------------------------------------ anchors
@@ -200,7 +200,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) ->
         if rest is not None and len(rest[0]):
             yield edges(rest, len(rest[0]))
 
-    return keyed.mapInArrow(run, "u bigint, v bigint").distinct()
+    return arrow_map(keyed, run, "u bigint, v bigint").distinct()
 
 
 def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
