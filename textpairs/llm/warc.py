@@ -33,7 +33,8 @@ COMMENT = "(?s)<!--.*?-->"
 TAG_END = "(?:[ \\t\\n\\r\\f/][^>]*)?>"
 BREAK = f"(?i)</?(?:{BREAKING}){TAG_END}"
 TAG = "<[a-zA-Z/!?][^>]*>"
-SPACE = (("[ \\t\\r\\f]+", " "), (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", ""))
+SPACE = (("[ \\t\\r\\f]{2,}|[\\t\\r\\f]", " "),  # a lone space stays as it is
+          (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", ""))
 TITLE = f"(?is)<title{TAG_END}(.*?)</title"
 
 
