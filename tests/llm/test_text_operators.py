@@ -68,18 +68,21 @@ def test_any_text_comes_back(texts):
 
 # ------------------------------------------------------------------ 2 language ID
 
-def test_language_is_learned_from_other_rows_and_held_out_rows_are_right(spark, sf, docs):
+def test_language_query_marks_held_out_rows(spark, sf, docs):
     got = registry.QUERIES["op2_language_id"](spark, sf).collect()
     assert len(got) == docs.count()
-    truth = {r["doc_id"]: r["lang"] for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] < 120}
     for r in got:
         if r["doc_id"] is not None:
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
         assert 0 <= r["score"] <= 1
-    out = [r for r in got if r["held_out"] and r["doc_id"] in truth]
-    # 3 has two texts; every ninth holds an English passage whatever its language
-    judged = [r for r in out if r["doc_id"] != 3 and not any(r["doc_id"] - k >= 0 and (r["doc_id"] - k) % 9 == 4 for k in (0, 2, 3))]
-    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in judged) >= 0.9 * len(judged) > 10
+
+
+def test_held_out_languages_of_the_given_documents(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    out = [r for r in registry.QUERIES["op2_language_id"](spark, d).collect() if r["held_out"]]
+    assert len(out) > 200
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in out) >= 0.95 * len(out)
 
 
 def test_language_of_odd_texts(spark, docs, clashing, nothing):
