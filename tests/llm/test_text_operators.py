@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings, strategies as st
 
+import corpus_pipeline
 from textpairs.llm import langid, pieces, pii, registry, resample, rules
 
 
@@ -97,6 +98,29 @@ def test_language_of_odd_texts(spark, docs, clashing, nothing):
     assert {r["lang_pred"] for r in langid.predict(docs, []).collect()} == {"und"}
 
 
+def test_blocks_hold_the_whole_text():
+    for n in (0, 1, langid.BLOCK_BYTES, langid.BLOCK_BYTES + 1, 5_000_001):
+        data = (b"0123456789" * (n // 10 + 1))[:n]
+        parts = langid.blocks(data)
+        assert b"".join(parts) == data and all(0 < len(x) <= langid.BLOCK_BYTES for x in parts)
+        assert len(parts) == -(-n // langid.BLOCK_BYTES)
+
+
+def test_long_clean_texts_stay_in_the_corpus(spark):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held = docs.where(langid.held_out()).where("lang = 'en' and text is not null").orderBy("doc_id")
+    prose = "\n".join(r["text"] for r in held.select("text").collect()) * 2
+    long = [(-n, prose[:n], None, "src0", n) for n in (1_000_000, 5_000_000)]
+    both = docs.unionByName(spark.createDataFrame(long, docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    kept = corpus_pipeline.language(spark, both, d).where("doc_id < 0").select("doc_id", "lang", "text").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(-5_000_000, "en"), (-1_000_000, "en")]
+    assert all(r["text"] == prose[:-r["doc_id"]] for r in kept)
+    margins = [r["margin"] for r in langid.predict(both, langid.train(docs.where(~langid.held_out())))
+               .where("doc_id < 0").collect()]
+    assert min(margins) > 0.5 * max(margins) and min(margins) > 5 * langid.MIN_MARGIN
+
+
 # -------------------------------------------------------------------------- 3 PII
 
 def plain_spans(text):

@@ -6,7 +6,10 @@ same sample), of which at most ``DICT_BYTES`` become that language's dictionary.
 to its lower-case letters, encoded once with each dictionary, and gets the language whose output
 is smallest. The first ``PRIMER_BYTES`` of a dictionary are put in front of the text instead, and
 their own cost is taken off again: they give the coder that language's letter statistics, so that
-short texts, which hardly compress alone, also differ. ``margin`` is how much smaller it is than the runner-up's, relative to the latter;
+short texts, which hardly compress alone, also differ. What a dictionary saves is a roughly fixed number
+of bytes per frame, so a text over ``BLOCK_BYTES`` is encoded in even blocks of at most that size, all of
+them, each with its own dictionary, and their sizes are added up: the margin does not shrink as a text
+grows. ``margin`` is how much smaller the size is than the runner-up's, relative to the latter;
 a text with a margin of ``MIN_MARGIN`` or less is rejected. A tie goes to the language with more
 training rows, then by name, and its margin is 0.
 
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, arrow_schema, crc_bucket, table
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, PRIMER_BYTES = 600, (20, 20_000), 64_000, 2_000
+BLOCK_BYTES = 32_000
 LEVEL, MIN_MARGIN, SHARPNESS = 5, 0.002, 2.0
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -36,6 +40,12 @@ def letters(text: str | None) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode() if text else b""
 
 
+def blocks(data: bytes) -> list[bytes]:
+    """The whole of ``data`` in even parts of at most ``BLOCK_BYTES``."""
+    step = -(-len(data) // max(1, -(-len(data) // BLOCK_BYTES)))
+    return [data[i:i + step] for i in range(0, len(data), step)] if data else []
+
+
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """(language, dictionary), languages with more rows first. ``labelled`` has lang and text.
 
@@ -94,7 +104,8 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float =
                 if not data or not coders:
                     got.append(("und", 0.0, 0.0, True))
                     continue
-                sizes = [len(c.compress(p + data)) - n for (c, p), n in zip(coders, base)]
+                parts = blocks(data)
+                sizes = [sum(len(c.compress(p + x)) - n for x in parts) for (c, p), n in zip(coders, base)]
                 best = min(sizes)
                 i = sizes.index(best)
                 second = min([s for j, s in enumerate(sizes) if j != i], default=best)
