@@ -157,6 +157,35 @@ def test_checked_and_scored_spans():
     assert pii.redact_text("x a@b.cd 1.2.3.4", pii.find_spans("x a@b.cd 1.2.3.4")) == "x [EMAIL] [IP]"
 
 
+def ibans(text):
+    return [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == "iban"]
+
+
+def test_ibans_before_capital_words():
+    some = ["BE68 5390 0754 7034", "BE68539007547034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332",
+            "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947",
+            "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+            "DE89370400440532013000"]
+    for iban in some:
+        for word in ("BIC", "EUR", "USD", "BANK", "A", "EUROS", "BIC EUR", "GEBABEBB", "EUR 12 USD", "and", "1234 BIC"):
+            assert ibans(f"to {iban} {word}") == [iban], (iban, word)
+            assert pii.redact_text(f"to {iban} {word}.", pii.find_spans(f"to {iban} {word}.")) == f"to [IBAN] {word}."
+        for other in some:
+            assert ibans(f"{iban} {other} EUR") == [iban, other]
+            assert ibans(f"AB12 CDEF GHIJ {iban} {other}") == [iban, other]
+        wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 97:02}" + iban[4:]
+        assert not ibans(f"to {wrong} BIC")
+
+
+def test_ibans_of_unlisted_countries_end_at_a_group():
+    body = "1234 5678 9012 3456"
+    check = 98 - int("".join(str(int(c, 36)) for c in body.replace(" ", "") + "ZZ00")) % 97
+    iban = f"ZZ{check:02} {body}"
+    for word in ("BIC", "BANK", "and"):
+        assert ibans(f"to {iban} {word}") == [iban]
+    assert ibans("x" + iban) == [] and "ZZ" not in pii.IBAN_LENGTH
+
+
 def test_personal_data_query(spark, sf, docs, clashing, nothing):
     got = registry.QUERIES["op3_personal_data"](spark, sf)
     expected = []

@@ -3,7 +3,9 @@
 Every whole text is read once in Arrow batches. Base kinds are ``email``, ``ip``, ``card`` and
 ``phone``; a proposal that fails its validator is dropped and its characters are not retried.
 The method adds ``iban`` (mod-97) and ``card13`` (13 to 15 digits, Luhn; only with a card word
-nearby). Each span has a score: a prior per kind, raised when one of the kind's context words
+nearby). A capital word behind an IBAN looks like one more of its groups, so its end is not the
+pattern's: the country's length decides, or, for a code that is not in ``IBAN_LENGTH``, the last group border
+at which mod-97 holds; the search goes on behind that end. Each span has a score: a prior per kind, raised when one of the kind's context words
 stands in the ``WINDOW`` characters around it. Base spans are always reported; an added span
 needs ``MIN_SCORE``.
 
@@ -44,6 +46,13 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Characters of an IBAN by country code (ISO 13616).
+IBAN_LENGTH = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in codes.split()}
 NON_DIGIT = re.compile(r"[^0-9]+")
 WORDS = {k: re.compile(r"\b(?:" + "|".join(v) + r")", re.IGNORECASE) for k, v in CONTEXT.items()}
 LUHN_DOUBLE = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -78,6 +87,29 @@ def _emails(text: str):
             done, at = at + 1, nxt
 
 
+def _ibans(text: str):
+    """At each proposal the IBAN that starts there, if any. A proposal without one is searched again
+    from its second character: it may reach into the next IBAN. It has at most 43 characters, so
+    this stays linear."""
+    m = IBAN.search(text)
+    while m:
+        end = _iban_end(m[0])
+        if end:
+            yield m.start(), m.start() + end
+        m = IBAN.search(text, m.start() + (end or 1))
+
+
+def _iban_end(span: str) -> int:
+    """Where the IBAN at the start of ``span`` ends, 0 if there is none."""
+    borders = [i for i, c in enumerate(span) if c == " "] + [len(span)]
+    known = IBAN_LENGTH.get(span[:2])
+    for end in reversed(borders):
+        code = span[:end].replace(" ", "")
+        if (len(code) == known if known else 15 <= len(code) <= 34) and mod97(code):
+            return end
+    return 0
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or 0) <= 255
@@ -101,10 +133,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
         for m in PHONE.finditer(text):
             if 8 <= len(NON_DIGIT.sub("", m[0])) <= 15:
                 found["phone"].append(m.span())
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            found["iban"].append(m.span())
+    found["iban"] = list(_ibans(text))
     out = []
     for kind in KINDS:
         for s, e in found[kind]:
