@@ -1,4 +1,4 @@
-"""Operator 8, line dedup by winnowing over line hashes.
+"""Operator 8, line dedup by exact hashes of word-measured windows of lines, in place of winnowing.
 
 A document's units are its lines that hold a word, compared by their words (white space does not
 count). A window is a shortest run of units with at least ``MIN_WORDS`` words, so winnowing's window
