@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textpairs.operators import align as A
 from textpairs.operators import layouts as L
 from textpairs.operators import metrics as M
+from textpairs.operators import reports as R
 from textpairs.operators import vocab as V
 from textpairs.session import bounded_broadcast, constant_table
 
@@ -111,3 +112,10 @@ def test_broadcast_hint_follows_the_size_estimate(spark):
     assert "strategy=broadcast" in bounded_broadcast(small)._jdf.queryExecution().analyzed().toString()
     large = spark.range(1 << 40)
     assert "strategy=broadcast" not in bounded_broadcast(large)._jdf.queryExecution().analyzed().toString()
+
+
+def test_noise_report_counts_errors_per_sentence(spark):
+    rows = [("a", "abc", "abc"), ("a", "xbz", "abc"), ("a", "abcd", "abX"), ("a", "", "a"), ("b", "same", "same")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "lang string, src string, tgt string, noise_kind string, noise_pos int")
+    got = {r["lang"]: (r["n_errors"], r["errors_per_sentence"]) for r in R.noise_report(df, ["lang"]).collect()}
+    assert got == {"a": (3, 0.75), "b": (0, 0.0)}

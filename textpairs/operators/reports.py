@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import chars
 from ..session import bounded_broadcast
 from .clean import REASONS
 
@@ -82,7 +83,10 @@ def dedupe_confusion(conf: DataFrame, drop_self: bool = True) -> DataFrame:
 
 
 def noise_report(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Unchanged share, share per noise kind, changed characters per sentence."""
+    """Unchanged share, share per noise kind, changed characters per sentence (positions
+    both sides have and that differ, as in D21)."""
+    differ = F.zip_with(chars("src"), chars("tgt"), lambda a, b: a != b)
+    errors = F.when(F.col("src") == F.col("tgt"), F.lit(0)).otherwise(F.size(F.filter(differ, lambda x: x)))
     a = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("src") == F.col("tgt")).alias("n_unchanged"),
@@ -90,13 +94,15 @@ def noise_report(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("noise_kind") == "similar_sound").alias("n_similar_sound"),
         F.count_if(F.col("noise_kind") == "shape").alias("n_shape"),
         F.count_if(F.col("noise_kind") == "word").alias("n_word"),
-        F.count_if(F.col("noise_pos").isNotNull()).alias("n_noised"))
+        F.count_if(F.col("noise_pos").isNotNull()).alias("n_noised"),
+        F.sum(errors.cast("bigint")).alias("n_errors"))
     share = lambda c: F.when(F.col("n_noised") > 0, F.col(c).cast("double") / F.col("n_noised").cast("double")).otherwise(F.lit(0.0))
     return (a.withColumn("unchanged_share", F.col("n_unchanged").cast("double") / F.col("n").cast("double"))
             .withColumn("same_sound_share", share("n_same_sound"))
             .withColumn("similar_sound_share", share("n_similar_sound"))
             .withColumn("shape_share", share("n_shape"))
-            .withColumn("word_share", share("n_word")))
+            .withColumn("word_share", share("n_word"))
+            .withColumn("errors_per_sentence", F.col("n_errors").cast("double") / F.col("n").cast("double")))
 
 
 __all__ = ["audit", "overflow_report", "dropped_counts", "seed_summary", "confusion_report",

@@ -252,7 +252,16 @@ FROM (SELECT lang, count(*) AS n, count_if(src = tgt) AS n_unchanged,
       FROM pairs GROUP BY lang) t"""))
 def d19_noise_report(spark, sf):
     """Noise audit per domain (unchanged share, share per candidate source)."""
-    return R.noise_report(D.pairs(spark, sf), ["lang"])
+    return R.noise_report(D.pairs(spark, sf), ["lang"]).drop("n_errors", "errors_per_sentence")
+
+
+@register("d19_errors_per_sentence", O.with_base("pairs", """
+SELECT lang, count(*) AS n, CAST(sum(e) AS BIGINT) AS n_errors, CAST(sum(e) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS errors_per_sentence
+FROM (SELECT lang, len(list_filter(range(1, least(length(src), length(tgt)) + 1), lambda i: substr(src, i, 1) <> substr(tgt, i, 1))) AS e
+      FROM pairs) a GROUP BY lang"""))
+def d19_errors_per_sentence(spark, sf):
+    """Mean count of differing positions per sentence, per domain."""
+    return R.noise_report(D.pairs(spark, sf), ["lang"]).select("lang", "n", "n_errors", "errors_per_sentence")
 
 
 @register("d21_error_pairs", O.with_base("pairs", """

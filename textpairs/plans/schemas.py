@@ -47,6 +47,7 @@ SCHEMAS = {
     'd16_seed_summary': [('event_type', 'VARCHAR'), ('n_seeds', 'BIGINT'), ('mean', 'DOUBLE'), ('std', 'DOUBLE'), ('best', 'DOUBLE'), ('best_seed', 'BIGINT')],
     'd17_project_precision': [('lang', 'VARCHAR'), ('ratio', 'DOUBLE'), ('proj_precision', 'DOUBLE'), ('proj_f1', 'DOUBLE')],
     'd18_confusion_report': [('kind', 'VARCHAR'), ('n_chars', 'BIGINT'), ('n_candidates', 'BIGINT'), ('n_duplicates', 'BIGINT'), ('n_self', 'BIGINT'), ('n_oov', 'BIGINT'), ('max_candidates', 'BIGINT')],
+    'd19_errors_per_sentence': [('lang', 'VARCHAR'), ('n', 'BIGINT'), ('n_errors', 'BIGINT'), ('errors_per_sentence', 'DOUBLE')],
     'd19_noise_report': [('lang', 'VARCHAR'), ('n', 'BIGINT'), ('n_unchanged', 'BIGINT'), ('n_same_sound', 'BIGINT'), ('n_similar_sound', 'BIGINT'), ('n_shape', 'BIGINT'), ('n_word', 'BIGINT'), ('n_noised', 'BIGINT'), ('unchanged_share', 'DOUBLE'), ('same_sound_share', 'DOUBLE'), ('similar_sound_share', 'DOUBLE'), ('shape_share', 'DOUBLE'), ('word_share', 'DOUBLE')],
     'd21_error_pairs': [('wrong', 'VARCHAR'), ('right', 'VARCHAR'), ('n', 'BIGINT')],
     'e01_top_runs': [('run', 'BIGINT'), ('rank', 'BIGINT'), ('step', 'BIGINT'), ('value', 'DOUBLE')],
