@@ -356,3 +356,13 @@ def test_pipeline_stages_take_effect(spark, sf, docs):
     empty = docs.limit(0)
     for _, fn in corpus_pipeline.STAGES:
         assert fn(spark, empty, sf).count() == 0
+
+
+def test_block_winners_tie_to_smaller_ids_in_any_row_order():
+    rng = ann.np.random.default_rng(3)
+    cid = rng.permutation(200).astype(ann.np.int64)
+    scores = rng.integers(0, 3, size=(20, 200)).astype(float)
+    for order in (ann.np.arange(200), rng.permutation(200)):
+        pick = ann._best(scores[:, order], 25, cid[order])
+        for row, cols in zip(scores, pick):
+            assert set(cid[order][cols]) == {c for _, c in sorted(zip(-row, cid))[:25]}

@@ -174,10 +174,15 @@ def ranks(classes: DataFrame, curves: Curves) -> DataFrame:
         "curve", (F.col("off") + F.col("place")).alias("rank"), "query", "cid"), "ranks")
 
 
-def _best(scores: np.ndarray, n: int) -> np.ndarray:
-    """Column numbers of the n largest of each row."""
+def _best(scores: np.ndarray, n: int, cid: np.ndarray) -> np.ndarray:
+    """Column numbers of the n largest of each row, ties to smaller ``cid``."""
     n = min(n, scores.shape[1])
-    return np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    pick = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    least = np.take_along_axis(scores, pick, axis=1).min(axis=1)
+    for r in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > n):
+        tied = np.flatnonzero(scores[r] >= least[r])
+        pick[r] = tied[np.lexsort((cid[tied], -scores[r, tied]))[:n]]
+    return pick
 
 
 def _top(scored: DataFrame, n: int) -> DataFrame:
@@ -192,7 +197,7 @@ def exact_top(classes: DataFrame, sample: DataFrame, n: int) -> DataFrame:
 
     def scan(b: pa.RecordBatch):
         s = q @ matrix(b.column(1)).T
-        pick = _best(s, n)
+        pick = _best(s, n, b.column(0).to_numpy())
         yield {"q": np.repeat(ids, pick.shape[1]), "cid": b.column(0).take(pa.array(pick.ravel())),
                "s": np.take_along_axis(s, pick, axis=1).ravel()}
 
@@ -241,7 +246,7 @@ def candidates(classes: DataFrame, places: DataFrame, reach: int, block: int = B
                     ids, vecs = [have], [mat]
                     for k in range(mid, hi, 1024):
                         s = v[k:min(k + 1024, hi)] @ mat.T
-                        pick = _best(s, n)
+                        pick = _best(s, n, have)
                         yield pa.RecordBatch.from_arrays([
                             pa.array(np.repeat(cid[k:min(k + 1024, hi)], pick.shape[1])),
                             pa.array(have[pick.ravel()]),
