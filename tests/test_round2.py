@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textpairs.operators import align as A
 from textpairs.operators import layouts as L
 from textpairs.operators import metrics as M
+from textpairs.operators import mix as MX
 from textpairs.operators import reports as R
 from textpairs.operators import vocab as V
 from textpairs.session import bounded_broadcast, constant_table
@@ -119,3 +120,10 @@ def test_noise_report_counts_errors_per_sentence(spark):
     df = spark.createDataFrame([(*r, None, None) for r in rows], "lang string, src string, tgt string, noise_kind string, noise_pos int")
     got = {r["lang"]: (r["n_errors"], r["errors_per_sentence"]) for r in R.noise_report(df, ["lang"]).collect()}
     assert got == {"a": (3, 0.75), "b": (0, 0.0)}
+
+
+def test_a_cycle_without_output_is_an_error(spark):
+    df = spark.range(3)
+    assert MX.cycles(df, 2).count() == 6 and MX.cycles(df.limit(0), 0).count() == 0
+    with pytest.raises(ValueError, match="cycle without output"):
+        MX.cycles(df.where("id > 5"), 2)

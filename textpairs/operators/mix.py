@@ -26,7 +26,10 @@ def shuffle_key(key: str | Column, seed: int = 42, cycle: int = 0) -> Column:
 
 def cycles(df: DataFrame, n: int) -> DataFrame:
     """Repeat the data ``n`` times with a ``cycle`` column (cycle c uses seed
-    ``seed + c * 1000003`` in the reference; here the cycle is part of every draw)."""
+    ``seed + c * 1000003`` in the reference; here the cycle is part of every draw). Data without
+    a row is an error: a cycle would give nothing."""
+    if n > 0 and df.isEmpty():
+        raise ValueError("cycle without output: the data is empty")
     spark = df.sparkSession
     return df.crossJoin(bounded_broadcast(spark.range(n).select(F.col("id").alias("cycle"))))
 
