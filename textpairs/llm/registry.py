@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, linededup, packing, pieces, pii, resample, rules, simhash, warc
+from . import ann, langid, linededup, manifest, packing, pieces, pii, polytope, resample, rules, simhash, targeted, warc
 
 QUERIES = {
     "op1_sampled_pieces": pieces.op1_sampled_pieces,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_hilbert_neighbours": ann.op9_hilbert_neighbours,
     "op10_warc_derivatives": warc.op10_warc_derivatives,
+    "op11_polytope_duplicates": polytope.op11_polytope_duplicates,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_target_resampling": targeted.op13_target_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_warc_derivatives": warc.ORACLE_SQL}
