@@ -180,3 +180,37 @@ def op12_manifest(spark, sf_dir) -> DataFrame:
                          proof_digest(F.col("segments")).alias("proof_sha256"),
                          fold(F.coalesce("changed", "h"), F.col("segments")).alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: ascii(c)::BIGINT)), lambda v, c: list_reduce(list_prepend(xor(v, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in [*COLUMNS[:-1], "{text}"]) + ")"
+_TREE = """{name} AS (
+  SELECT {key} AS grp, 0 AS lvl, i, {h} AS h, count(*) OVER (PARTITION BY {key}) AS n FROM {rows}
+  UNION ALL
+  SELECT grp, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 15) // 16
+  FROM {name} WHERE n > 1 GROUP BY grp, lvl, i // 16)"""
+_PATH = """SELECT l.{id} AS id, r.lvl + {add} AS lvl, {{'b': substr(r.s, 1, 64 * ((l.i >> (4 * r.lvl)) & 15)),
+         'a': substr(r.s, 64 * ((l.i >> (4 * r.lvl)) & 15) + 65)}} AS s
+  FROM {rows} l JOIN (SELECT grp, lvl, i // 16 AS run, string_agg(h, '' ORDER BY i) AS s FROM {tree} WHERE n > 1 GROUP BY ALL) r
+    ON r.grp IS NOT DISTINCT FROM {key} AND r.run = l.i >> (4 * r.lvl + 4)"""
+ORACLE_SQL = f"""WITH RECURSIVE
+hashed AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN
+    {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    row_number() OVER () AS at FROM hashed),
+{_TREE.format(name="low", key="source", h="leaf", rows="leaves")},
+subroots AS (SELECT grp AS source, h AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS i FROM low WHERE n = 1),
+{_TREE.format(name="high", key="1", h="subroot", rows="subroots")},
+own AS ({_PATH.format(id="at", add=0, rows="leaves", tree="low", key="l.source")}),
+above AS ({_PATH.format(id="source", add=100, rows="subroots", tree="high", key="1")}),
+segments AS (SELECT id, list(s ORDER BY lvl) AS s FROM (
+    SELECT * FROM own UNION ALL SELECT l.at, a.lvl, a.s FROM leaves l JOIN above a ON a.id IS NOT DISTINCT FROM l.source) GROUP BY id),
+folded AS (SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root,
+    sha256(array_to_string(list_transform(coalesce(s, []), lambda x: x.b || x.a), '')) AS proof_sha256,
+    list_reduce(list_prepend({{'b': coalesce(changed, leaf), 'a': ''}}, coalesce(s, [])),
+      lambda h, x: {{'b': sha256(x.b || h.b || x.a), 'a': ''}}).b AS folded_root
+  FROM leaves l JOIN subroots r ON r.source IS NOT DISTINCT FROM l.source LEFT JOIN segments g ON g.id = l.at)
+SELECT *, folded_root = root AS verified FROM folded"""

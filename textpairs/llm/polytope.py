@@ -271,6 +271,7 @@ def ball_pairs(members: DataFrame, plan: Plan, group: int = GROUP) -> DataFrame:
 
     def compare(at, cols):
         ball, radius, s0, s1, side = (c.to_numpy(zero_copy_only=False) for c in cols)
+        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)  # the bit count of a negative number is that of its size
         angle = plan.angle + SLACK
         plain = int(allowed(np.array([angle]))[0])
         wide, left, right, held = bool((radius > 0).any()), [], [], 0

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_target_resampling": targeted.op13_target_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_warc_derivatives": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_warc_derivatives": warc.ORACLE_SQL, "op12_manifest": manifest.ORACLE_SQL}
