@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PUNCT_LONG, PUNCT_SHORT, annotate_text, punct_equal_text
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, counted_broadcast
 
 EPS = 1e-12
 
@@ -230,9 +230,9 @@ def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sum(counts, ["_v"], "_n", "_cum")  # range-partitioned, no global window
     ranks = cum.select("_v", (F.col("_cum") * 2 - F.col("_n") + 1).alias(out))  # 2 * mean(cum - n + 1, cum)
-    # one row per distinct value: broadcast when its size allows, so a value shared by a
-    # third of all rows never lands in one join task; beyond the bound AQE splits skew
-    return df.join(bounded_broadcast(ranks), F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
+    # one row per distinct value: broadcast when they are few, so a value shared by a third of all
+    # rows never lands in one join task (many distinct values: AQE splits what skew is left)
+    return df.join(counted_broadcast(ranks), F.col(col).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -40,14 +40,16 @@ def with_shard(df: DataFrame, index_col: str, shard_count: int) -> DataFrame:
 
 
 def with_batch(df: DataFrame, key: str, batch_size: int, seed: int = 42, shard_col: str | None = "shard",
-               cycle_col: str | None = None) -> DataFrame:
+               cycle_col: str | None = None, across: bool = False) -> DataFrame:
     """J02 + J04: shuffle by hash, then consecutive ``batch_size`` rows per shard (and
-    cycle) form a batch; the last partial batch is kept."""
+    cycle) form a batch; the last partial batch is kept. With ``across`` the numbers of a shard run on
+    from cycle to cycle, as in an endless stream: a batch may hold the end of one and the start of the next."""
     cyc = F.col(cycle_col).cast("string") if cycle_col else F.lit("0")
     d = df.withColumn("_order", rng.hash32(F.concat_ws(":", F.col(key).cast("string"), cyc),
                                            rng.purpose("shuffle", seed)))
-    groups = [c for c in (shard_col, cycle_col) if c]
-    d = row_index(d, ["_order", key], groups, out_col="pos_in_shard")
+    groups = [c for c in (shard_col, None if across else cycle_col) if c]
+    order = ([cycle_col] if across and cycle_col else []) + ["_order", key]
+    d = row_index(d, order, groups, out_col="pos_in_shard")
     return d.withColumn("batch_id", F.floor(F.col("pos_in_shard") / F.lit(batch_size)).cast("bigint")).drop("_order")
 
 

@@ -4,8 +4,9 @@
 all rows is spread over many tasks, sorts inside partitions, tags rows with
 ``monotonically_increasing_id`` (consecutive inside a partition) and reliably checkpoints
 that frame so the ids are stable. A small table of per-(partition, group) counts is turned
-into offsets (a window over that small table only) and joined back with a size-checked
-broadcast.
+into offsets (a window over that small table only) and joined back with a broadcast: without
+groups it has one row per partition; with groups its rows are counted first, and beyond the bound
+the join is a shuffled one.
 
 ``line_index`` does the same for text files: the splits of a file are numbered by
 ``(_metadata.file_path, file_block_start)`` and lines inside a split keep file order.
@@ -18,13 +19,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, checkpoint_root
+from ..session import checkpoint_root, counted_broadcast
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [x if isinstance(x, Column) else F.col(x) for x in xs]
 
 
+def _offsets(offsets: DataFrame, grouped: bool) -> DataFrame:
+    """The offsets for the join back. The optimizer's estimate of an aggregate follows its input, so it
+    would never be taken for small: one row per partition needs no check, others are counted."""
+    return counted_broadcast(offsets) if grouped else F.broadcast(offsets)
+
+
 def row_index(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
               out_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """0-based index of each row in ``order_cols`` order (per group when ``group_cols``).
@@ -43,7 +50,7 @@ def row_index(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Seq
     counts = tagged.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*g).orderBy("_pid") if g else Window.orderBy("_pid")
     offsets = counts.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    out = tagged.join(bounded_broadcast(offsets), ["_pid", *g])
+    out = tagged.join(_offsets(offsets, bool(g)), ["_pid", *g])
     return out.withColumn(out_col, F.col("_off") + F.col("_mid") - F.col("_first")).drop(
         "_pid", "_mid", "_off", "_first")
 
@@ -60,7 +67,7 @@ def line_index(lines: DataFrame, out_col: str = "line_idx") -> DataFrame:
     blocks = t.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_file", "_block")  # one row per file split: small
     offsets = blocks.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    out = t.join(bounded_broadcast(offsets), ["_file", "_block"])
+    out = t.join(_offsets(offsets, True), ["_file", "_block"])
     return out.withColumn(out_col, F.col("_off") + F.col("_mid") - F.col("_first")).withColumnRenamed(
         "_file", "file_path").drop("_block", "_mid", "_off", "_first")
 
@@ -89,7 +96,7 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str | Column], value: str | C
     totals = b.groupBy("_ps_b", *g).agg(F.sum("_ps_v").alias("_ps_tot"))
     w_off = Window.partitionBy(*g).orderBy("_ps_b") if g else Window.orderBy("_ps_b")
     offsets = totals.withColumn("_ps_off", F.sum("_ps_tot").over(w_off) - F.col("_ps_tot")).drop("_ps_tot")
-    out = local.join(bounded_broadcast(offsets), ["_ps_b", *g])
+    out = local.join(_offsets(offsets, bool(g)), ["_ps_b", *g])
     total = F.col("_ps_off") + F.col("_ps_local")
     if exclusive:
         total = total - F.col("_ps_v")

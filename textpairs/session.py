@@ -90,3 +90,17 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTE_LIMIT) -> D
     shuffled join and AQE converts it at run time if the real size allows.
     """
     return F.broadcast(df) if plan_size_bytes(df) <= max_bytes else df
+
+
+# Rows of a counted table that is shipped: narrow rows (keys and a number) of some 64 bytes.
+BROADCAST_ROW_LIMIT = 400_000
+
+
+def counted_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast the narrow table ``df`` when it has at most ``max_rows`` rows, counted exactly.
+
+    ``df`` is written first (checkpoint) and so computed once, and what comes back is the written
+    table: for aggregates whose size the optimizer can only bound by their input's."""
+    checkpoint_root(df.sparkSession)
+    kept = df.checkpoint(eager=True)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
