@@ -200,3 +200,4 @@ from . import q_rest  # noqa: E402,F401
 from . import q_masks  # noqa: E402,F401
 from . import q_io  # noqa: E402,F401
 from . import q_tasks  # noqa: E402,F401
+from . import q_cycles  # noqa: E402,F401
