@@ -51,7 +51,12 @@ def with_outcome(df: DataFrame, src: str = "src", tgt: str = "tgt", pred: str =
 
 def outcome_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per group from B10 flags."""
-    return df.groupBy(*by).agg(
+    return _counted(df.groupBy(*by))
+
+
+def _counted(groups, *more: Column) -> DataFrame:
+    return groups.agg(
+        *more,
         F.count(F.lit(1)).alias("samples"),
         F.count_if("is_pos").alias("positives"),
         F.count_if("is_neg").alias("negatives"),
@@ -166,6 +171,28 @@ def macro_average(per_cat: DataFrame, cat_col: str, metrics: Sequence[str] = ("p
     return rows[0].unionByName(rows[1])
 
 
+def averages(df: DataFrame, cat_col: str, metrics: Sequence[str] = ("precision", "recall", "f1", "fpr"),
+             fixed_divisor: int = 8, form: str = "safe") -> DataFrame:
+    """D06 in one pass over the sentences: grouping sets count every category and all of them together, and
+    three rows come from those few counts: both macro rules and ``micro``, the ratios of the summed counts."""
+    flags = with_outcome(df)
+    sets = flags.groupingSets([[F.col(cat_col)], []], F.col(cat_col))
+    rows = ratios(_counted(sets, F.grouping_id().alias("_all")), form)
+    part = F.col("_all") == 0
+    valid = part & (F.col("samples") > 0)
+    aggs = [F.count_if(valid).alias("n_valid")]
+    for m in metrics:
+        aggs += [ordered_sum(F.when(valid, F.col(m)).otherwise(0.0), F.col(cat_col)).alias(f"_v_{m}"),
+                 ordered_sum(F.when(part, F.col(m)).otherwise(0.0), F.col(cat_col)).alias(f"_a_{m}"),
+                 F.max(F.when(~part, F.col(m))).alias(f"_m_{m}")]
+    n = F.col("n_valid")
+    rules = [("mean_valid", lambda m: F.when(n > 0, F.col(f"_v_{m}") / n.cast("double")).otherwise(0.0)),
+             ("fixed", lambda m: F.col(f"_a_{m}") / F.lit(float(fixed_divisor))),
+             ("micro", lambda m: F.coalesce(F.col(f"_m_{m}"), F.lit(0.0)))]
+    made = F.array(*[F.struct(F.lit(rule).alias("rule"), *[of(m).alias(m) for m in metrics]) for rule, of in rules])
+    return rows.agg(*aggs).select(F.inline(made))
+
+
 def accuracy(df: DataFrame, pred: str = "pred", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """D07."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(pred) == F.col(label)).alias("correct")) \

@@ -80,12 +80,20 @@ def class_chars(char_class: str) -> str | None:
     return "".join(dict.fromkeys(out))
 
 
+LISTED = 512  # characters of a class that is written out; a larger one (Han: 20,992) is tested by its ranges
+
+
+def _listed(char_class: str) -> str | None:
+    chars_ = class_chars(char_class)
+    return chars_ if chars_ and len(chars_) <= LISTED else None
+
+
 def count_eligible(text: Column, char_class: str) -> Column:
     """Number of characters of ``text`` in the single-character class (codegen'd).
 
-    Simple classes use ``translate`` (a character map, no regex); others delete runs of
+    Small simple classes use ``translate`` (a character map, no regex); others delete runs of
     the class with one regex."""
-    chars_ = class_chars(char_class)
+    chars_ = _listed(char_class)
     if chars_:
         return F.length(text) - F.length(F.translate(text, chars_, ""))
     return F.length(text) - F.length(F.regexp_replace(text, char_class + "+", ""))
@@ -98,7 +106,7 @@ def nth_eligible(text: Column, char_class: str, k: Column) -> Column:
     ``substring_index`` cuts before the (k+1)-th marker: its length + 1 is the position.
     Pure codegen string functions; no per-character lambda.
     """
-    chars_ = class_chars(char_class)
+    chars_ = _listed(char_class)
     safe = F.translate(text, _MARK, "\u0002")
     if chars_:
         marked = F.translate(safe, chars_, _MARK * len(chars_))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chars
 from ..session import bounded_broadcast
+from ..plans.indexing import prefix_sum
 from .clean import REASONS
 
 
@@ -73,6 +74,38 @@ def confusion_report(conf: DataFrame, vocab: DataFrame | None = None) -> DataFra
         F.sum("_oov").alias("n_oov"), F.max("_n").alias("max_candidates"))
 
 
+def character_counts(texts: DataFrame, col: str) -> DataFrame:
+    """(ch, n): occurrences of every character of a corpus, combined before the shuffle."""
+    return (texts.where(F.col(col) != "").select(F.explode(F.split(col, "")).alias("ch"))
+            .groupBy("ch").agg(F.count(F.lit(1)).alias("n")))
+
+
+def rare_characters(counts: DataFrame, share: float = 0.01) -> DataFrame:
+    """(ch, n) of the least frequent characters that together make up at most ``share`` of the corpus: an
+    exact weighted quantile over the distinct characters, never over the corpus."""
+    running = prefix_sum(counts, ["n", "ch"], "n", "upto")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return running.where(F.col("upto") <= F.lit(share) * F.lit(total)).select("ch", "n")
+
+
+def rare_candidates(conf: DataFrame, counts: DataFrame, share: float = 0.01) -> DataFrame:
+    """Per kind the candidates, how many of them the corpus never has, and how many are rare (never
+    seen, or among :func:`rare_characters`)."""
+    common = counts.join(rare_characters(counts, share).select("ch"), "ch", "left_anti").select(
+        F.col("ch").alias("cand"), F.lit(True).alias("_common"))
+    seen = counts.select(F.col("ch").alias("cand"), F.lit(True).alias("_seen"))
+    c = conf.join(seen, "cand", "left").join(common, "cand", "left")
+    return c.groupBy("kind").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(F.col("_seen").isNull()).alias("n_unseen"),
+                                 F.count_if(F.col("_common").isNull()).alias("n_rare"))
+
+
+def changed_lengths(df: DataFrame, before: str, after: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, and rows whose token list lost tokens when its special ones were stripped."""
+    lost = F.size(before) - F.size(after)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(lost != 0).alias("n_changed"),
+                               F.sum(lost.cast("bigint")).alias("n_lost"))
+
+
 def dedupe_confusion(conf: DataFrame, drop_self: bool = True) -> DataFrame:
     """distinct candidates per (kind, ch), first index kept, optional self removal."""
     c = conf.where(F.col("cand") != F.col("ch")) if drop_self else conf
@@ -106,4 +139,4 @@ def noise_report(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 __all__ = ["audit", "overflow_report", "dropped_counts", "seed_summary", "confusion_report",
-           "dedupe_confusion", "noise_report", "REASONS"]
+           "dedupe_confusion", "noise_report", "character_counts", "rare_characters", "rare_candidates", "changed_lengths", "REASONS"]

@@ -21,7 +21,8 @@ from ..plans.indexing import line_index, prefix_sum, row_index
 
 def list_files(spark: SparkSession, folder: str | Sequence[str], glob: str = "*", allow_example: bool = False) -> DataFrame:
     """(file_path, file_name, n_bytes) of the files below ``folder`` whose name matches, read from the
-    listing alone. No file, or a name with ``.example.`` unless allowed, is an error before any scan."""
+    listing alone. No file, or a name with ``.example.`` unless allowed, is an error before any scan. Spark's
+    readers do not list files of no bytes: they count as absent here and below."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
              .select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
                      F.col("length").alias("n_bytes")))
@@ -45,13 +46,12 @@ def lines_of(spark: SparkSession, folder: str | Sequence[str], glob: str = "*")
 
 def text_inventory(spark: SparkSession, folder: str | Sequence[str], glob: str = "*", allow_example: bool = False) -> DataFrame:
     """One row per text file with its bytes, lines and rows (lines that are not blank); splits are
-    counted on their own and added up, files without a line have zeros."""
+    counted on their own and added up."""
     files = list_files(spark, folder, glob, allow_example)
     counts = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(folder)
               .select(F.col("_metadata.file_path").alias("file_path"), "value").groupBy("file_path")
               .agg(F.count("*").alias("n_lines"), F.count_if(F.trim(F.translate("value", "\t\r\x0b\x0c", "    ")) != "").alias("n_rows")))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return files.join(counts, "file_path", "left").select("file_path", "file_name", "n_bytes", zero("n_lines"), zero("n_rows"))
+    return files.join(counts, "file_path").select("file_path", "file_name", "n_bytes", "n_lines", "n_rows")
 
 
 # ---------------------------------------------------------------- A21: digests over ranges
@@ -83,11 +83,9 @@ def file_digests(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
     lines = lines_of(spark, folder, glob).select("file_path", "idx", F.sha2(F.col("value").cast("binary"), 256).alias("digest"))
     lines = lines.checkpoint()  # digests only; each level reads them again
     made = tree_digests(lines, "file_path", "idx", "digest")
-    size = F.col("n_bytes").cast("string")
-    n = F.coalesce("n", F.lit(0))
-    return files.join(made, "file_path", "left").select(
-        F.element_at(F.split("file_path", f"/{root}/", 2), -1).alias("name"), "n_bytes", n.cast("bigint").alias("n_lines"),
-        F.sha2(F.concat_ws(":", size, n.cast("string"), F.coalesce("digest", F.lit(""))), 256).alias("digest"))
+    return files.join(made, "file_path").select(
+        F.element_at(F.split("file_path", f"/{root}/", 2), -1).alias("name"), "n_bytes", F.col("n").alias("n_lines"),
+        F.sha2(F.concat_ws(":", F.col("n_bytes").cast("string"), F.col("n").cast("string"), "digest"), 256).alias("digest"))
 
 
 def corpus_digest(files: DataFrame) -> DataFrame:

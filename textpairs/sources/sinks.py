@@ -5,12 +5,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import annotate_text, punct_equal_text
 
 
+def committed(spark: SparkSession, folder: str) -> bool:
+    """Whether the job that wrote ``folder`` ended: its commit mark is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_lines(rows: DataFrame, folder: str, value: str, order: Sequence[str | Column] = (), partition_by: str | None = None) -> int:
+    """Text lines of column ``value``, in files whose path order is ``order`` (within a partition folder
+    too). A value with a line feed is an error, since it could not be read back. Returns the rows written,
+    after checking the commit mark."""
+    line = F.when(F.instr(value, "\n") > 0, F.raise_error(F.lit("line feed in a line"))).otherwise(F.coalesce(F.col(value), F.lit("")))
+    seen = Observation()
+    if order:
+        spark = rows.sparkSession
+        keys = [c if isinstance(c, Column) else F.col(c) for c in order]
+        rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+        rows = rows.sortWithinPartitions(*([F.col(partition_by)] if partition_by else []), *keys)
+    out = rows.select(*([partition_by] if partition_by else []), line.alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).text(folder)
+    if not committed(rows.sparkSession, folder):
+        raise OSError(f"no commit mark in {folder}")
+    return seen.get["n"]
+
+
+def read_committed(spark: SparkSession, folder: str, fmt: str = "text", schema: str | None = None) -> DataFrame:
+    """What a finished job wrote, partition folders as columns; a folder without a commit mark is an error."""
+    if not committed(spark, folder):
+        raise OSError(f"no commit mark in {folder}: not written to the end")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.format(fmt).load(folder)
+
+
 def bucket_rows(triples: DataFrame, src: str = "src", tgt: str = "tgt", pred: str = "pred") -> DataFrame:
     """A14 rows: one row per (sentence, bucket) with the annotation of that bucket.
 
@@ -28,9 +61,9 @@ def bucket_rows(triples: DataFrame, src: str = "src", tgt: str = "tgt", pred: st
     return triples.withColumn("bucket", bucket).where(F.col("bucket").isNotNull()).withColumn("annotation", ann)
 
 
-def write_buckets(rows: DataFrame, folder: str) -> None:
+def write_buckets(rows: DataFrame, folder: str, order: Sequence[str | Column] = ()) -> int:
     """Text files per bucket (``bucket=tp/`` ...)."""
-    rows.select("bucket", F.col("annotation").alias("value")).write.mode("overwrite").partitionBy("bucket").text(folder)
+    return write_lines(rows, folder, "annotation", order, "bucket")
 
 
 def response_line(src_tokens: str | Column, trg_tokens: str | Column, pred_tokens: str | Column) -> Column:
@@ -41,8 +74,9 @@ def response_line(src_tokens: str | Column, trg_tokens: str | Column, pred_token
                     F.lit("\tprediction: "), F.array_join(p, " "), F.lit("\t"), verdict)
 
 
-def write_responses(df: DataFrame, folder: str, line_col: str = "line") -> None:
-    df.select(F.col(line_col).alias("value")).write.mode("overwrite").text(folder)
+def write_responses(df: DataFrame, folder: str, line_col: str = "line", order: Sequence[str | Column] = ()) -> int:
+    """Response lines."""
+    return write_lines(df, folder, line_col, order)
 
 
 def prediction_type(input_text: str | Column, prediction: str | Column) -> Column:
