@@ -159,8 +159,8 @@ MEMBER = ("cid bigint, m bigint, embedding array<double>, ball bigint, size bigi
 
 
 def gather(found: DataFrame, plan: Plan) -> DataFrame:
-    """The classes with their ball, the smallest class id in it; the row of that class, the leader,
-    carries the ball's size, radius and sketch. A ball lies within one chunk of one code."""
+    """The classes with their ball, the smallest class id in it, and the ball's radius and sketch; the row
+    of that class, the leader, also has the ball's size. A ball lies within one chunk of one code."""
     def home(b: pa.RecordBatch):
         for at, m in _by_length(b.column(2)):
             pick = pa.array(at)
@@ -197,10 +197,9 @@ def gather(found: DataFrame, plan: Plan) -> DataFrame:
                         free = free[~mine]
             own = lead == np.arange(n)
             s = sketches(padded(unit))
-            only = lambda x, kind: pa.array(x, kind, mask=~own)
             yield {"cid": b.column(2).take(pa.array(at)), "m": b.column(3).take(pa.array(at)),
-                   "embedding": b.column(4).take(pa.array(at)), "ball": cid[at[lead]], "size": only(size, pa.int64()),
-                   "radius": only(radius, pa.float64()), "s0": only(s[:, 0], pa.int64()), "s1": only(s[:, 1], pa.int64())}
+                   "embedding": b.column(4).take(pa.array(at)), "ball": cid[at[lead]],
+                   "size": pa.array(size, pa.int64(), mask=~own), "radius": radius[lead], "s0": s[lead, 0], "s1": s[lead, 1]}
 
     return cut(map_columns(dealt, MEMBER, balls), "balls")
 
@@ -244,18 +243,20 @@ def _runs(dealt: DataFrame, keys: int, schema: str, compare) -> DataFrame:
 def ball_pairs(members: DataFrame, plan: Plan, group: int = GROUP) -> DataFrame:
     """(a, b), a < b: balls that share a bucket and whose sketches allow a link."""
     def spread(b: pa.RecordBatch):
-        ball = b.column(1).to_numpy()
+        ball, about = b.column(1).to_numpy(), {n: b.column(i).to_numpy() for i, n in ((2, "radius"), (3, "s0"), (4, "s1"))}
         for at, m in _by_length(b.column(0)):
             x = padded(_unit(m))
             for tbl in range(plan.tables):
                 c = codes(x, tbl, plan.k, plan.probes)
-                rows = np.unique(np.column_stack([np.repeat(ball[at], c.shape[1]), c.ravel()]), axis=0)
-                yield {"tbl": np.full(len(rows), m.shape[1] * 1000 + tbl), "code": rows[:, 1], "ball": rows[:, 0]}
-
-    # a ball's members share most codes: one row each of them is left before the shuffle of the join
-    keyed = map_columns(members.select("embedding", "ball"), "tbl bigint, code bigint, ball bigint", spread).distinct()
-    lead = members.where("size IS NOT NULL").select("ball", "radius", "s0", "s1")
-    keyed = cut(keyed.join(lead, "ball"), "buckets")
+                # a ball's members share most codes: one row each is left of them in the batch
+                pairs = np.column_stack([np.repeat(ball[at], c.shape[1]), c.ravel()])
+                rows, first = np.unique(pairs, axis=0, return_index=True)
+                own = at[first // c.shape[1]]
+                yield {"tbl": np.full(len(rows), m.shape[1] * 1000 + tbl), "code": rows[:, 1], "ball": rows[:, 0],
+                       **{n: v[own] for n, v in about.items()}}
+
+    keyed = cut(map_columns(members.select("embedding", "ball", "radius", "s0", "s1"),
+                            "tbl bigint, code bigint, ball bigint, radius double, s0 bigint, s1 bigint", spread).distinct(), "buckets")
     crowded = cut(keyed.groupBy("tbl", "code").agg(F.count("*").alias("n")).where(F.col("n") > group)
                   .select("tbl", "code", F.ceil(F.col("n") / group).cast("int").alias("s")), "crowded")
     own = F.pmod(F.xxhash64("ball"), F.col("s")).cast("int")
