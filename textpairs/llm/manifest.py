@@ -143,7 +143,8 @@ def proofs(rows: DataFrame, extra: list[str] = []) -> tuple[DataFrame, str | Non
     are the siblings before and after the node's place, level by level up to the root."""
     kept = ["key", *extra]
     keyed = rows.select(F.col("grp").isNotNull().alias(GROUP[0]), F.coalesce("grp", F.lit("")).alias(GROUP[1]), "h", *kept)
-    numbered = row_index(keyed, ["key", "h"], GROUP, out_col="i")
+    # written first: the range partitioning reads its input twice, and texts should be hashed once
+    numbered = row_index(cut(keyed, "leaves"), ["key", "h"], GROUP, out_col="i")
     low = towers(numbered, kept)
     # the groups' roots in the groups' order are the nodes of one more tree
     high = row_index(low.roots.withColumnRenamed("subroot", "h"), GROUP, out_col="i").select(
