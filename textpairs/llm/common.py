@@ -69,3 +69,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def crc_bucket(key: Column, n: int = 4) -> Column:
     """crc32 of the key's decimal text, modulo ``n`` (null key: null)."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
