@@ -7,6 +7,10 @@ WARC-Target-URI and WARC-Date, and each other in WARC-Concurrent-To; the metadat
 status, HTTP headers, payload and block digests and lengths. Record ids are computed from the source's
 id, so a rerun gives the same records. Columns only, one pass, no shuffle.
 
+The text of a conversion follows the source's Content-Type (folded header lines are joined first, names
+compare without case): HTML, also where no type is named, is stripped; other text is kept as it is; anything
+else has an empty text. Statuses other than 200 are converted like any other and named in the metadata.
+
 Edge cases: a null page, url or html counts as empty text (its records are still made); a block without
 a blank line is all headers; an unclosed script, style or comment is kept as text; repeated rows give
 repeated records with equal ids; an empty table gives no rows; other columns are ignored.
@@ -21,40 +25,52 @@ from .common import table
 
 DATE = "2024-01-01T00:00:00Z"
 
-# Elements without visible text, elements that end a line, named entities.
+# Elements without visible text, elements that end a line, named character references.
 HIDDEN = ("script", "style", "noscript", "template", "title")
 BREAKING = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|"
             "nav|ol|p|pre|section|table|td|th|tr|ul")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"),
-            ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
-            ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-            ("&rdquo;", "”"), ("&euro;", "€"), ("&amp;", "&"))
-COMMENT = "(?s)<!--.*?-->"
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·", "hellip": "…",
+            "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "amp": "&"}
 TAG_END = "(?:[ \\t\\n\\r\\f/][^>]*)?>"
+# One pass: comments and hidden elements, whichever begins first.
+UNSEEN = "(?is)<!--.*?-->|" + "|".join(f"<{name}{TAG_END}.*?</{name}[ \\t\\n\\r\\f]*>" for name in HIDDEN)
 BREAK = f"(?i)</?(?:{BREAKING}){TAG_END}"
 TAG = "<[a-zA-Z/!?][^>]*>"
 SPACE = (("[ \\t\\r\\f]{2,}|[\\t\\r\\f]", " "),  # a lone space stays as it is
-          (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", ""))
+         (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", ""))
 TITLE = f"(?is)<title{TAG_END}(.*?)</title"
-
-
-def _hidden(name: str) -> str:
-    return f"(?is)<{name}{TAG_END}.*?</{name}[ \\t\\n\\r\\f]*>"
+# A text is character references and what stands between them.
+REFERENCE = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z]{2,8};"
+PARTS = f"{REFERENCE}|&|[^&]+"
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text: one line per block element, entities of the table decoded, spaces squeezed."""
-    t = F.regexp_replace(html, COMMENT, "")
-    for name in HIDDEN:
-        t = F.regexp_replace(t, _hidden(name), "")
-    t = F.regexp_replace(F.regexp_replace(t, "[\\n\\r]+", " "), BREAK, "\n")
-    t = F.regexp_replace(t, TAG, "")
+    """Visible text: one line per block element, character references decoded once, spaces squeezed."""
+    t = F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), "[\\n\\r]+", " ")
+    t = F.when(F.instr(t, "<") > 0, F.regexp_replace(F.regexp_replace(t, BREAK, "\n"), TAG, "")).otherwise(t)
     return _finish(t)
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def _decoded(t: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)])
+
+    def one(p: Column) -> Column:
+        number = F.regexp_extract(p, "&#[xX]?([0-9a-fA-F]+);", 1)
+        code = F.when(F.lower(F.substring(p, 3, 1)) == "x", F.conv(number, 16, 10)).otherwise(number).cast("bigint")
+        return (F.when(F.substring(p, 1, 1) != "&", p).when(F.length(p) < 4, p)
+                .when(F.substring(p, 2, 1) == "#", _character(code)).otherwise(F.coalesce(F.try_element_at(names, p), p)))
+
+    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(PARTS), 0), one), "")
+
+
 def _finish(t: Column) -> Column:
-    for entity, char in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = F.when(F.instr(t, "&") > 0, _decoded(t)).otherwise(t)
     for pattern, to in SPACE:
         t = F.regexp_replace(t, pattern, to)
     return t
@@ -88,14 +104,17 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
     gap = F.instr(block, "\r\n\r\n")
     parts = records.select(
         F.col(key), F.col("record_id").alias("refers_to"), "target_uri", "date",
-        F.when(gap > 0, F.substring(block, F.lit(1), gap - 1)).otherwise(block).alias("http"),
+        F.regexp_replace(F.when(gap > 0, F.substring(block, F.lit(1), gap - 1)).otherwise(block), "\r\n[ \t]+", " ").alias("http"),
         F.when(gap > 0, F.substring(block, gap + 4, F.length(block))).otherwise(F.lit("")).alias("payload"),
         _digest(block).alias("source_block"), F.octet_length(block).alias("source_length"),
         _urn(F.concat(F.lit("conversion|"), F.col("record_id"))).alias("conversion_id"),
         _urn(F.concat(F.lit("metadata|"), F.col("record_id"))).alias("metadata_id"))
+    kind = F.lower(F.regexp_extract("http", "(?im)^content-type:[ \\t]*([^;\\r\\n \\t]*)", 1))
+    html = kind.isin("", "text/html", "application/xhtml+xml")
+    text = F.when(html, plain_text(F.col("payload"))).when(kind.startswith("text/"), F.col("payload")).otherwise("")
     title = _finish(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "[\\n\\r]+", " "))
     fields = F.concat(
-        F.lit("title: "), title, F.lit("\r\nsource-status: "), F.substring_index("http", "\r\n", 1),
+        F.lit("title: "), F.when(html, title).otherwise(""), F.lit("\r\nsource-status: "), F.substring_index("http", "\r\n", 1),
         F.when(F.instr("http", "\r\n") > 0,
                F.concat(F.lit("\r\nsource-header: "),
                         F.replace(F.expr("substring(http, instr(http, '\r\n') + 2)"), F.lit("\r\n"), F.lit("\r\nsource-header: "))))
@@ -106,7 +125,7 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
     made = parts.select(key, "refers_to", "target_uri", "date", F.explode(F.array(
         F.struct(F.lit("conversion").alias("record_type"), F.col("conversion_id").alias("record_id"),
                  F.col("metadata_id").alias("concurrent_to"), F.lit("text/plain; charset=utf-8").alias("content_type"),
-                 plain_text(F.col("payload")).alias("block")),
+                 text.alias("block")),
         F.struct(F.lit("metadata").alias("record_type"), F.col("metadata_id").alias("record_id"),
                  F.col("conversion_id").alias("concurrent_to"), F.lit("application/warc-fields").alias("content_type"),
                  fields.alias("block")))).alias("d"))
@@ -146,19 +165,19 @@ def _sql_replace(t: str, pattern: str, to: str) -> str:
 
 
 def _sql_finish(t: str) -> str:
-    for entity, char in ENTITIES:
-        t = f"replace({t}, {_q(entity)}, {_q(char)})"
+    names = "MAP {" + ", ".join(f"{_q(f'&{name};')}: {_q(char)}" for name, char in ENTITIES.items()) + "}"
+    code = "(CASE WHEN lower(substr(x, 3, 1)) = 'x' THEN ('0x' || substr(x, 4, length(x) - 4))::BIGINT ELSE substr(x, 3, length(x) - 3)::BIGINT END)"
+    char = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}::INTEGER) ELSE chr(65533) END"
+    t = (f"array_to_string(list_transform(regexp_extract_all({t}, {_q(PARTS)}), lambda x: CASE WHEN substr(x, 1, 1) <> '&' OR length(x) < 4 "
+         f"THEN x WHEN substr(x, 2, 1) = '#' THEN {char} ELSE coalesce({names}[x], x) END), '')")
     for pattern, to in SPACE:
         t = _sql_replace(t, pattern, to)
     return t
 
 
 def _sql_text(t: str) -> str:
-    t = _sql_replace(t, COMMENT, "")
-    for name in HIDDEN:
-        t = _sql_replace(t, _hidden(name), "")
-    t = _sql_replace(_sql_replace(t, "[\\n\\r]+", " "), BREAK, "\n")
-    return _sql_finish(_sql_replace(t, TAG, ""))
+    t = _sql_replace(_sql_replace(t, UNSEEN, ""), "[\\n\\r]+", " ")
+    return _sql_finish(_sql_replace(_sql_replace(t, BREAK, "\n"), TAG, ""))
 
 
 def _sql_urn(t: str) -> str:
