@@ -2,7 +2,8 @@
 
 Training takes a bounded sample of labelled rows: per language at most ``SAMPLE_DOCS`` texts of
 ``SAMPLE_CHARS`` characters (the smallest text hashes, so any order or split of the rows gives the
-same sample), of which at most ``DICT_BYTES`` become that language's dictionary. A text is reduced
+same sample; where they are too few, middle slices of longer texts), of which at most ``DICT_BYTES``
+become that language's dictionary. The driver holds at most ``4 * DICT_BYTES`` and one text per language. A text is reduced
 to its lower-case letters, encoded once with each dictionary, and gets the language whose output
 is smallest. The first ``PRIMER_BYTES`` of a dictionary are put in front of the text instead, and
 their own cost is taken off again: they give the coder that language's letter statistics, so that
@@ -13,16 +14,15 @@ grows. ``margin`` is how much smaller the size is than the runner-up's, relative
 a text with a margin of ``MIN_MARGIN`` or less is rejected. A tie goes to the language with more
 training rows, then by name, and its margin is 0.
 
-Edge cases: null text or no letter gives ``und``, score 0, rejected; null lang is never learned;
+Edge cases: null text or no letter (digits, numerals and marks alone are none) gives ``und``, score 0, rejected; null lang is never learned;
 with no labelled row at all everything is ``und``; a null doc_id counts as not held out; repeated
 rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,11 +33,14 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, PRIMER_BYTES = 600, (20, 20_000), 64_000,
 BLOCK_BYTES = 32_000
 LEVEL, MIN_MARGIN, SHARPNESS = 5, 0.002, 2.0
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Runs of anything but letters (category L) and the marks on them (M), such as vowel signs.
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
-    return NOT_LETTERS.sub(" ", text.lower()).strip().encode() if text else b""
+    """The text's lower-case letters with their marks; nothing if it has no letter."""
+    return NOT_LETTERS.sub(" ", text.lower()).strip().encode() if text and LETTER.search(text) else b""
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -50,26 +53,36 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int =
     """(language, dictionary), languages with more rows first. ``labelled`` has lang and text.
 
     Two passes: row counts per language, then only rows whose text hash is under a threshold that
-    leaves about twice the wanted number, so no task sorts a whole language."""
+    leaves about twice the wanted number, so no task sorts a whole language. Texts of the wanted lengths
+    come first; a language that has too few of them is filled up with slices from the middle of its longer
+    texts. What reaches the driver is cut to the dictionaries' bytes in Spark, in the order of use."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()),
-                    key=lambda x: (-x[1], x[0]))
+    low, high = SAMPLE_CHARS
+    fits, long = F.length("text").between(low, high), F.length("text") > high
+    counts = sorted(((r["lang"], r["n"], r["fit"], r["long"]) for r in rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if(fits).alias("fit"), F.count_if(long).alias("long")).collect()),
+        key=lambda x: (-x[1], x[0]))
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 4.0 * sample_docs / n))])
-    h = F.xxhash64("text")
-    low, high = SAMPLE_CHARS
-    picked = (rows.withColumn("h", h)
-              .where((F.col("h") / F.lit(2.0 ** 64) + 0.5 <= share[F.col("lang")])
-                     & F.length("text").between(low, high))
-              .groupBy("lang", "h").agg(F.min("text").alias("text"))
-              .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-              .where(F.col("r") <= sample_docs).orderBy("lang", "r").collect())
+    share = lambda at: F.create_map(*[F.lit(x) for c in counts for x in (c[0], min(1.0, 4.0 * sample_docs / max(c[at], 1)))])[F.col("lang")]
+    middle = F.substring("text", F.floor((F.length("text") - high) / 2).cast("int") + 1, F.lit(high))
+    picked = (rows.withColumn("h", F.xxhash64("text"))
+              .withColumn("u", F.col("h") / F.lit(2.0 ** 64) + 0.5)
+              .where((fits & (F.col("u") <= share(2))) | (long & (F.col("u") <= share(3))))
+              .select("lang", "h", long.cast("int").alias("late"), F.when(long, middle).otherwise(F.col("text")).alias("text"))
+              .groupBy("lang", "late", "h").agg(F.min("text").alias("text")))
+    by = Window.partitionBy("lang").orderBy("late", "h", "text")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    # a letter is a byte at least, and a text shrinks to its letters: twice the bytes leave enough
+    kept = (picked.withColumn("r", F.row_number().over(by))
+            .withColumn("sofar", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+            .where((F.col("r") <= sample_docs) & (F.col("sofar") < 4 * dict_bytes)).orderBy("lang", "r").collect())
     out = []
-    for lang, _ in counts:
+    for lang, *_ in counts:
         parts, size = [], 0
-        for r in picked:
-            if r["lang"] == lang and size + len(b := letters(r["text"])) < dict_bytes:
+        for r in kept:
+            b = letters(r["text"]) if r["lang"] == lang else b""
+            if b and size + len(b) < dict_bytes:
                 parts.append(b)
                 size += len(b) + 1
         out.append((lang, b" ".join(parts)))
