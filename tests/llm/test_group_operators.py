@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 import corpus_pipeline
@@ -236,6 +237,37 @@ def test_line_dedup(spark, sf, docs, clashing, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_texts_that_repeat_themselves(spark):
+    rng = random.Random(4)
+    pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 9))) for _ in range(7)]
+    texts = ["\n".join(rng.choice(pool[:k]) for _ in range(rng.randint(1, 22))) for k in (1, 2, 3, 5, 7) for _ in range(14)]
+    texts += ["\n".join([pool[0]] * n) for n in range(1, 16)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    expected = lines_by_hand(list(enumerate(texts)), 12)
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(df, 12).collect()}
+    assert [got[i] for i in range(len(texts))] == expected and sum(map(len, expected)) > 100
+
+
+def test_each_window_selects_its_rightmost_smallest_hash():
+    rng = random.Random(3)
+    for _ in range(100):
+        w = [rng.randint(1, 9) for _ in range(rng.randint(0, 25))]
+        h = np.array([rng.randint(0, 6) for _ in w], dtype=np.uint64)
+        expected = collections.defaultdict(list)
+        for a, b in linededup.windows(w, 12):
+            expected[max(i for i in range(a, b + 1) if h[i] == h[a:b + 1].min())].append((a, b))
+        assert linededup.winnow(h, w, 12) == dict(expected)
+
+
+def test_clashing_columns_keep_their_values(spark, docs):
+    names = ["_id", "_th", "_runs", "runs", "run_doc", "run_text", "_fp", "fp_", "lead_id", "lead_fp", "LEAD_FP_"]
+    rows = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for out in (linededup.dedup_lines(rows), simhash.deduplicate(rows)):
+        assert set(rows.columns) <= set(out.columns)
+        for r in out.collect():
+            assert all(r[n] == (None if r["doc_id"] is None else f"{n}:{r['doc_id']}") for n in names)
+
+
 def test_windows_are_the_shortest_runs():
     rng = random.Random(8)
     for _ in range(200):
@@ -331,6 +363,22 @@ def test_warc_derivatives(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_statuses_types_and_references(spark):
+    def record(i, head, body):
+        return (i, f"<urn:{i}>", "u", "d", f"{head}\r\n\r\n{body}")
+    rows_ = [record(1, "HTTP/1.1 404 Not Found\r\ncontent-TYPE: Text/HTML; charset=utf-8\r\nX-Long: a\r\n\tb\r\n  c", "<title>No &#8217;t</title><p>x&#x27;y"),
+             record(2, "HTTP/1.1 200 OK\r\nContent-Type: text/plain", "a <b> &amp; c"),
+             record(3, "HTTP/1.1 200 OK\r\nContent-Type: image/png", "<p>bytes</p>"),
+             record(4, "HTTP/1.1 301 Moved", "<i>m</i>&#8364;&#x1F600;&#0;&#xD800;&#1114112;&nope;&amp;lt;&#38;lt; & &; &#; &#x;"),
+             record(5, "HTTP/1.1 200 OK\r\nContent-Type:application/xhtml+xml", "<!-- <script> --><b>s</b><script><!-- x </script>t")]
+    df = spark.createDataFrame(rows_, "page_id int, record_id string, target_uri string, date string, block string")
+    got = {(r["page_id"], r["record_type"]): r["block"] for r in warc.derive(df).collect()}
+    assert got[1, "conversion"] == "x'y" and got[2, "conversion"] == "a <b> &amp; c" and got[3, "conversion"] == ""
+    assert got[4, "conversion"] == "m€😀\ufffd\ufffd\ufffd&nope;&lt;&lt; & &; &#; &#x;" and got[5, "conversion"] == "st"
+    assert got[1, "metadata"].startswith("title: No ’t\r\nsource-status: HTTP/1.1 404 Not Found\r\nsource-header: content-TYPE")
+    assert "source-header: X-Long: a b c\r\n" in got[1, "metadata"] and got[3, "metadata"].startswith("title: \r\n")
+
+
 # ---------------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_take_effect(spark, sf, docs):

@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -98,6 +99,47 @@ def test_language_of_odd_texts(spark, docs, clashing, nothing):
     assert {r["lang_pred"] for r in langid.predict(docs, []).collect()} == {"und"}
 
 
+def test_texts_without_letters_are_undetermined(spark, docs):
+    model = langid.train(docs)
+    odd = ["½ ²", "①②", "12 _ 3", "\u0301\u0302", "ⅷ Ⅷ", "...", "٣"]
+    got = langid.predict(spark.createDataFrame([(t,) for t in odd], "text string"), model).collect()
+    assert all((r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True) for r in got)
+    assert langid.letters("हिन्दी में १२") == "हिन्दी में".encode()
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(2)
+    stems = {"de": ["sch", "ung", "ver", "ein", "der", "ß", "ü"], "en": ["th", "ing", "tion", "of", "wh", "ea"]}
+    prose = lambda n, la: " ".join("".join(rng.choice(stems[la]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    long = [(f"{i}", prose(9000, "de"), "de") for i in range(3)]
+    short = [(f"s{i}", prose(60, "en"), "en") for i in range(50)]
+    model = langid.train(spark.createDataFrame(long + short, "k string, text string, lang string"))
+    assert min(len(d) for _, d in model) > 5_000 and all(len(t) > langid.SAMPLE_CHARS[1] for _, t, _ in long)
+    new = [(prose(40, la), la) for la in ("de", "en") for _ in range(10)]
+    got = langid.predict(spark.createDataFrame(new, "text string, truth string"), model).collect()
+    assert sum(r["lang_pred"] == r["truth"] for r in got) >= 18
+
+
+def test_compressed_sizes_by_hand(spark, docs):
+    import zstandard
+    model = langid.train(docs)
+
+    def size(dictionary, data):
+        primer, rest = dictionary[:langid.PRIMER_BYTES] + b" ", dictionary[langid.PRIMER_BYTES:] or b" " * 8
+        def packed(x):  # noqa: E306
+            d = zstandard.ZstdCompressionDict(rest, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            return len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False,
+                                                write_dict_id=False).compress(x))
+        return sum(packed(primer + p) - packed(primer) for p in langid.blocks(data))
+
+    for r in langid.predict(docs.where("doc_id < 60 OR doc_id = 125"), model).collect():
+        sizes = [size(d, langid.letters(r["text"])) for _, d in model]
+        best, second = sorted(sizes)[:2]
+        assert r["lang_pred"] == model[sizes.index(best)][0]
+        assert abs(r["margin"] - (second - best) / second) < 1e-12
+        assert r["rejected"] == (r["margin"] <= langid.MIN_MARGIN)
+
+
 def test_blocks_hold_the_whole_text():
     for n in (0, 1, langid.BLOCK_BYTES, langid.BLOCK_BYTES + 1, 5_000_001):
         data = (b"0123456789" * (n // 10 + 1))[:n]

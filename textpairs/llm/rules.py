@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, table
+from .common import WS, let, table, unused
 
 BUCKETS, TRUSTED, SMOOTHING, MIN_SCORE = 1 << 15, 20_000, 1.0, -0.25
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -71,18 +71,20 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed (columns of these
+    names are replaced, others stay)."""
+    w, ls = unused(docs, "words", "lines")
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, f"{WS}+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    out = (docs.withColumn("_w", words).withColumn("_lines", lines)
-           .withColumn("n_words", F.size("_w").cast("long"))
-           .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
+    out = (docs.withColumn(w, words).withColumn(ls, lines)
+           .withColumn("n_words", F.size(w).cast("long"))
+           .withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
            .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-           .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-           .withColumn("n_repeat_words", repeated_words(F.col("_w")).cast("long")))
+           .withColumn("n_dup_lines", (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
+           .withColumn("n_repeat_words", repeated_words(F.col(w)).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_w", "_lines")
+    return out.withColumn("base_failed", failed).drop(w, ls)
 
 
 def buckets(text: Column, n: int = BUCKETS) -> Column:
@@ -105,9 +107,10 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, text: str = "text") -> list[float]:
     """log(trusted / raw) of every bucket."""
-    trusted = trusted_ids(labels).select(F.col("doc_id").alias("_id"))  # at most TRUSTED ids
-    grams = (docs.join(F.broadcast(trusted), docs["doc_id"] == trusted["_id"], "left")
-             .select(F.col("_id").isNotNull().alias("good"), F.explode(buckets(F.col(text), n)).alias("bucket")))
+    (own,) = unused(docs, "trusted_id")
+    trusted = trusted_ids(labels).select(F.col("doc_id").alias(own))  # at most TRUSTED ids
+    grams = (docs.join(F.broadcast(trusted), docs["doc_id"] == trusted[own], "left")
+             .select(F.col(own).isNotNull().alias("good"), F.explode(buckets(F.col(text), n)).alias("bucket")))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("good"))
     rows = {r["bucket"]: (r["raw"], r["good"]) for r in counts.collect()}  # BUCKETS rows at most
     n_raw, n_good = (sum(r[i] for r in rows.values()) for i in (0, 1))
@@ -122,13 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, text: str = "text"
 
 
 def score(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """Adds n_grams and score."""
+    """Adds n_grams and score (columns of these names are replaced, others stay)."""
     n = len(model)
+    (b_,) = unused(docs, "buckets")
     ratio = F.from_json(F.lit(json.dumps(model)), "array<double>")  # folded to a constant once
-    total = let(ratio, lambda m: F.aggregate(F.col("_b"), F.lit(0.0), lambda acc, b: acc + F.get(m, b)))
-    return (docs.withColumn("_b", buckets(F.col(text), n)).withColumn("n_grams", F.size("_b").cast("long"))
+    total = let(ratio, lambda m: F.aggregate(F.col(b_), F.lit(0.0), lambda acc, b: acc + F.get(m, b)))
+    return (docs.withColumn(b_, buckets(F.col(text), n)).withColumn("n_grams", F.size(b_).cast("long"))
             .withColumn("score", F.when(F.col("n_grams") > 0, total / F.col("n_grams")).otherwise(F.lit(0.0)))
-            .drop("_b"))
+            .drop(b_))
 
 
 def op5_quality_rules(spark, sf_dir) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_map, arrow_schema, cut, map_columns, table
+from .common import arrow_map, arrow_schema, cut, map_columns, table, unused
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -227,11 +227,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The input's columns and rows, one document of each component: the smallest doc_id. Of
     repeated rows of that document one stays."""
     names = docs.columns
-    marked = cut(with_fingerprint(docs, "_fp"), "docs-fp")
-    found = classes(marked.select("doc_id", F.col("_fp").alias("fp")))
-    keep = found.select(F.col("component_id").alias("_id"), F.col("rep_fp").alias("_rep")).distinct()
-    return (marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_fp"] == keep["_rep"]), "left_semi")
-            .dropDuplicates(["doc_id", "_fp"]).select(*names))
+    fp, lead, rep = unused(docs, "fp_", "lead_id", "lead_fp")
+    marked = cut(with_fingerprint(docs, fp), "docs-fp")
+    found = classes(marked.select("doc_id", F.col(fp).alias("fp")))
+    keep = found.select(F.col("component_id").alias(lead), F.col("rep_fp").alias(rep)).distinct()
+    return (marked.join(keep, marked["doc_id"].eqNullSafe(keep[lead]) & (marked[fp] == keep[rep]), "left_semi")
+            .dropDuplicates(["doc_id", fp]).select(*names))
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:
