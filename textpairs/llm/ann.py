@@ -4,15 +4,15 @@ Equal vectors are one class, which carries its ``K + 1`` smallest ids: more of t
 a result, so a vector shared by a third of the rows costs one entry. Class vectors are lengthened by
 one coordinate that makes all norms equal (largest inner product = nearest), rotated, and cut
 into groups of ``DIMS`` projected coordinates; each group, shifted by a random offset, is one Hilbert
-curve. Spark range-partitions every curve's keys and numbers them. Curves are divided into blocks
-of ``BLOCK`` consecutive keys; a query goes to the blocks that its key window touches on every curve,
-is ranked there against whole blocks, and the blocks' best are merged and reranked with exact
-scores.
+curve. Spark range-partitions every curve's keys and numbers them. On every curve a query is scored
+against the items whose rank lies within its key window, no others; the best of all windows are merged
+and reranked with exact scores. Blocks of ``BLOCK`` consecutive ranks only bound what a task holds at once.
 
 The window is measured, not fixed: for ``SAMPLE`` queries (smallest hashes) the exact neighbours are
 found by one scan, and the window is the key distance that reaches ``TARGET`` of them on at least
-one curve. Data with structure get short windows; data without any (random directions in many
-dimensions) get wide ones, at the recall asked for.
+one curve. Data with structure get short windows, a small share of the rows; data without any (random
+directions in many dimensions) get wide ones, at the recall asked for: no ordering helps there, and the
+windows of all curves together may hold more items than the table has rows.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or are not of the
 commonest length take no part, nor do rows without an id; equal scores go to the smaller id; repeated
@@ -217,40 +217,58 @@ def window(classes: DataFrame, places: DataFrame, target: float = TARGET, sample
     return int(far.agg(F.percentile("far", F.lit(target)).alias("w")).first()["w"] or 0) + 1
 
 
+def spans(rank: np.ndarray, near: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query rank the slice of the sorted item ranks ``near`` that its window holds."""
+    return np.searchsorted(near, rank - reach), np.searchsorted(near, rank + reach, side="right")
+
+
 def candidates(classes: DataFrame, places: DataFrame, reach: int, block: int = BLOCK, n: int = K + 1 + SPARE) -> DataFrame:
-    """(q, cid, s): the best classes of all blocks each query's windows touch, merged."""
+    """(q, cid, s): the best classes within ``reach`` ranks of each query on any curve, merged. A block of
+    consecutive ranks is what a task holds at once; a query visits the blocks that its window touches
+    and is scored there against the items inside the window alone."""
     spread = F.when(F.col("query"), F.sequence(F.greatest(F.lit(0), F.floor((F.col("rank") - reach) / block)),
                                                F.floor((F.col("rank") + reach) / block))
                     ).otherwise(F.array(F.floor(F.col("rank") / block)))
     dealt = (places.join(classes.select("cid", "embedding"), "cid")
-             .select("curve", F.explode(spread).alias("block"), "query", "cid", "embedding")
-             .repartition("curve", "block").sortWithinPartitions("curve", "block", "query"))
+             .select("curve", F.explode(spread).alias("block"), "query", "rank", "cid", "embedding")
+             .repartition("curve", "block").sortWithinPartitions("curve", "block", "query", "rank", "cid"))
     sch = arrow_schema("q bigint, cid bigint, s double")
 
     def run(batches):
-        at, ids, vecs = None, [], []  # the block being read: items come before queries
+        at, ids, ranks_, vecs = None, [], [], []  # the block being read: items come before queries
         for b in batches:
-            curve, blk, query = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cid, v = b.column(3).to_numpy(), matrix(b.column(4))
+            curve, blk, query, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cid, v = b.column(4).to_numpy(), matrix(b.column(5))
             edges = np.flatnonzero((np.diff(curve) != 0) | (np.diff(blk) != 0)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(curve)]):
                 if lo == hi:
                     continue
                 if at != (curve[lo], blk[lo]):
-                    at, ids, vecs = (curve[lo], blk[lo]), [], []
+                    at, ids, ranks_, vecs = (curve[lo], blk[lo]), [], [], []
                 mid = lo + int((~query[lo:hi].astype(bool)).sum())
                 if mid > lo:
-                    ids, vecs = [*ids, cid[lo:mid]], [*vecs, v[lo:mid]]
-                if hi > mid and ids:
-                    have, mat = np.concatenate(ids), np.concatenate(vecs)
-                    ids, vecs = [have], [mat]
-                    for k in range(mid, hi, 1024):
-                        s = v[k:min(k + 1024, hi)] @ mat.T
-                        pick = _best(s, n, have)
+                    ids, ranks_, vecs = [*ids, cid[lo:mid]], [*ranks_, rank[lo:mid]], [*vecs, v[lo:mid]]
+                if hi == mid or not ids:
+                    continue
+                have, near, mat = (np.concatenate(x) for x in (ids, ranks_, vecs))
+                ids, ranks_, vecs = [have], [near], [mat]
+                first, last = spans(rank[mid:hi], near, reach)
+                k = 0
+                while k < hi - mid:  # queries whose windows lie together share one product
+                    z = int(np.searchsorted(last[k:], first[k] + 2 * max(last[k] - first[k], 64), side="right")) + k
+                    z = min(max(z, k + 1), k + 256)
+                    a, e = int(first[k]), int(last[z - 1])
+                    if e > a:
+                        s = v[mid + k:mid + z] @ mat[a:e].T
+                        place = np.arange(a, e)
+                        s[(place < first[k:z, None]) | (place >= last[k:z, None])] = -np.inf
+                        pick = _best(s, n, have[a:e])
+                        score = np.take_along_axis(s, pick, axis=1)
+                        inside = np.isfinite(score).ravel()
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(np.repeat(cid[k:min(k + 1024, hi)], pick.shape[1])),
-                            pa.array(have[pick.ravel()]),
-                            pa.array(np.take_along_axis(s, pick, axis=1).ravel())], schema=sch)
+                            pa.array(np.repeat(cid[mid + k:mid + z], pick.shape[1])[inside]),
+                            pa.array(have[a:e][pick.ravel()][inside]), pa.array(score.ravel()[inside])], schema=sch)
+                    k = z
 
     found = arrow_map(dealt, run, "q bigint, cid bigint, s double")
     return _top(found.groupBy("q", "cid").agg(F.max("s").alias("s")), n)
