@@ -95,3 +95,39 @@ def test_offsets_are_broadcast(spark):
     plan = M.average_ranks(x, "x", "r")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert not math.isnan(M.spearman(x, "x", "y").first()["spearman"])
+
+
+def test_scratch_of_a_run_is_removed(spark):
+    from pathlib import Path
+
+    from textpairs import session
+    kept = session.scratch_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with session.scratch_run(spark) as outer:
+        a = session.scratch_path(spark, "a")
+        with session.scratch_run(spark) as inner:
+            b = session.scratch_path(spark, "b")
+            assert a.startswith(outer) and b.startswith(inner) and inner.startswith(outer)
+            spark.range(3).write.parquet(b)
+        spark.range(3).write.parquet(a)
+        assert spark.read.parquet(a).count() == 3 and not Path(b.removeprefix("file:")).exists()
+    assert not Path(a.removeprefix("file:")).exists() and spark.read.parquet(kept).count() == 3
+
+
+def test_json_lines_are_one_whole_object(spark):
+    import json
+
+    from textpairs.sources import readers as RD
+    lines = ['{"src":"a","tgt":"b"}', ' {"src":"a","tgt":"b"}\t', '{"src":"a","tgt":"b"}]', '{"src":"a","tgt":"b"}] [', '{"src":"a","tgt":"b"},{"src":"a","tgt":"b"}',
+             '{"src":"a","tgt":"b"} {}', '{"src":"a","tgt":"b"},1],[{"src":"a","tgt":"b"}', '[{"src":"a","tgt":"b"}]', '{"src":"a","tgt":"b"', '{"src":"a","tgt":null}',
+             '{"src":"}],[{","tgt":"\\u005d"}', '{"src":1,"tgt":"b"}', '{"src":"a"}', '{"src":"x","src":"a","tgt":"b"}', '{"src":"a","tgt":"b"}x}', '""', "null", "{}"]
+    got = RD.with_json_pair(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string"), "line").collect()
+
+    def valid(x):
+        try:
+            v = json.loads(x)
+        except ValueError:
+            return False
+        return isinstance(v, dict) and isinstance(v.get("src"), str) and isinstance(v.get("tgt"), str)
+    assert {r["i"]: r["valid"] for r in got} == {i: valid(x) for i, x in enumerate(lines)}
+    assert next(r for r in got if r["i"] == 10)["src"] == "}],[{" and next(r for r in got if r["i"] == 13)["src"] == "a"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+# What the readers need of any session: of a repeated JSON key the last value counts.
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that the library needs, for a session that was built elsewhere too."""
+    spark.conf.set(DUPLICATE_KEYS, "true")
     checkpoint_root(spark)
     return spark
 
@@ -58,8 +69,25 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root for a derived table."""
-    root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    root = checkpoint_root(spark).rstrip("/")
+    return f"{root}/scratch/{'/'.join([*_RUNS, ''])}{name}-{uuid.uuid4().hex[:12]}"
+
+
+_RUNS: list[str] = []
+
+
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """Scratch tables written inside are removed at the end: for a caller that has read or written its
+    results by then. Runs may be nested; nothing else in the scratch folder is touched."""
+    _RUNS.append(f"run-{uuid.uuid4().hex[:12]}")
+    folder = f"{checkpoint_root(spark).rstrip('/')}/scratch/{'/'.join(_RUNS)}"
+    try:
+        yield folder
+    finally:
+        _RUNS.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # Largest side we ship to every executor; dimension tables (vocabulary, confusion sets, label

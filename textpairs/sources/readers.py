@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chars, py_strip, spaced_or_chars, ws_tokens
 from ..plans.indexing import line_index
+from ..session import DUPLICATE_KEYS
 
 
 def _c(x: str | Column) -> Column:
@@ -81,18 +82,21 @@ def with_json_pair(df: DataFrame, line: str, a: str = "src", b: str = "tgt", bla
     ``non_string``. A blank line is ``empty`` (stream semantics: two empty strings) or
     ``invalid`` (audit semantics).
 
-    Spark's parser stops behind the first value, so the line is parsed inside an array and
-    inside an object: text that could go on in both does not exist. Every step is a column of
-    its own, so that Catalyst computes it once.
+    Spark's parser stops behind the first value, so the line is parsed inside an array whose second and
+    last item is the line's own hash: it is found there only if the line is one whole value. Every
+    step is a column of its own, so that Catalyst computes it once. Repeated keys need
+    ``session.prepare``.
     """
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if df.sparkSession.conf.get(DUPLICATE_KEYS) != "true":
+        raise ValueError("call session.prepare(spark) first: repeated keys would be errors")
     d = df.withColumn("_js", py_strip(F.col(line)))
-    d = (d.withColumn("_jv", F.try_parse_json(F.concat(F.lit('{"x":'), "_js", F.lit("}"))))
-         .withColumn("_jw", F.try_parse_json(F.concat(F.lit("["), "_js", F.lit("]")))))
-    d = (d.withColumn("_jfa", F.try_variant_get("_jv", f"$.x.{a}", "variant"))
-         .withColumn("_jfb", F.try_variant_get("_jv", f"$.x.{b}", "variant")))
+    d = d.withColumn("_jh", F.xxhash64("_js"))
+    d = d.withColumn("_jv", F.try_parse_json(F.concat(F.lit("["), "_js", F.lit(","), F.col("_jh").cast("string"), F.lit("]"))))
+    d = (d.withColumn("_jfa", F.try_variant_get("_jv", f"$[0].{a}", "variant"))
+         .withColumn("_jfb", F.try_variant_get("_jv", f"$[0].{b}", "variant"))
+         .withColumn("_jend", F.try_variant_get("_jv", "$[1]", "bigint")))
     d = (d.withColumn("_jblank", F.col("_js") == "")
-         .withColumn("_jobj", F.col("_jv").isNotNull() & F.col("_jw").isNotNull() & F.col("_js").startswith("{"))
+         .withColumn("_jobj", F.coalesce(F.col("_jend") == F.col("_jh"), F.lit(False)) & F.col("_js").startswith("{"))
          .withColumn("_jpresent", F.col("_jfa").isNotNull() & F.col("_jfb").isNotNull())
          .withColumn("_jstr", (F.schema_of_variant("_jfa") == "STRING") & (F.schema_of_variant("_jfb") == "STRING")))
     ok = F.col("_jobj") & F.col("_jpresent") & F.col("_jstr")
