@@ -190,6 +190,20 @@ def test_split_words_are_encoded_as_in_their_text():
     assert enc.encode(texts) == whole
 
 
+def test_tokenizers_of_another_family_get_whole_texts():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    texts = ["It's  two  spaces\n\nand 1234 numbers", "ABC déjà-vu", "", "  lead", "日本 mixed 12%", "tail  "]
+    for name, by_word in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        enc, tok = packing.Encoder(name), Tokenizer.from_file(public_tokenizers.path(name))
+        assert enc.words is by_word
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    base = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    assert packing.splits_by_word(base)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"pre_tokenizer": None}, {"model": {"dropout": 0.1}}):
+        assert not packing.splits_by_word({**base, **change})
+
+
 # ------------------------------------------------------------------ 8 line dedup
 
 def lines_by_hand(items, least):

@@ -18,6 +18,7 @@ columns, clashing names included, are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -35,12 +36,20 @@ CACHE_WORDS = 800_000
 
 # Fixed value: the published word pattern of this vocabulary family, with its letter and number classes
 # written out for the characters of PLAIN, whose classes are the same in every Unicode version. Texts of
-# those alone are split here and their words encoded once each; any other text goes to the tokenizer whole.
+# those alone are split here and their words encoded once each; any other text, and every text for a tokenizer of
+# another family, goes to the tokenizer whole.
 PLAIN = re.compile(r"[\t\n\r -~¡-ɏ‐-‧‰-⁞€]*+")
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
 
+def splits_by_word(spec: dict) -> bool:
+    """Whether a ``tokenizers`` file cuts texts by WORD and nothing else, so that words may be encoded on their own."""
+    cut_ = spec.get("pre_tokenizer") or {}
+    return (spec.get("normalizer") is None and cut_.get("type") == "ByteLevel" and cut_.get("use_regex", True)
+            and not cut_.get("add_prefix_space", True) and (spec.get("model") or {}).get("dropout") is None)
+
+
 class Encoder:
     """Token ids (little-endian uint32 bytes) of whole texts by a ``tokenizers`` file."""
 
@@ -51,6 +60,8 @@ class Encoder:
             import public_tokenizers
             path = public_tokenizers.path(path)
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.words = splits_by_word(json.load(f))
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
@@ -59,7 +70,7 @@ class Encoder:
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        plain = [self.words and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         split = [WORD.findall(t) if p else None for t, p in zip(texts, plain)]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
@@ -87,10 +98,11 @@ def _slices(texts: list[str], chars: int = 2_000_000):
         yield start, len(texts)
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: iid (unique number), doc_id, piece, start, length, ids, ids_crc32.
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID,
+           with_ids: bool = True) -> DataFrame:
+    """One row per piece: iid (unique number), doc_id, piece, start, length, ids_crc32 and, if wanted, ids.
     Written once, so that every later reading sees the same iid."""
-    schema = ("iid bigint, doc_id bigint, piece int, start bigint, length bigint, ids array<int>, ids_crc32 bigint")
+    schema = "iid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     sch = arrow_schema(schema)
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -113,15 +125,15 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                         crc.append(zlib.crc32(view[4 * at:4 * (at + n)]))
                         at, p = at + n, p + 1
                     parts.append(raw)
-                ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]).astype(np.int32)
-                ids = np.frombuffer(b"".join(parts), dtype="<u4").view(np.int32)
                 iid = np.arange(next_iid, next_iid + len(doc), dtype=np.int64)
                 next_iid += len(doc)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(iid), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(num, pa.int32()),
-                    pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).cast(sch.field("ids").type),
-                    pa.array(crc, pa.int64())], schema=sch)
+                cols = [pa.array(iid), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(num, pa.int32()),
+                        pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]).astype(np.int32)
+                    ids = np.frombuffer(b"".join(parts), dtype="<u4").view(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).cast(sch.field("ids").type))
+                yield pa.RecordBatch.from_arrays(cols, schema=sch)
 
     return cut(arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema), "pieces")
 
@@ -196,8 +208,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """Places of all pieces with the crc32 of their ids instead of the ids."""
-    parts = pieces(docs).select("iid", "doc_id", "piece", "start", "length", "ids_crc32")
-    return place(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return place(pieces(docs, with_ids=False)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_packing(spark, sf_dir) -> DataFrame:
