@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 DATE = "2024-01-01T00:00:00Z"
 
@@ -39,16 +39,14 @@ TAG = "<[a-zA-Z/!?][^>]*>"
 SPACE = (("[ \\t\\r\\f]{2,}|[\\t\\r\\f]", " "),  # a lone space stays as it is
          (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", ""))
 TITLE = f"(?is)<title{TAG_END}(.*?)</title"
-# A text is character references and what stands between them.
-REFERENCE = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z]{2,8};"
-PARTS = f"{REFERENCE}|&|[^&]+"
+# A text is numeric character references and what stands between them.
+PARTS = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&|[^&]+"
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: one line per block element, character references decoded once, spaces squeezed."""
     t = F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), "[\\n\\r]+", " ")
-    t = F.when(F.instr(t, "<") > 0, F.regexp_replace(F.regexp_replace(t, BREAK, "\n"), TAG, "")).otherwise(t)
-    return _finish(t)
+    return _finish(F.regexp_replace(F.regexp_replace(t, BREAK, "\n"), TAG, ""))
 
 
 def _character(code: Column) -> Column:
@@ -57,20 +55,25 @@ def _character(code: Column) -> Column:
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
-def _decoded(t: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)])
-
+def _numbers(t: Column) -> Column:
+    """Numeric references decoded; an ampersand becomes its named reference, which is decoded after."""
     def one(p: Column) -> Column:
         number = F.regexp_extract(p, "&#[xX]?([0-9a-fA-F]+);", 1)
         code = F.when(F.lower(F.substring(p, 3, 1)) == "x", F.conv(number, 16, 10)).otherwise(number).cast("bigint")
-        return (F.when(F.substring(p, 1, 1) != "&", p).when(F.length(p) < 4, p)
-                .when(F.substring(p, 2, 1) == "#", _character(code)).otherwise(F.coalesce(F.try_element_at(names, p), p)))
+        return F.when(~p.startswith("&#") | (F.length(p) < 4), p).when(code == 38, "&amp;").otherwise(_character(code))
 
     return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(PARTS), 0), one), "")
 
 
+def _names(t: Column) -> Column:
+    for name, char in ENTITIES.items():  # the ampersand last, so nothing is decoded twice
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    return t
+
+
 def _finish(t: Column) -> Column:
-    t = F.when(F.instr(t, "&") > 0, _decoded(t)).otherwise(t)
+    # bound once: a branch would compute the steps before it anew
+    t = _names(let(t, lambda x: F.when(F.instr(x, "&#") > 0, _numbers(x)).otherwise(x)))
     for pattern, to in SPACE:
         t = F.regexp_replace(t, pattern, to)
     return t
@@ -165,11 +168,12 @@ def _sql_replace(t: str, pattern: str, to: str) -> str:
 
 
 def _sql_finish(t: str) -> str:
-    names = "MAP {" + ", ".join(f"{_q(f'&{name};')}: {_q(char)}" for name, char in ENTITIES.items()) + "}"
     code = "(CASE WHEN lower(substr(x, 3, 1)) = 'x' THEN ('0x' || substr(x, 4, length(x) - 4))::BIGINT ELSE substr(x, 3, length(x) - 3)::BIGINT END)"
     char = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}::INTEGER) ELSE chr(65533) END"
-    t = (f"array_to_string(list_transform(regexp_extract_all({t}, {_q(PARTS)}), lambda x: CASE WHEN substr(x, 1, 1) <> '&' OR length(x) < 4 "
-         f"THEN x WHEN substr(x, 2, 1) = '#' THEN {char} ELSE coalesce({names}[x], x) END), '')")
+    t = (f"array_to_string(list_transform(regexp_extract_all({t}, {_q(PARTS)}), lambda x: CASE WHEN NOT starts_with(x, '&#') OR length(x) < 4 "
+         f"THEN x WHEN {code} = 38 THEN '&amp;' ELSE {char} END), '')")
+    for name, char in ENTITIES.items():
+        t = f"replace({t}, {_q(f'&{name};')}, {_q(char)})"
     for pattern, to in SPACE:
         t = _sql_replace(t, pattern, to)
     return t
