@@ -64,11 +64,13 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int =
         key=lambda x: (-x[1], x[0]))
     if not counts:
         return []
-    share = lambda at: F.create_map(*[F.lit(x) for c in counts for x in (c[0], min(1.0, 4.0 * sample_docs / max(c[at], 1)))])[F.col("lang")]
+    share = lambda of: F.create_map(*[F.lit(x) for c in counts for x in (c[0], of(c))])[F.col("lang")]
+    of_fit = share(lambda c: min(1.0, 4.0 * sample_docs / max(c[2], 1)))
+    of_long = share(lambda c: 0.0 if c[2] >= sample_docs else min(1.0, 4.0 * sample_docs / max(c[3], 1)))
     middle = F.substring("text", F.floor((F.length("text") - high) / 2).cast("int") + 1, F.lit(high))
     picked = (rows.withColumn("h", F.xxhash64("text"))
               .withColumn("u", F.col("h") / F.lit(2.0 ** 64) + 0.5)
-              .where((fits & (F.col("u") <= share(2))) | (long & (F.col("u") <= share(3))))
+              .where((fits & (F.col("u") <= of_fit)) | (long & (F.col("u") < of_long)))
               .select("lang", "h", long.cast("int").alias("late"), F.when(long, middle).otherwise(F.col("text")).alias("text"))
               .groupBy("lang", "late", "h").agg(F.min("text").alias("text")))
     by = Window.partitionBy("lang").orderBy("late", "h", "text")
