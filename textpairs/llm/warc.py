@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import table
 
 DATE = "2024-01-01T00:00:00Z"
 
@@ -37,10 +37,9 @@ UNSEEN = "(?is)<!--.*?-->|" + "|".join(f"<{name}{TAG_END}.*?</{name}[ \\t\\n\\r\
 BREAK = f"(?i)</?(?:{BREAKING}){TAG_END}"
 TAG = "<[a-zA-Z/!?][^>]*>"
 SPACE = (("[ \\t\\r\\f]{2,}|[\\t\\r\\f]", " "),  # a lone space stays as it is
-         (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", ""))
+         (" ?\\n[ \\n]*", "\n"))
 TITLE = f"(?is)<title{TAG_END}(.*?)</title"
-# A text is numeric character references and what stands between them.
-PARTS = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&|[^&]+"
+NUMBER, HEX = "^#[0-9]{1,7}$", "^#[xX][0-9a-fA-F]{1,6}$"
 
 
 def plain_text(html: Column) -> Column:
@@ -55,28 +54,27 @@ def _character(code: Column) -> Column:
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
-def _numbers(t: Column) -> Column:
-    """Numeric references decoded; an ampersand becomes its named reference, which is decoded after."""
-    def one(p: Column) -> Column:
-        number = F.regexp_extract(p, "&#[xX]?([0-9a-fA-F]+);", 1)
-        code = F.when(F.lower(F.substring(p, 3, 1)) == "x", F.conv(number, 16, 10)).otherwise(number).cast("bigint")
-        return F.when(~p.startswith("&#") | (F.length(p) < 4), p).when(code == 38, "&amp;").otherwise(_character(code))
+def _decoded(t: Column) -> Column:
+    """Character references decoded, each once: what follows an ampersand up to a semicolon is looked up."""
+    names = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (name, char)])
 
-    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(PARTS), 0), one), "")
+    def one(x: Column, i: Column) -> Column:
+        name = F.substring_index(x, ";", 1)
+        known = (F.when(name.rlike(NUMBER), _character(F.substring(name, 2, 7).cast("bigint")))
+                 .when(name.rlike(HEX), _character(F.conv(F.substring(name, 3, 6), 16, 10).cast("bigint")))
+                 .otherwise(F.try_element_at(names, name)))
+        ended = (F.length(name) < F.length(x)) & (F.length(name) <= 9)
+        char = F.concat(F.when(ended, known), F.substring(x, F.length(name) + 2, F.length(x)))
+        return F.when(i == 0, x).otherwise(F.coalesce(char, F.concat(F.lit("&"), x)))
 
-
-def _names(t: Column) -> Column:
-    for name, char in ENTITIES.items():  # the ampersand last, so nothing is decoded twice
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    return t
+    return F.array_join(F.transform(F.split(t, "&"), one), "")
 
 
 def _finish(t: Column) -> Column:
-    # bound once: a branch would compute the steps before it anew
-    t = _names(let(t, lambda x: F.when(F.instr(x, "&#") > 0, _numbers(x)).otherwise(x)))
+    t = _decoded(t)
     for pattern, to in SPACE:
         t = F.regexp_replace(t, pattern, to)
-    return t
+    return F.btrim(t, F.lit(" \n"))
 
 
 def _urn(seed: Column) -> Column:
@@ -168,15 +166,18 @@ def _sql_replace(t: str, pattern: str, to: str) -> str:
 
 
 def _sql_finish(t: str) -> str:
-    code = "(CASE WHEN lower(substr(x, 3, 1)) = 'x' THEN ('0x' || substr(x, 4, length(x) - 4))::BIGINT ELSE substr(x, 3, length(x) - 3)::BIGINT END)"
-    char = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}::INTEGER) ELSE chr(65533) END"
-    t = (f"array_to_string(list_transform(regexp_extract_all({t}, {_q(PARTS)}), lambda x: CASE WHEN NOT starts_with(x, '&#') OR length(x) < 4 "
-         f"THEN x WHEN {code} = 38 THEN '&amp;' ELSE {char} END), '')")
-    for name, char in ENTITIES.items():
-        t = f"replace({t}, {_q(f'&{name};')}, {_q(char)})"
+    names = "MAP {" + ", ".join(f"{_q(name)}: {_q(char)}" for name, char in ENTITIES.items()) + "}"
+    name = "split_part(x, ';', 1)"
+    code = (f"(CASE WHEN regexp_matches({name}, '{NUMBER}') THEN substr({name}, 2)::BIGINT "
+            f"WHEN regexp_matches({name}, '{HEX}') THEN ('0x' || substr({name}, 3))::BIGINT END)")
+    known = (f"CASE WHEN {code} IS NULL THEN {names}[{name}] WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 "
+             f"THEN chr({code}::INTEGER) ELSE chr(65533) END")
+    ended = f"length({name}) < length(x) AND length({name}) <= 9"
+    t = (f"array_to_string(list_transform(string_split({t}, '&'), lambda x, i: CASE WHEN i = 1 THEN x ELSE coalesce("
+         f"CASE WHEN {ended} THEN {known} || substr(x, length({name}) + 2) END, '&' || x) END), '')")
     for pattern, to in SPACE:
         t = _sql_replace(t, pattern, to)
-    return t
+    return f"trim({t}, ' ' || chr(10))"
 
 
 def _sql_text(t: str) -> str:
