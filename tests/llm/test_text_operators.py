@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
@@ -310,6 +311,37 @@ def test_importance_resampling(spark, sf, docs, labels, nothing):
     assert resample.resample(docs, labels, 0.0).where("kept").count() == 0
 
 
+def test_importance_weights_and_draws_by_hand(spark, docs, labels):
+    """Weight and Gumbel key of every document, from the models' ratios, the id and the seed alone."""
+    some = docs.where("doc_id < 60 or doc_id between 119 and 123")
+    clash = some.select("*", F.lit(1).alias("buckets"), F.lit("x").alias("trusted_id"), F.lit(2).alias("_b"), F.lit(3).alias("gumbel_key"))
+    model = rules.fit(some, labels, resample.BUCKETS)
+    word = lambda v, form, seed: xxhash.xxh64_intdigest(struct.pack(form, v), seed & (1 << 64) - 1)
+    expected = {}
+    for r in some.collect():
+        b = gram_buckets(r["text"], resample.BUCKETS)
+        u = ((word(resample.SEED, "<i", word(r["doc_id"], "<q", 42)) >> 11) + 0.5) / 2.0 ** 53
+        expected[r["doc_id"], r["text"]] = (len(b), sum(model[x] for x in b), -math.log(-math.log(u)))
+    assert len({round(x[2], 9) for x in expected.values()}) == len({i for i, _ in expected})
+    by_id = collections.defaultdict(list)
+    for (i, _), x in expected.items():
+        by_id[i].append(x)
+    for rows_ in (some, clash):
+        for r in resample.weigh(rows_, labels).collect():
+            assert any(r["n_grams"] == n and abs(r["log_weight"] - w) < 1e-6 and abs(r["gumbel_key"] - w - g) < 1e-6
+                       for n, w, g in by_id[r["doc_id"]])
+
+
+def test_helper_columns_of_the_rules_do_not_clash(spark, docs):
+    names = ["_w", "_lines", "_b", "words", "lines", "buckets", "WORDS_"]
+    rows_ = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names if n != "words"],
+                        F.col("doc_id").alias("_words"))
+    for out in (rules.base_rules(rows_), rules.score(rows_, [0.0] * 8)):
+        for r in out.collect():
+            assert all(r[n] == (None if r["doc_id"] is None else f"{n}:{r['doc_id']}") for n in names if n != "words")
+            assert r["_words"] == r["doc_id"]
+
+
 def test_kth_largest_narrows_to_the_exact_value(spark, monkeypatch):
     monkeypatch.setattr(resample, "FEW", 5)
     monkeypatch.setattr(resample, "BINS", 4)
