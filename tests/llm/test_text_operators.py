@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -69,6 +70,22 @@ def test_any_text_comes_back(texts):
     assert [s.decode(ids[e - c:e].tolist()) for e, c in zip(ends, count)] == texts
 
 
+def test_long_texts_are_sampled_the_same_in_parts_and_alone():
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcdefghij") for _ in range(4_000)), "a" * 2_500, " " * 1_800, "\n \n" * 700,
+             "\u6c49\u5b57\U0001f389" * 900, " a  b\n\n  c " * 300, "word " * 2_000, ""]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    whole = pieces.Sampler(slice_=10 ** 9, long_=10 ** 9).encode(texts, keys)
+    for how in ({}, {"long_": 0}, {"slice_": 1_000}, {"slice_": 50, "long_": 20}):
+        for got, want in zip(pieces.Sampler(**how).encode(texts, keys), whole):
+            assert np.array_equal(got, want), how
+    s, text = pieces.Sampler(), "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.process_time()
+    ids, _ = s.encode([text], keys[:1])
+    assert s.decode(ids) == text
+    assert time.process_time() - began < 30  # a step of the batch for every character took minutes
+
+
 # ------------------------------------------------------------------ 2 language ID
 
 def test_language_query_marks_held_out_rows(spark, sf, docs):

@@ -10,17 +10,21 @@ walks from the end, taking an arc with its share of that sum. No piece holds a w
 character or a line end, so the lattice falls apart there and each different chunk of a batch
 is filtered once, while every occurrence is sampled with its own draws. A draw depends on the seed, the
 row's key and the place in the text only: the same row gives the same pieces in any batch,
-partition or rerun.
+partition or rerun. Chunks of up to ``LONG`` characters are filtered and walked together, a character
+level at a time; a longer one, say a text without spaces, on its own from border to border.
 
 Edge cases: null text gives null ids; empty text gives no ids; a null key draws as key 0 with its own
 salt; rows with equal key and text are sampled alike; whole texts are read, in slices of about
-``SLICE`` characters of several rows; an empty table gives no rows; other columns are ignored.
+``SLICE`` characters that hold several rows or a part of one, cut between chunks, so memory follows the
+slice, the longest chunk and the row's ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -31,9 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, arrow_schema, table
 
-MODEL, SEED, THETA, SLICE = "piece_bpe_32k.model", 1, 1.0, 6_000_000
+MODEL, SEED, THETA, SLICE, LONG = "piece_bpe_32k.model", 1, 1.0, 6_000_000, 1_000
 MARK = "▁"
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
+BORDER = re.compile(r"\n|(?<=[^ \n]) ")  # a chunk starts here, whatever stands before
+BLOCK = 1 << 16  # arcs or ids turned into Python objects at once
 DENSE = 256  # codes with a row in the dense transition table
 
 
@@ -123,9 +129,9 @@ class Vocabulary:
 
 
 class Sampler:
-    def __init__(self, path: str = MODEL, seed: int = SEED, theta: float = THETA):
+    def __init__(self, path: str = MODEL, seed: int = SEED, theta: float = THETA, slice_: int = SLICE, long_: int = LONG):
         self.vocab = Vocabulary(path)
-        self.seed, self.theta = seed, theta
+        self.seed, self.theta, self.slice, self.long = seed, theta, slice_, long_
 
     def _lattice(self, chunks: list[str]):
         """Filtered lattice of different chunks: first place and length of each; of the arcs, sorted
@@ -169,11 +175,17 @@ class Sampler:
         weight *= self.theta
         # level of a border: characters between the chunk's first place and it
         level = end - np.repeat(first, size + 1)[np.minimum(end, n) - 1]
-        by = np.argsort(level.astype(np.uint16) if size.max() < 65_536 else level, kind="stable")
-        cuts = np.flatnonzero(np.diff(level[by])) + 1
         total = np.zeros(n + 2)
         share = np.empty(len(end))
-        for lo, hi in zip([0, *cuts], [*cuts, len(by)]):
+        lengthy = np.flatnonzero(size > self.long)
+        edges = np.searchsorted(end, np.stack([first[lengthy] + 1, first[lengthy] + size[lengthy] + 1]).astype(end.dtype))
+        for c, lo, hi in zip(lengthy, *edges):
+            self._filter(int(first[c]), int(size[c]), start[lo:hi], end[lo:hi], weight[lo:hi], share[lo:hi])
+            level[lo:hi] = 0
+        by = np.argsort(level.astype(np.uint16) if level.max() < 65_536 else level, kind="stable")
+        by = by[np.count_nonzero(level == 0):]  # no arc of a short chunk has level 0
+        cuts = np.flatnonzero(np.diff(level[by])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(by)]) if len(by) else ():
             arc = by[lo:hi]
             e = end[arc]
             new = np.empty(len(arc), bool)
@@ -194,6 +206,47 @@ class Sampler:
         door = np.searchsorted(end, np.arange(n + 1)).astype(np.int32)  # first arc into each border
         return first, size, start, pid, share, door
 
+    @staticmethod
+    def _filter(first: int, size: int, start, end, weight, share) -> None:
+        """Fills in ``share`` of one chunk's arcs, in the order of their ends."""
+        total = array("d", bytes(8 * (size + 1)))
+        at, group = first + 1, []
+
+        def close() -> list[float]:
+            if len(group) == 1:
+                total[at - first] = group[0]
+                return [1.0]
+            top, mass, run = max(group), 0.0, []
+            for w in group:
+                mass += exp(w - top)
+                run.append(mass)
+            total[at - first] = top + log(mass)
+            return [x / mass for x in run]
+
+        done = 0
+        for lo in range(0, len(end), BLOCK):
+            part, out = slice(lo, lo + BLOCK), []
+            for s, e, w in zip(start[part].tolist(), end[part].tolist(), weight[part].tolist()):
+                if e != at:
+                    out += close()
+                    at, group = e, []
+                group.append(total[s - first] + w)
+            if lo + BLOCK >= len(end):
+                out += close()
+            share[done:done + len(out)] = out
+            done += len(out)
+
+    @staticmethod
+    def _walk(left: int, size: int, draw, door, share, pid, start, out) -> None:
+        """Samples one chunk from its end: ``draw`` and ``out`` by border, the arcs as views."""
+        node = left + size
+        while node > left:
+            arc, u = door[node], draw[node - left - 1]
+            while share[arc] <= u:
+                arc += 1
+            out[node - left - 1] = pid[arc]
+            node = start[arc]
+
     def _bytes_of(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids with byte arcs written out, and how many ids each arc became."""
         wide = np.flatnonzero(out >= self.vocab.size)
@@ -213,27 +266,66 @@ class Sampler:
             ids[place[wide[has]] + b] = table_[offset[inv[has]] + b]
         return ids, count
 
+    def _parts(self, text: str):
+        """(place, characters, chunks) of the text's parts of about a slice each, cut between chunks."""
+        text, pos = " " + text, 0
+        while pos < len(text):
+            cut = BORDER.search(text, pos + self.slice) if len(text) - pos > self.slice else None
+            end = cut.start() if cut else len(text)
+            yield pos, end - pos, CHUNK.findall(text, pos, end)
+            pos = end
+
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        split = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        found, number = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        rows, places, split, chars = [], [], [], 0
+
+        def close():
+            if rows:
+                ids, count = self._sample(split, np.array(places), keys[rows])
+                found.append(ids)
+                np.add.at(number, rows, count)
+
+        for i, t in enumerate(texts):
+            for place, n, chunks in self._parts(t) if t else ():
+                rows.append(i)
+                places.append(place)
+                split.append(chunks)
+                chars += n
+                if chars > self.slice:
+                    close()
+                    rows, places, split, chars = [], [], [], 0
+        close()
+        return np.concatenate(found), number
+
+    def _draw(self, seed, place) -> np.ndarray:
+        """Uniform draw for a border's place in its text."""
+        x = _mix(seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return (x >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+
+    def _sample(self, split: list[list[str]], places: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of texts, given as chunks and the place they start at, and the ids of each."""
         per = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [c for row in split for c in row]
-        if not flat:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        kind, chunks = pd.factorize(np.array(flat, dtype=object))
+        kind, chunks = pd.factorize(np.array([c for part in split for c in part], dtype=object))
         first, size, start, pid, share, door = self._lattice(list(chunks))
         length = size[kind]
         stop = np.cumsum(length)  # behind each occurrence, in characters of the slice
-        row = np.repeat(np.arange(len(texts)), per)
+        row = np.repeat(np.arange(len(split)), per)
         base = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(per)[:-1]])]
         seed = _mix(keys.astype(np.uint64) + np.uint64(self.seed) * np.uint64(0x9E3779B97F4A7C15))[row]
         out = np.full(int(stop[-1]), -1, np.int32)
         left = first[kind]
         node, shift = left + length, stop - left - length  # node + shift: place in the slice
-        within = shift - base[row]
+        within = shift - base[row] + places[row]
+        views = [memoryview(x) for x in (door, share, pid, start)]
+        for o in np.flatnonzero(length > self.long).tolist():
+            lo, n = int(left[o]), int(length[o])
+            draw = self._draw(seed[o], np.arange(lo + 1, lo + n + 1) + within[o])
+            self._walk(lo, n, memoryview(draw), *views, memoryview(out[int(stop[o]) - n:int(stop[o])]))
+        on = length <= self.long
+        node, left, shift, within, seed = node[on], left[on], shift[on], within[on], seed[on]
         while len(node):
-            draw = _mix(seed + (node + within).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            u = (draw >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+            u = self._draw(seed, node + within)
             arc = door[node]
             on = np.flatnonzero(share[arc] <= u)
             while len(on):
@@ -252,8 +344,9 @@ class Sampler:
         return ids, tokens[ends] - tokens[base]
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.vocab.bytes.__getitem__, ids)).decode()
-        return text[1:]
+        ids = np.asarray(ids, dtype=np.int32)
+        piece = self.vocab.bytes.__getitem__
+        return b"".join(b"".join(map(piece, ids[lo:lo + BLOCK].tolist())) for lo in range(0, len(ids), BLOCK)).decode()[1:]
 
 
 def _key(keys: pa.Array) -> np.ndarray:
@@ -283,8 +376,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 part = texts[lo:i + 1]
                 ids, count = sampler.encode([t or "" for t in part], keys[lo:i + 1])
                 at = np.concatenate([[0], np.cumsum(count)])
-                listed = ids.tolist()
-                same = [None if t is None else sampler.decode(listed[at[k]:at[k + 1]]) == t for k, t in enumerate(part)]
+                same = [None if t is None else sampler.decode(ids[at[k]:at[k + 1]]) == t for k, t in enumerate(part)]
                 null = np.array([t is None for t in part])
                 offsets = pa.array(at.astype(np.int32), mask=np.append(null, False))
                 arrays = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())).cast(sch.field(1).type)
