@@ -16,6 +16,8 @@ HAN_CLASS = "[\\x{4e00}-\\x{9fff}]"
 
 # Python's str.split()/strip() whitespace: Unicode White_Space plus U+001C..U+001F.
 _PY_WS = "(?U)[\\s\\x{1c}-\\x{1f}]+"
+PY_SPACES = "".join(map(chr, [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                              0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
 
 def empty_str_array() -> Column:
     return F.array().cast("array<string>")
@@ -37,10 +39,14 @@ def py_strip(s: str | Column) -> Column:
     return F.regexp_replace(_c(s), "^" + _PY_WS + "|" + _PY_WS + "$", "")
 
 
+def py_trim(s: str | Column) -> Column:
+    """``py_strip`` without a regex: only the ends of the text are looked at."""
+    return F.trim(_c(s), F.lit(PY_SPACES))
+
+
 def ws_tokens(s: str | Column) -> Column:
     """Python ``str.split()`` (no empties, Unicode whitespace)."""
-    collapsed = F.trim(F.regexp_replace(_c(s), _PY_WS, " "))
-    return F.when(collapsed == "", empty_str_array()).otherwise(F.split(collapsed, " "))
+    return F.array_remove(F.split(_c(s), _PY_WS), "")
 
 
 def spaced_or_chars(s: str | Column) -> Column:

@@ -50,7 +50,7 @@ def b01_tsv_file_guid(spark, sf):
 SELECT lang, count(*) AS n_kept FROM lp WHERE valid AND len(st) = len(tt) GROUP BY lang""", LENIENT_CTE))
 def b02_equal_length(spark, sf):
     """Lenient pairs whose token lists have equal length (the silent filter)."""
-    p = D.tsv_lines(spark, sf).select("lang", RD.parse_tsv_lenient("line").alias("p")).select("lang", "p.*")
+    p = RD.with_tsv_lenient(D.tsv_lines(spark, sf), "line", ["lang"])
     kept = C.filter_equal_length(p.where("valid"), "src_tokens", "tgt_tokens")
     return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_kept"))
 

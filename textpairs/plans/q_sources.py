@@ -156,9 +156,9 @@ SELECT guid, len(parts) = 2 AS valid,
 FROM (SELECT guid, string_split(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), chr(9)) AS parts FROM tl) t""", TSV_CTE))
 def a01_tsv_strict(spark, sf):
     """Strip, split on tab (exactly two fields), whitespace tokens (PERMISSIVE flags)."""
-    p = D.tsv_lines(spark, sf).select("guid", RD.parse_tsv_strict("line", "PERMISSIVE").alias("p"))
-    return p.select("guid", "p.valid", F.size("p.src_tokens").alias("n_src"), F.size("p.trg_tokens").alias("n_trg"),
-                    F.array_join("p.src_tokens", " ").alias("src_text"), F.array_join("p.trg_tokens", " ").alias("trg_text"))
+    p = RD.with_tsv_strict(D.tsv_lines(spark, sf), "line", ["guid"], "PERMISSIVE")
+    return p.select("guid", "valid", F.size("src_tokens").alias("n_src"), F.size("trg_tokens").alias("n_trg"),
+                    F.array_join("src_tokens", " ").alias("src_text"), F.array_join("trg_tokens", " ").alias("trg_text"))
 
 
 def _side_tokens_sql(x: str) -> str:
@@ -180,14 +180,13 @@ SELECT guid, valid, len(st) AS n_src, len(tt) AS n_tgt, array_to_string(st, ' ')
        array_to_string(tt, ' ') AS tgt_text FROM lp""", LENIENT_CTE))
 def a02_tsv_lenient(spark, sf):
     """Lenient spaced-pair parse (bad lines flagged, sides split by the space rule)."""
-    p = D.tsv_lines(spark, sf).select("guid", RD.parse_tsv_lenient("line").alias("p"))
-    return p.select("guid", "p.valid", F.size("p.src_tokens").alias("n_src"), F.size("p.tgt_tokens").alias("n_tgt"),
-                    F.array_join("p.src_tokens", " ").alias("src_text"), F.array_join("p.tgt_tokens", " ").alias("tgt_text"))
+    p = RD.with_tsv_lenient(D.tsv_lines(spark, sf), "line", ["guid"])
+    return p.select("guid", "valid", F.size("src_tokens").alias("n_src"), F.size("tgt_tokens").alias("n_tgt"),
+                    F.array_join("src_tokens", " ").alias("src_text"), F.array_join("tgt_tokens", " ").alias("tgt_text"))
 
 
 def _eval_classified(spark, sf):
-    p = D.tsv_lines(spark, sf).select("guid", "lang", "source", RD.parse_tsv_lenient("line").alias("p"))
-    p = p.select("guid", "lang", "source", "p.valid", "p.src_tokens", "p.tgt_tokens")
+    p = RD.with_tsv_lenient(D.tsv_lines(spark, sf), "line", ["guid", "lang", "source"])
     return C.classify_eval_pairs(p, D.vocab(spark), D.MAX_SEQ)
 
 

@@ -154,8 +154,8 @@ def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lenient reader: no tab, an extra tab, a trailing tab (empty target), char-only sides."""
     p = pairs(spark, sf_dir).withColumn("_f", F.pmod(rng.hash32(F.col("k"), rng.purpose("tsv", SEED)), F.lit(11)))
     f = F.col("_f")
-    ss = F.array_join(F.split("src", ""), " ")
-    ts = F.array_join(F.split("tgt", ""), " ")
+    p = p.withColumns({"_ss": F.array_join(F.split("src", ""), " "), "_ts": F.array_join(F.split("tgt", ""), " ")})
+    ss, ts = F.col("_ss"), F.col("_ts")
     line = (F.when(f == 0, ss)
             .when(f == 1, F.concat(ss, F.lit("\t"), ts, F.lit("\t"), ts))
             .when(f == 2, F.concat(ss, F.lit("\t")))

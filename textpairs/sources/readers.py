@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import chars, py_strip, spaced_or_chars, ws_tokens
+from ..functions.text import chars, py_strip, py_trim, spaced_or_chars, ws_tokens
 from ..plans.indexing import line_index
 from ..session import DUPLICATE_KEYS
 
@@ -49,29 +49,57 @@ def parse_tsv_lenient(line: str | Column) -> Column:
                     F.when(ok, spaced_or_chars(F.get(parts, 1))).alias("tgt_tokens"))
 
 
+def with_tsv_strict(df: DataFrame, line: str, keep: Sequence[str], mode: str = "FAILFAST") -> DataFrame:
+    """A01 as columns: ``keep`` with valid, src_tokens and trg_tokens of ``parse_tsv_strict``; each step is
+    computed once per line."""
+    parts = F.split(py_trim(line), "\t")
+    if mode == "FAILFAST":
+        bad = F.raise_error(F.concat(F.lit("expected src<TAB>trg, got: "), F.substring(line, 1, 80)))
+        sides = once(df, [*keep, line], parts.alias("_parts"))
+        parts = F.when(F.size("_parts") == 2, F.col("_parts")).otherwise(bad.cast("array<string>"))
+        sides = once(sides, keep, parts.alias("_parts"))
+    else:
+        sides = once(df, keep, parts.alias("_parts"))
+    return _with_sides(sides, keep, ws_tokens, "trg_tokens")
+
+
+def with_tsv_lenient(df: DataFrame, line: str, keep: Sequence[str]) -> DataFrame:
+    """A02 as columns: ``keep`` with valid, src_tokens and tgt_tokens of ``parse_tsv_lenient``; each step is
+    computed once per line."""
+    sides = once(df, keep, F.split(line, "\t").alias("_parts"))
+    return _with_sides(sides, keep, spaced_or_chars, "tgt_tokens")
+
+
+def _with_sides(parts: DataFrame, keep: Sequence[str], tokens, second: str) -> DataFrame:
+    ok = F.size("_parts") == 2
+    d = once(parts, keep, ok.alias("valid"), F.when(ok, F.get("_parts", F.lit(0))).alias("_a"),
+             F.when(ok, F.get("_parts", F.lit(1))).alias("_b"))
+    return once(d, [*keep, "valid"], tokens("_a").alias("src_tokens"), tokens("_b").alias(second))
+
+
 def read_pairs_tsv(spark: SparkSession, path: str | Sequence[str], split: str = "train",
                    mode: str = "FAILFAST") -> DataFrame:
     """A01 + E05 + B01: strict spaced-pair files with line index and guid."""
     lines = line_index(spark.read.text(path))
-    p = lines.withColumn("_p", parse_tsv_strict("value", mode))
+    p = with_tsv_strict(lines, "value", ["line_idx", "file_path"], mode)
     return p.select(F.concat(F.lit(split + "-"), F.col("line_idx").cast("string")).alias("guid"),
-                    "line_idx", "file_path", "_p.valid", "_p.src_tokens", "_p.trg_tokens")
+                    "line_idx", "file_path", "valid", "src_tokens", "trg_tokens")
 
 
 def read_pairs_lenient(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Lenient scan, bad lines kept with ``valid`` false (counted as ``format``)."""
     lines = line_index(spark.read.text(path))
-    return lines.withColumn("_p", parse_tsv_lenient("value")).select(
-        "line_idx", "file_path", "_p.valid", "_p.src_tokens", "_p.tgt_tokens")
+    return with_tsv_lenient(lines, "value", ["line_idx", "file_path"])
 
 
 # ---------------------------------------------------------------- A03 (JSONL pairs)
 
 def once(df: DataFrame, keep: Sequence[str], *cols: Column) -> DataFrame:
     """``keep`` and ``cols``, computed once: a generator of one row, through which Catalyst pushes no
-    filter that would repeat their expressions."""
-    made = df.select(*keep, F.explode(F.array(F.struct(*cols))).alias("_once"))
-    return made.select(*keep, "_once.*")
+    filter that would repeat their expressions. They are made in a projection below it, which is compiled
+    where a generator's own expressions may be interpreted."""
+    made = df.select(*keep, F.struct(*cols).alias("_made"))
+    return made.select(*keep, F.explode(F.array("_made")).alias("_once")).select(*keep, "_once.*")
 
 
 def with_json_pair(df: DataFrame, line: str, a: str = "src", b: str = "tgt", blank_as: str = "empty") -> DataFrame:
