@@ -52,3 +52,13 @@ def test_lines_are_split_once_each(spark, tmp_path):
     sf = docs(spark, tmp_path)
     for query in (q_rest.b02_equal_length, q_sources.a01_tsv_strict, q_sources.a02_tsv_lenient, q_sources.b04_eval_waterfall):
         assert plan(query(spark, sf)).count(", \t, -1)") == 1
+
+
+def test_first_error_is_found_once(spark):
+    rows = [(str(i), a, b) for i, (a, b) in enumerate([("abcd", "abxd"), ("ab", "ab"), ("", ""), ("abc", "abcde"), ("xbc", "abc"), (None, "a")])]
+    df = spark.createDataFrame(rows, "k string, src string, tgt string")
+    near = N.inject_near_error(df, "src", "tgt", "k", D.confusion_df(spark), D.words_df(spark), len(D.ALPHABET))
+    assert plan(near).count("zip_with(") == 1
+    assert near.columns[:3] == ["k", "src", "tgt"] and near.count() == len(rows)
+    first = df.select("k", T.first_diff(F.split("src", ""), F.split("tgt", "")).alias("d")).collect()
+    assert [r["d"] for r in sorted(first)] == [2, -1, -1, -1, 0, None]

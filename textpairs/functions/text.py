@@ -170,6 +170,5 @@ def strip_specials(tokens: str | Column, specials: list[str]) -> Column:
 
 def first_diff(a: str | Column, b: str | Column) -> Column:
     """0-based first differing position of two token arrays; -1 when none."""
-    z = F.filter(F.arrays_zip(_c(a).alias("x"), _c(b).alias("y")), lambda e: e["x"].isNotNull())
-    flags = F.transform(z, lambda e: e["y"].isNotNull() & (e["x"] != e["y"]))
-    return F.array_position(flags, True) - 1
+    # past the end of either array the comparison is null and so never found
+    return F.array_position(F.zip_with(_c(a), _c(b), lambda x, y: x != y), True) - 1

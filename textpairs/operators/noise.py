@@ -177,15 +177,16 @@ def inject_noise(df: DataFrame, text_col: str, key_col: str, conf: DataFrame, wo
     return d.drop("_elig", "_n", "_k", "_c", "_cands", "_widx", "_wch", "_roll", "_hc")
 
 
-def near_positions(src: Column, trg: Column, window: int = 5) -> Column:
+def near_positions(src: Column, trg: Column, window: int = 5, first: Column | None = None) -> Column:
     """0-based positions in ``[max(0,i-w), min(n,i+w+1))`` around the first error ``i``.
 
     With no difference the reference's loop variable stays at the last index, so ``i = n-1``.
-    Empty text gives ``[]`` (the reference fails there).
+    Empty text gives ``[]`` (the reference fails there). ``first`` is E10's position where a column has it.
     """
     from ..functions.text import first_diff
     n = F.length(src)
-    first = first_diff(F.split(src, ""), F.split(trg, ""))
+    if first is None:
+        first = first_diff(F.split(src, ""), F.split(trg, ""))
     i = F.when(first >= 0, first).otherwise(n - 1)
     lo = F.greatest(F.lit(0), i - window)
     hi = F.least(n, i + window + 1) - 1
@@ -202,11 +203,12 @@ def inject_near_error(df: DataFrame, src_col: str, trg_col: str, key_col: str, c
     candidate choice apply at that position.
     """
     src, trg, key = F.col(src_col), F.col(trg_col), F.col(key_col)
-    cand_pos = near_positions(src, trg, window)
     from ..functions.text import first_diff
     n = F.length(src)
     first = first_diff(F.split(src, ""), F.split(trg, ""))
-    d = df.withColumn("_near", cand_pos).withColumn("_first", F.when(n > 0, first))
+    d = once(df, df.columns, first.alias("_diff"), F.length(src).alias("_len"))
+    d = d.withColumn("_near", near_positions(src, trg, window, F.col("_diff")))
+    d = d.withColumn("_first", F.when(F.col("_len") > 0, F.col("_diff"))).drop("_diff", "_len")
     d = d.withColumn("_choice", F.element_at("_near", (rng.pick(
         key, rng.purpose("near", seed, cycle), F.size("_near")) + 1).cast("int")))
     ok = (F.col("_choice").isNotNull() & (F.col("_choice") != F.col("_first"))
