@@ -54,6 +54,17 @@ def test_lines_are_split_once_each(spark, tmp_path):
         assert plan(query(spark, sf)).count(", \t, -1)") == 1
 
 
+def test_batches_encode_what_they_keep(spark, tmp_path):
+    sf = docs(spark, tmp_path)
+    made = q_features._batch(spark, sf, 5)
+    whole = q_features._whole(spark, sf)
+    for c in ("s_ids", "t_ids"):
+        whole = whole.withColumn(c, q_features.C.drop_ids(F.slice(c, 1, 5), q_features.DROPPED))
+    want = whole.where(F.size("s_ids") == F.size("t_ids"))
+    assert sorted(made.collect(), key=str) == sorted(want.collect(), key=str) and made.count() > 3
+    assert plan(made).count("filter(") == 2
+
+
 def test_first_error_is_found_once(spark):
     rows = [(str(i), a, b) for i, (a, b) in enumerate([("abcd", "abxd"), ("ab", "ab"), ("", ""), ("abc", "abcde"), ("xbc", "abc"), (None, "a")])]
     df = spark.createDataFrame(rows, "k string, src string, tgt string")

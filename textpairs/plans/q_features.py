@@ -56,19 +56,19 @@ def _features(spark, sf):
 DROPPED = [6]  # ids removed before a batch layout is built
 
 
-def _whole(spark, sf):
-    """Ids of both sides of every well-formed pair, whole: the batch layouts cut for themselves."""
+def _whole(spark, sf, limit=None):
+    """Ids of both sides of every well-formed pair, whole: the batch layouts cut for themselves. With
+    ``limit`` only the first ids, for a layout that begins with that cut."""
     cv = V.CharVocab(D.vocab(spark))
     lines = D.jsonl_lines(spark, sf).select("guid", "lang", "line")
     return (RD.with_json_pair(lines, "line").where("valid")
-            .select("guid", "lang", cv.encode("src").alias("s_ids"), cv.encode("tgt").alias("t_ids")))
+            .select("guid", "lang", cv.encode("src", limit).alias("s_ids"), cv.encode("tgt", limit).alias("t_ids")))
 
 
 def _batch(spark, sf, cap: int):
     """Pairs as the batch layouts take them: both sides cut, listed ids dropped, unequal ones skipped."""
-    w = _whole(spark, sf)
-    for c in ("s_ids", "t_ids"):
-        w = w.withColumn(c, C.drop_ids(F.slice(c, 1, cap), DROPPED))
+    cut = [C.drop_ids(F.slice(c, 1, cap), DROPPED).alias(c) for c in ("s_ids", "t_ids")]
+    w = RD.once(_whole(spark, sf, cap), ["guid", "lang"], *cut)
     return w.where(F.size("s_ids") == F.size("t_ids"))
 
 
