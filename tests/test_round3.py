@@ -73,3 +73,10 @@ def test_first_error_is_found_once(spark):
     assert near.columns[:3] == ["k", "src", "tgt"] and near.count() == len(rows)
     first = df.select("k", T.first_diff(F.split("src", ""), F.split("tgt", "")).alias("d")).collect()
     assert [r["d"] for r in sorted(first)] == [2, -1, -1, -1, 0, None]
+
+
+def test_triples_from_their_parts(spark, tmp_path):
+    sf = docs(spark, tmp_path)
+    cols = ["guid", "src", "tgt", "pred"]
+    made = D.from_parts(D.triple_parts(spark, sf, "guid")).select(*cols)
+    assert sorted(made.collect()) == sorted(D.triples(spark, sf).select(*cols).collect()) != []

@@ -129,6 +129,11 @@ def _replace_at(text: Column, pos: Column, repl: Column) -> Column:
                     F.when(pos + 1 > F.length(text), F.lit("")).otherwise(text.substr(pos + 1, F.length(text))))
 
 
+def replaced(text: Column, pos: Column, repl: Column) -> Column:
+    """The text with ``repl`` at the 1-based ``pos``; unchanged where ``pos`` is null."""
+    return F.when(pos.isNull(), text).otherwise(_replace_at(text, pos, repl))
+
+
 def inject_noise(df: DataFrame, text_col: str, key_col: str, conf: DataFrame, words: DataFrame,
                  n_words: int, seed: int = 42, cycle: int = 0, char_class: str = "[a-z]",
                  out_col: str = "noisy", apply: Column | None = None,
@@ -172,8 +177,7 @@ def inject_noise(df: DataFrame, text_col: str, key_col: str, conf: DataFrame, wo
     cand = F.when(nc > 0, F.element_at("_cands", (F.pmod(F.col("_hc"), nc.cast("bigint"))
                                                   + 1).cast("int"))).otherwise(F.col("_wch"))
     d = d.withColumn("noise_to", F.when(F.col("noise_pos").isNotNull(), cand))
-    d = d.withColumn(out_col, F.when(F.col("noise_pos").isNull(), text)
-                     .otherwise(_replace_at(text, F.col("noise_pos"), F.col("noise_to"))))
+    d = d.withColumn(out_col, replaced(text, F.col("noise_pos"), F.col("noise_to")))
     return d.drop("_elig", "_n", "_k", "_c", "_cands", "_widx", "_wch", "_roll", "_hc")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators.noise import inject_noise
+from ..operators.noise import inject_noise, replaced
 from ..session import constant_table
 
 # ---------------------------------------------------------------------------
@@ -112,6 +112,19 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("pred", stand_in_prediction(roll=F.col("_r"))).drop("_r")
 
 
+def triple_parts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """``keep`` and what a triple is made of: ``tgt``, the replaced place and character, the corrector's roll.
+    A third of a triple's bytes, for plans that shuffle or sort whole rows; ``from_parts`` makes the rest."""
+    p = pairs(spark, sf_dir).withColumn("_r", F.pmod(rng.hash32(F.col("k"), rng.purpose("pred", SEED)), F.lit(4)))
+    return p.select(*keep, "tgt", "noise_pos", "noise_to", "_r")
+
+
+def from_parts(parts: DataFrame) -> DataFrame:
+    """``triple_parts`` with src and pred."""
+    p = parts.withColumn("src", replaced(F.col("tgt"), F.col("noise_pos"), F.col("noise_to")))
+    return p.withColumn("pred", stand_in_prediction(roll=F.col("_r"))).drop("noise_pos", "noise_to", "_r")
+
+
 # ---------------------------------------------------------------- raw line stand-ins
 
 # Vocabulary stand-in: printable ASCII, ids 5.. after the five specials (non-ASCII -> UNK).
