@@ -75,6 +75,14 @@ def test_first_error_is_found_once(spark):
     assert [r["d"] for r in sorted(first)] == [2, -1, -1, -1, 0, None]
 
 
+def test_lost_tokens_are_counted_once(spark):
+    df = spark.createDataFrame([("a", ["x", "[UNK]"]), ("a", ["y"]), (None, None)], "lang string, t array<string>")
+    df = df.withColumn("kept", T.strip_specials("t", ["[UNK]"]))
+    out = R.changed_lengths(df, "t", "kept", ["lang"])
+    assert plan(out).count("filter(") == 1
+    assert sorted(out.collect(), key=str) == [("a", 2, 1, 1), (None, 1, 0, None)]
+
+
 def test_triples_from_their_parts(spark, tmp_path):
     sf = docs(spark, tmp_path)
     cols = ["guid", "src", "tgt", "pred"]

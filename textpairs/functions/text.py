@@ -164,8 +164,7 @@ def arrow_recover(tokens: str | Column) -> Column:
 
 def strip_specials(tokens: str | Column, specials: list[str]) -> Column:
     """Drop special tokens (including UNK) from a decoded token list."""
-    sp = F.array(*[F.lit(s) for s in specials])
-    return F.filter(_c(tokens), lambda x: ~F.array_contains(sp, x))
+    return F.filter(_c(tokens), lambda x: ~x.isin(*specials))
 
 
 def first_diff(a: str | Column, b: str | Column) -> Column:

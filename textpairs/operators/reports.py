@@ -101,9 +101,10 @@ def rare_candidates(conf: DataFrame, counts: DataFrame, share: float = 0.01) ->
 
 def changed_lengths(df: DataFrame, before: str, after: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, and rows whose token list lost tokens when its special ones were stripped."""
-    lost = F.size(before) - F.size(after)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(lost != 0).alias("n_changed"),
-                               F.sum(lost.cast("bigint")).alias("n_lost"))
+    from ..sources.readers import once
+    d = once(df, list(by), (F.size(before) - F.size(after)).cast("bigint").alias("_lost"))
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_lost") != 0).alias("n_changed"),
+                              F.sum("_lost").alias("n_lost"))
 
 
 def dedupe_confusion(conf: DataFrame, drop_self: bool = True) -> DataFrame:

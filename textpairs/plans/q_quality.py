@@ -84,9 +84,9 @@ GROUP BY lang"""))
 def g12_changed_lengths(spark, sf):
     """Decoded sentences, characters outside the vocabulary as UNK; stripping the special tokens drops
     those too, and the rows whose length changed are counted."""
-    known = F.array(*[F.lit(c) for c in D.VOCAB_SYMBOLS])
+    known = F.lit(D.VOCAB_SYMBOLS)
     tokens = F.when(F.col("tgt") == "", F.array().cast("array<string>")).otherwise(F.transform(
-        F.split("tgt", ""), lambda c: F.when(F.array_contains(known, c), c).otherwise("[UNK]")))
+        F.split("tgt", ""), lambda c: F.when(F.instr(known, c) > 0, c).otherwise("[UNK]")))
     s = D.sentences(spark, sf).select("lang", tokens.alias("tokens"))
     s = s.withColumn("kept", strip_specials("tokens", ["[CLS]", "[UNK]", "[MASK]", "[SEP]", "[PAD]"]))
     return R.changed_lengths(s, "tokens", "kept", ["lang"])
