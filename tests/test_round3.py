@@ -88,3 +88,14 @@ def test_triples_from_their_parts(spark, tmp_path):
     cols = ["guid", "src", "tgt", "pred"]
     made = D.from_parts(D.triple_parts(spark, sf, "guid")).select(*cols)
     assert sorted(made.collect()) == sorted(D.triples(spark, sf).select(*cols).collect()) != []
+
+
+def test_cycle_files_do_not_grow(spark, tmp_path, monkeypatch):
+    sf = docs(spark, tmp_path)
+    monkeypatch.setattr(q_cycles, "FILE_LINES", 2, raising=False)
+    q_cycles.write_sentences(spark, sf, str(tmp_path / "in"))
+    paths = sorted(p for p in os.listdir(tmp_path / "in") if p.endswith(".txt"))
+    lines = [(tmp_path / "in" / p).read_text().splitlines() for p in paths]
+    assert max(map(len, lines)) == 2
+    want = [r["tgt"] for r in D.sentences(spark, sf).orderBy("doc_id", "sent_no", "tgt").select("doc_id", "sent_no", "tgt").collect()]
+    assert sorted(sum(lines, [])) == sorted(want) and sum(lines, [])[:4] == want[:4]

@@ -15,11 +15,15 @@ from .queries import register
 _CYCLE_SQL, _CYCLE_LAST = O.noise_ctes("cyc", "tgt", "src", prefix="y")
 
 
+FILE_LINES = 10_000  # a micro-batch is a number of files, so its size must not follow the corpus
+
+
 def write_sentences(spark, sf, folder: str) -> None:
-    """The clean sentences as text files whose path order is the corpus order."""
+    """The clean sentences as text files of at most ``FILE_LINES`` lines whose path order is the corpus order."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (D.sentences(spark, sf).select("doc_id", "sent_no", "tgt").repartitionByRange(n, "doc_id", "sent_no")
-     .sortWithinPartitions("doc_id", "sent_no").select("tgt").write.mode("overwrite").text(folder))
+     .sortWithinPartitions("doc_id", "sent_no").select("tgt").write.mode("overwrite")
+     .option("maxRecordsPerFile", FILE_LINES).text(folder))
 
 
 @register("k01_cycle_shuffle", O.with_base("sent", f"""
