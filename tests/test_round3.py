@@ -90,6 +90,19 @@ def test_triples_from_their_parts(spark, tmp_path):
     assert sorted(made.collect()) == sorted(D.triples(spark, sf).select(*cols).collect()) != []
 
 
+def test_lines_are_made_behind_the_shuffle(spark, tmp_path):
+    rows = spark.range(50).select(F.col("id").alias("i"))
+    seen = []
+
+    def made(ordered):
+        seen.append(ordered.columns)
+        return ordered.select(F.format_string("%03d", "i").alias("v"))
+
+    assert S.write_lines(rows, str(tmp_path / "out"), "v", ["i"], made=made) == 50
+    assert seen == [["i"]]
+    assert [r["value"] for r in sorted(spark.read.text(str(tmp_path / "out")).collect())] == [f"{i:03d}" for i in range(50)]
+
+
 def test_cycle_files_do_not_grow(spark, tmp_path, monkeypatch):
     sf = docs(spark, tmp_path)
     monkeypatch.setattr(q_cycles, "FILE_LINES", 2, raising=False)

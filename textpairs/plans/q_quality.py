@@ -115,10 +115,10 @@ SELECT 'input: ' || array_to_string(string_split(src, ''), ' ') || chr(9) || 'la
 FROM triples"""))
 def a15_written_responses(spark, sf):
     """The response dump as text files in row order, read back."""
-    t = D.triples(spark, sf)
-    t = t.select("doc_id", "sent_no", S.response_line(F.split("src", ""), F.split("tgt", ""), F.split("pred", "")).alias("line"))
+    line = S.response_line(F.split("src", ""), F.split("tgt", ""), F.split("pred", ""))
     folder = scratch_path(spark, "responses")
-    S.write_responses(t, folder, order=["doc_id", "sent_no"])
+    S.write_responses(D.triple_parts(spark, sf, "doc_id", "sent_no"), folder, order=["doc_id", "sent_no"],
+                      made=lambda parts: D.from_parts(parts).select(line.alias("line")))
     return S.read_committed(spark, folder).select(F.col("value").alias("line"))
 
 

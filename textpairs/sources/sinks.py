@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,12 @@ def committed(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def write_lines(rows: DataFrame, folder: str, value: str, order: Sequence[str | Column] = (), partition_by: str | None = None) -> int:
+def write_lines(rows: DataFrame, folder: str, value: str, order: Sequence[str | Column] = (), partition_by: str | None = None,
+                made: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Text lines of column ``value``, in files whose path order is ``order`` (within a partition folder
-    too). A value with a line feed is an error, since it could not be read back. Returns the rows written,
-    after checking the commit mark."""
+    too). A value with a line feed is an error, since it could not be read back. ``made`` adds ``value`` to
+    the ordered rows, so that the shuffle carries only what it is made of. Returns the rows written, after
+    checking the commit mark."""
     line = F.when(F.instr(value, "\n") > 0, F.raise_error(F.lit("line feed in a line"))).otherwise(F.coalesce(F.col(value), F.lit("")))
     seen = Observation()
     if order:
@@ -28,6 +30,7 @@ def write_lines(rows: DataFrame, folder: str, value: str, order: Sequence[str |
         keys = [c if isinstance(c, Column) else F.col(c) for c in order]
         rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
         rows = rows.sortWithinPartitions(*([F.col(partition_by)] if partition_by else []), *keys)
+    rows = made(rows) if made else rows
     out = rows.select(*([partition_by] if partition_by else []), line.alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
     writer = out.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).text(folder)
@@ -74,9 +77,10 @@ def response_line(src_tokens: str | Column, trg_tokens: str | Column, pred_token
                     F.lit("\tprediction: "), F.array_join(p, " "), F.lit("\t"), verdict)
 
 
-def write_responses(df: DataFrame, folder: str, line_col: str = "line", order: Sequence[str | Column] = ()) -> int:
+def write_responses(df: DataFrame, folder: str, line_col: str = "line", order: Sequence[str | Column] = (),
+                    made: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Response lines."""
-    return write_lines(df, folder, line_col, order)
+    return write_lines(df, folder, line_col, order, made=made)
 
 
 def prediction_type(input_text: str | Column, prediction: str | Column) -> Column:
