@@ -87,13 +87,18 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop(w, ls)
 
 
-def buckets(text: Column, n: int = BUCKETS) -> Column:
-    """Bucket of every token unigram and bigram of a text."""
+def bucket(gram: Column, n: int) -> Column:
+    """Bucket of an n-gram's hash."""
+    return F.pmod(gram, F.lit(n)).cast("int")
+
+
+def gram_hashes(text: Column) -> Column:
+    """Hash of every token unigram and bigram of a text."""
     def grams(h: Column) -> Column:
         pairs = F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))),
                            F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))),
                            lambda a, b: F.xxhash64(a, b))
-        return F.transform(F.concat(h, pairs), lambda x: F.pmod(x, F.lit(n)).cast("int"))
+        return F.concat(h, pairs)
 
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), grams)
@@ -110,8 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, text: str = "text"
     (own,) = unused(docs, "trusted_id")
     trusted = trusted_ids(labels).select(F.col("doc_id").alias(own))  # at most TRUSTED ids
     grams = (docs.join(F.broadcast(trusted), docs["doc_id"] == trusted[own], "left")
-             .select(F.col(own).isNotNull().alias("good"), F.explode(buckets(F.col(text), n)).alias("bucket")))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("good"))
+             .select(F.col(own).isNotNull().alias("good"), F.explode(gram_hashes(F.col(text))).alias("gram")))
+    counts = grams.groupBy(bucket(F.col("gram"), n).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("good").alias("good"))
     rows = {r["bucket"]: (r["raw"], r["good"]) for r in counts.collect()}  # BUCKETS rows at most
     n_raw, n_good = (sum(r[i] for r in rows.values()) for i in (0, 1))
     if not n_good:
@@ -127,10 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, text: str = "text"
 def score(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """Adds n_grams and score (columns of these names are replaced, others stay)."""
     n = len(model)
-    (b_,) = unused(docs, "buckets")
+    (b_,) = unused(docs, "grams")
     ratio = F.from_json(F.lit(json.dumps(model)), "array<double>")  # folded to a constant once
-    total = let(ratio, lambda m: F.aggregate(F.col(b_), F.lit(0.0), lambda acc, b: acc + F.get(m, b)))
-    return (docs.withColumn(b_, buckets(F.col(text), n)).withColumn("n_grams", F.size(b_).cast("long"))
+    total = let(ratio, lambda m: F.aggregate(F.col(b_), F.lit(0.0), lambda acc, g: acc + F.get(m, bucket(g, n))))
+    return (docs.withColumn(b_, gram_hashes(F.col(text))).withColumn("n_grams", F.size(b_).cast("long"))
             .withColumn("score", F.when(F.col("n_grams") > 0, total / F.col("n_grams")).otherwise(F.lit(0.0)))
             .drop(b_))
 
