@@ -14,6 +14,7 @@ from . import oracle as O
 from .queries import punct_eq_sql, register
 
 SHARD = 500
+ARRAYS = 4
 
 
 def write_sentence_shards(spark, sf, folder: str) -> None:
@@ -67,15 +68,14 @@ FROM (SELECT *, ('0x' || substr(md5(guid), 1, 1))::BIGINT % 4 AS shard FROM trip
 def a11_message_array(spark, sf):
     """Messages written as four files of one JSON array each and scanned in byte ranges: the object
     boundaries are found from the string and nesting state composed over the ranges."""
-    t = D.triple_parts(spark, sf, "guid")  # src, pred and the JSON text are made of these behind the sort
-    t = t.withColumn("shard", F.pmod(F.conv(F.substring(F.md5("guid"), 1, 1), 16, 10).cast("bigint"), F.lit(4)))
-    t = row_index(t, ["guid"], ["shard"], out_col="i")
-    ends = F.broadcast(t.groupBy("shard").agg(F.max("i").alias("last")))  # four rows
+    shard = F.pmod(F.conv(F.substring(F.md5("guid"), 1, 1), 16, 10).cast("bigint"), F.lit(ARRAYS)).alias("shard")
+    ends = F.broadcast(D.sentences(spark, sf).groupBy(shard).agg((F.count("*") - 1).alias("last")))  # four rows
+    t = D.triple_parts(spark, sf, "guid").select("*", shard).join(ends, "shard")  # src, pred and the JSON text are made of these behind the sort
+    t = t.repartitionById(ARRAYS, F.col("shard").cast("int")).sortWithinPartitions("shard", "guid").drop("guid")
+    t = t.withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))  # a task's rows from 0: one shard's
     line = F.concat(F.when(F.col("i") == 0, "[").otherwise(""), F.to_json(F.struct("src", F.col("tgt").alias("trg"), "pred")),
                     F.when(F.col("i") == F.col("last"), "]").otherwise(","))
     folder = scratch_path(spark, "arrays")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    t = t.join(ends, "shard").drop("guid").repartitionByRange(n, "shard").sortWithinPartitions("shard", "i")
     D.from_parts(t).select("shard", line.alias("value")).write.mode("overwrite").partitionBy("shard").text(folder)
     rows = R.read_message_array(spark, f"{folder}/shard=*", "*.txt")
     return rows.select(_shard("file_path"), "obj", "src", "trg", "pred", F.size("pred_tokens").alias("n_pred"))

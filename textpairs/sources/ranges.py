@@ -8,13 +8,19 @@ size is many tasks and gives the same result however it is cut.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.text import chars
-from ..plans.indexing import line_index, prefix_sum, row_index
+from ..plans.indexing import line_index, row_index
+from ..session import checkpoint_root
 
 # ---------------------------------------------------------------- A12: inventory
 
@@ -99,46 +105,121 @@ def corpus_digest(files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A11: one JSON array, in parallel
 
-def _outside(text: Column, inside: bool) -> Column:
-    """What of an escape-free piece lies outside strings, when it begins inside of one or not."""
-    if inside:  # up to the first quote all is string; without a quote everything is
-        text = F.when(F.instr(text, '"') == 0, F.lit("")).otherwise(F.regexp_replace(text, '^[^"]*"', ""))
-    return F.regexp_replace(F.regexp_replace(text, '"[^"]*"', '""'), '"[^"]*$', '"')
-
-
-def _count(text: Column, marks: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, marks, ""))
+_ESCAPED = re.compile("\\\\[^\n\r\x85\u2028\u2029]")
+_COUNTS = pa.map_(pa.int64(), pa.int64())
+_SPAN = pa.schema([("file_path", pa.string()), ("block", pa.int64()), ("quotes", pa.int64()), ("out", pa.int64()),
+                   ("out_at", _COUNTS), ("in", pa.int64()), ("in_at", _COUNTS)])
+_GROUP = pa.schema([("file_path", pa.string()), ("block", pa.int64()), ("obj", pa.int64()), ("text", pa.string()),
+                    ("ended", pa.int32()), ("left", pa.int64())])
+GROUP_CHARS = 1 << 22  # of texts handed back at once
+
+
+def _step(piece: str) -> tuple[int, tuple[int, int]]:
+    """Quotes of a piece that ends in front of a closing brace (without escaped ones), and the change of depth up
+    to that brace, when the piece begins outside strings and when it begins inside of one."""
+    parts = (_ESCAPED.sub("", piece) if "\\" in piece else piece).split('"')
+    out, inside = "".join(parts[::2]), "".join(parts[1::2])
+    return len(parts) - 1, (out.count("{") + out.count("[") - out.count("]"),
+                            inside.count("{") + inside.count("[") - inside.count("]"))
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
+    """Neighbouring rows that differ in their last column alone: what they share, and that column's values."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    return ((key, (row[-1] for row in run)) for key, run in groupby(rows, key=lambda row: row[:-1]))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per range: its quotes, and for both possible starts the change of depth and how many braces outside
+    strings close at which depth (counted from the range's start)."""
+    for (path, block), pieces in _runs(batches):
+        quotes, depth, at = 0, [0, 0], (Counter(), Counter())
+        for piece in pieces:
+            n, change = _step(piece)
+            for start in (0, 1):
+                closes = (quotes + n + start) % 2 == 0
+                depth[start] += change[(quotes + start) % 2] - closes
+                if closes:
+                    at[start][depth[start]] += 1
+            quotes += n
+        yield _batch([(path, block, quotes, depth[0], list(at[0].items()), depth[1], list(at[1].items()))], _SPAN)
+
+
+def _groups(borders: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The objects' texts, from ranges whose start is known: those that lie in one range, or else (``borders``) the
+    parts of those that a range's border may cut. The text behind a file's last object comes last."""
+    def found(batches):
+        for (path, block, inside, depth, obj, first, last), pieces in _runs(batches):
+            if depth is None:
+                raise ValueError(f"files are cut into other ranges than when they were scanned: {path}")
+            held, cut, state = [], not first, [inside, depth]
+
+            def take(piece, brace, state=state, held=held):
+                n, change = _step(piece)
+                closes = brace and (state[0] + n) % 2 == 0  # the piece's brace is not in a string
+                state[1] += change[state[0] % 2] - closes
+                state[0] += n
+                held.append(piece + "}" if brace else piece)
+                return closes and state[1] == 1
+
+            piece = next(pieces)
+            for following in pieces:
+                if take(piece, True):
+                    if cut == borders:
+                        yield path, block, obj, "".join(held), 1, None
+                    held.clear()
+                    obj, cut = obj + 1, False
+                piece = following
+            ended = take(piece, not last)
+            if (cut or not (last or ended)) == borders:
+                yield path, block, obj, "".join(held), int(ended), state[1] if last else None
+
+    def run(batches):
+        rows, size = [], 0
+        for row in found(batches):
+            rows.append(row)
+            size += len(row[3])
+            if size > GROUP_CHARS:
+                yield _batch(rows, _GROUP)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, _GROUP)
+
+    return run
 
 
 def json_array_objects(spark: SparkSession, path: str | Sequence[str], glob: str = "*") -> DataFrame:
     """(file_path, obj, json): the objects of files that hold one JSON array of objects each, in order.
 
-    Pieces end at closing braces. Per piece the quotes (without escaped ones) and the change of depth for
-    both possible starts are counted; prefix sums over the pieces give the state at each piece's start
-    and so the braces that end an object of the array. A piece belongs to the object that the next of those
-    ends. Text between objects other than commas and the array's brackets is an error."""
-    pieces = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "}").text(path))
-    pieces = line_index(pieces).select("file_path", F.col("line_idx").alias("at"), "value").checkpoint()
-    plain = F.regexp_replace("value", r"\\.", "")
-    depth = lambda t: (_count(t, "{[") - _count(t, "}]")).cast("bigint")
-    small = pieces.select("file_path", "at", plain.alias("p")).select(
-        "file_path", "at", _count(F.col("p"), '"').cast("bigint").alias("quotes"),
-        depth(_outside(F.col("p"), False)).alias("out"), depth(_outside(F.col("p"), True)).alias("in"))
-    last = F.broadcast(small.groupBy("file_path").agg(F.max("at").alias("tail")))  # a file's text behind its last brace; one row a file
-    s = prefix_sum(small, ["at"], "quotes", "q", ["file_path"]).join(last, "file_path")
-    starts_inside = F.pmod(F.col("q") - F.col("quotes"), F.lit(2)) == 1
-    closes = (F.pmod("q", F.lit(2)) == 0) & (F.col("at") < F.col("tail"))  # the piece's brace is not in a string
-    s = s.select("file_path", "at", "tail", closes.alias("closes"),
-                 (F.when(starts_inside, F.col("in")).otherwise(F.col("out")) - closes.cast("bigint")).alias("change"))
-    s = prefix_sum(s, ["at"], "change", "depth", ["file_path"])
-    ends = (F.col("closes") & (F.col("depth") == 1)).cast("bigint")
-    s = prefix_sum(s.select("file_path", "at", "tail", "depth", ends.alias("ends")), ["at"], "ends", "obj", ["file_path"], exclusive=True)
-    tail = F.col("at") == F.col("tail")
-    joined = pieces.join(s, ["file_path", "at"])
-    whole = joined.groupBy("file_path", "obj").agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("at", F.when(tail, F.col("value")).otherwise(
-            F.concat("value", F.lit("}"))).alias("t"))))["t"], "").alias("text"),
-        F.sum("ends").alias("ended"), F.min("depth").alias("low"), F.max(F.when(tail, F.col("depth"))).alias("left"))
+    Pieces end at closing braces and come in their order in each range. A first pass makes one row per range, for
+    both possible starts: the quotes (without escaped ones), the change of depth, and the closing braces by depth.
+    Composed in order these give the state at each range's start and the number of objects before it. The
+    second pass finds in each range the braces that end an object of the array; a piece belongs to the object that
+    the next of those ends. No text is kept or shuffled but that of objects cut by a range's border, which a
+    pass of its own puts together. Text between objects other than commas and the array's brackets is an error."""
+    read = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "}").text(path))
+    pieces = read.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    checkpoint_root(spark)
+    spans = pieces.mapInArrow(_spans, from_arrow_schema(_SPAN)).checkpoint()  # one row a range, as all that follows here
+    order = Window.partitionBy("file_path").orderBy("block")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = spans.withColumn("inside", F.pmod(before("quotes"), F.lit(2)))
+    for c, name in ((F.col("out"), "in"), (F.col("out_at"), "in_at")):
+        s = s.withColumn(name, F.when(F.col("inside") == 1, F.col(name)).otherwise(c))
+    s = s.withColumn("depth", before("in"))
+    s = s.withColumn("obj", before(F.coalesce(F.try_element_at("in_at", 1 - F.col("depth")), F.lit(0))))
+    starts = s.select("file_path", "block", "inside", "depth", "obj", F.lag("block").over(order).isNull().alias("first"),
+                      F.lead("block").over(order).isNull().alias("last"))
+    group = from_arrow_schema(_GROUP)
+    placed = pieces.join(F.broadcast(starts.checkpoint()), ["file_path", "block"], "left").select(*starts.columns, "value")
+    cut = placed.mapInArrow(_groups(True), group).groupBy("file_path", "obj").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("block", "text")))["text"], "").alias("text"),
+        F.sum("ended").alias("ended"), F.max("left").alias("left"))  # at most two rows a range
+    whole = placed.mapInArrow(_groups(False), group).select("file_path", "obj", "text", "ended", "left").unionByName(cut.checkpoint())
     rest = F.trim(F.translate("text", "\t\r\n", "   "))
     bad = lambda: F.raise_error(F.concat(F.lit("not a JSON array of objects: "), F.col("file_path")))
     first = F.col("obj") == 0
