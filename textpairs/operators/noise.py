@@ -91,23 +91,25 @@ def _listed(char_class: str) -> str | None:
 def count_eligible(text: Column, char_class: str) -> Column:
     """Number of characters of ``text`` in the single-character class (codegen'd).
 
-    Small simple classes use ``translate`` (a character map, no regex); others delete runs of
-    the class with one regex."""
-    chars_ = _listed(char_class)
-    if chars_:
-        return F.length(text) - F.length(F.translate(text, chars_, ""))
+    Small simple classes delete the runs between their characters, which are few where most
+    characters are eligible; others delete runs of the class. Either is one regex."""
+    if _listed(char_class):
+        return F.length(F.regexp_replace(text, f"[^{char_class[1:-1]}]+", ""))
     return F.length(text) - F.length(F.regexp_replace(text, char_class + "+", ""))
 
 
-def nth_eligible(text: Column, char_class: str, k: Column) -> Column:
-    """1-based position of the (k+1)-th character in ``char_class``.
+def nth_eligible(text: Column, char_class: str, k: Column, n: Column | None = None) -> Column:
+    """1-based position of the (k+1)-th character in ``char_class``, of which the text has ``n``: where that is
+    known, only the characters up to the last place it can have are looked at.
 
     Eligible characters are mapped to a marker (lengths unchanged), then
     ``substring_index`` cuts before the (k+1)-th marker: its length + 1 is the position.
     Pure codegen string functions; no per-character lambda.
     """
     chars_ = _listed(char_class)
-    safe = F.translate(text, _MARK, "\u0002")
+    if n is not None:
+        text = text.substr(F.lit(1), (k + 1 + F.length(text) - n).cast("int"))
+    safe = F.replace(text, F.lit(_MARK), F.lit("\u0002"))
     if chars_:
         marked = F.translate(safe, chars_, _MARK * len(chars_))
     else:
@@ -159,7 +161,7 @@ def inject_noise(df: DataFrame, text_col: str, key_col: str, conf: DataFrame, wo
             n = F.when(apply, n).otherwise(F.lit(0))
         d = df.withColumn("_n", n).withColumn("_elig", F.lit(None))
         d = d.withColumn("noise_pos", F.when(F.col("_n") > 0, nth_eligible(
-            text, char_class, rng.pick(key, pos_purpose, F.col("_n")))))
+            text, char_class, rng.pick(key, pos_purpose, F.col("_n")), F.col("_n"))))
     d = d.withColumn("_roll", F.pmod(rng.hash32(key, rng.purpose("kind", seed, cycle)), F.lit(ROLL_BASE)))
     d = (d.withColumn("noise_from", F.when(F.col("noise_pos").isNotNull(),
                                            text.substr(F.col("noise_pos"), F.lit(1))))

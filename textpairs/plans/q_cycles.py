@@ -15,6 +15,7 @@ from .queries import register
 _CYCLE_SQL, _CYCLE_LAST = O.noise_ctes("cyc", "tgt", "src", prefix="y")
 
 
+SHARDS = 3
 FILE_LINES = 10_000  # a micro-batch is a number of files, so its size must not follow the corpus
 
 
@@ -39,10 +40,12 @@ def k01_cycle_shuffle(spark, sf):
     write_sentences(spark, sf, f"{root}/in")
     files = CY.manifest(spark, f"{root}/in", "*.txt")
     for cycles in (1, 2):
-        lines = CY.cycle_stream(spark, files, 3, cycles, files_per_trigger=64)
+        lines = CY.cycle_stream(spark, files, SHARDS, cycles, files_per_trigger=64)
         lines = lines.withColumnRenamed("value", "tgt").withColumn("k", rng.row_key("raw_idx", "cycle"))
         noisy = N.inject_noise(lines, "tgt", "k", D.confusion_df(spark), D.words_df(spark), len(D.ALPHABET), seed=D.SEED,
                                char_class=D.CHAR_CLASS, out_col="src", apply=~F.col("ended"))
-        rows = CY.shuffled(noisy.select("cycle", "raw_idx", "shard", "ended", "tgt", "src"), 500, D.SEED)
-        CY.run_available(rows, f"{root}/out", f"{root}/checkpoint")
+        noisy = noisy.withColumn("at", F.coalesce("noise_pos", F.lit(0)))  # src is made of these behind the buffer
+        rows = CY.shuffled(noisy.select("cycle", "raw_idx", "shard", "ended", "tgt", "at", "noise_to"), 500, D.SEED)
+        rows = rows.withColumn("src", N.replaced(F.col("tgt"), F.nullif("at", F.lit(0)), F.col("noise_to"))).drop("at", "noise_to")
+        CY.run_available(rows, f"{root}/out", f"{root}/checkpoint", SHARDS)
     return spark.read.parquet(f"{root}/out").select("cycle", "raw_idx", "shard", "tgt", "src")
